@@ -66,7 +66,9 @@ def utc_wall_clock(instant: Column) -> Column:
 
 
 def to_millis(moment: Column) -> Column:
-    return F.date_trunc("MILLISECOND", moment).cast("timestamp_ntz")
+    """Cut a wall clock to milliseconds (truncation by unit would go through the session zone)."""
+    micros = (F.date_part(F.lit("SECOND"), moment) * 1_000_000).cast("int")
+    return F.timestamp_add("MICROSECOND", -(micros % 1_000), moment)
 
 
 def is_stale(raw: Column, as_of: Column, hours: int = 24) -> Column:

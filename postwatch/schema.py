@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import types as T
 
-STRINGS = T.ArrayType(T.StringType(), containsNull=False)
+STRINGS = T.ArrayType(T.StringType())
 
 # --- fixed values: stored column names and order, indicator field order -------------------------
 INDICATOR_FIELDS = (
