@@ -15,9 +15,10 @@ URL = r"""(?iU)\bhttps?://[^\s\x1c-\x1f<>"']+"""
 URL_TAIL = ".,);]"
 EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}\b"
 IP_CANDIDATE = r"(?iU)(?<![\w:])(?:[A-F0-9:.]{3,45})(?![\w:])"
-DOMAIN = r"(?iU)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\b"
+# The look-ahead changes no match: it only gives up early on a word that no dot follows.
+DOMAIN = r"(?iU)\b(?=[a-z0-9-]++\.)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\b"
 DIGEST_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64, "sha512": 128}
-DIGEST = r"(?U)\b[a-fA-F0-9]{%d}\b"
+DIGEST = r"(?U)\b(?:[a-fA-F0-9]{32}|[a-fA-F0-9]{40}|[a-fA-F0-9]{64}|[a-fA-F0-9]{128})\b"
 CVE = r"(?iU)\bCVE-\d{4}-\d{4,7}\b"
 ATTACK = r"(?iU)\bT\d{4}(?:\.\d{3})?\b"
 FILE_SUFFIXES = "exe|dll|sys|ps1|bat|cmd|js|vbs|jar|apk|docm|xlsm|zip|rar|7z"
@@ -49,6 +50,16 @@ def _tidy(values: Column) -> Column:
     return F.sort_array(F.array_distinct(values))
 
 
+def inner_dot(prepared: Column) -> Column:
+    """Some dot is followed by more text at once, as in every address, domain and file name."""
+    return prepared.rlike(r"\.[^\s.]")
+
+
+def letter_digit(prepared: Column) -> Column:
+    """Some letter is followed by a digit, as in every technique id and group name."""
+    return prepared.rlike(r"\p{Nd}") & prepared.rlike(r"[A-Za-zİı]\p{Nd}")
+
+
 def extract_urls(prepared: Column) -> Column:
     found = _only_if(prepared.contains("://"), _all(prepared, URL))
     return _tidy(F.transform(found, lambda url: F.rtrim(url, F.lit(URL_TAIL))))
@@ -60,7 +71,9 @@ def extract_emails(prepared: Column) -> Column:
 
 def ip_candidates(prepared: Column) -> Column:
     # A v4 address has a dot between digits, a v6 address two colons with at most a group between.
-    possible = prepared.rlike(r"[0-9]\.[0-9]|:[0-9A-Fa-f]{0,4}:")
+    possible = prepared.rlike(r"[0-9]\.[0-9]") | (
+        prepared.contains(":") & prepared.rlike(r":[0-9A-Fa-f]{0,4}:")
+    )
     return F.transform(
         _only_if(possible, _all(prepared, IP_CANDIDATE)), lambda run: F.btrim(run, F.lit("."))
     )
@@ -71,50 +84,67 @@ def extract_ipv4(candidates: Column) -> Column:
 
 
 def extract_ipv6(candidates: Column) -> Column:
-    colons = F.filter(candidates, lambda run: run.contains(":"))
-    return _tidy(F.filter(F.transform(colons, canonical_ipv6), lambda a: a.isNotNull()))
+    with_colon = F.filter(candidates, lambda run: run.contains(":"))
+    return _tidy(canonical_ipv6(with_colon))
 
 
-def canonical_ipv6(address: Column) -> Column:
-    """Compressed lower-case form, or null where the text is no v6 address."""
-    lowered = F.lower(address)
-    tail = F.regexp_extract(lowered, rf"(?:^|:)({_IPV4})$", 1)
+def canonical_ipv6(runs: Column) -> Column:
+    """Compressed lower-case forms of the runs that are v6 addresses.
 
-    def octet(at: int) -> Column:
-        return F.split_part(tail, F.lit("."), F.lit(at)).try_cast("int")
+    Every step maps the whole list, so that no step repeats the work of the one before.
+    """
 
-    as_groups = F.lower(
-        F.concat(
-            F.hex(octet(1) * 256 + octet(2)), F.lit(":"), F.hex(octet(3) * 256 + octet(4))
+    def as_struct(run: Column) -> Column:
+        lowered = F.lower(run)
+        tail = F.regexp_extract(lowered, rf"(?:^|:)({_IPV4})$", 1)
+        return F.struct(lowered.alias("text"), tail.alias("tail"))
+
+    def hex_tail(run: Column) -> Column:
+        """An embedded v4 address becomes two groups."""
+        octets = F.transform(F.split(run["tail"], r"\."), lambda o: o.try_cast("int"))
+        pairs = F.concat(
+            F.hex(F.get(octets, 0) * 256 + F.get(octets, 1)), F.lit(":"),
+            F.hex(F.get(octets, 2) * 256 + F.get(octets, 3)),
         )
-    )
-    before_tail = F.substring(lowered, F.lit(1), F.length(lowered) - F.length(tail))
-    plain = F.when(tail != "", F.concat(before_tail, as_groups)).otherwise(lowered)
-
-    def groups(side: Column) -> Column:
-        return F.when(side == "", _none()).otherwise(F.split(side, ":"))
-
-    left = groups(F.regexp_extract(plain, r"^(.*?)::", 1))
-    right = groups(F.regexp_extract(plain, r"::(.*)$", 1))
-    short = plain.rlike(rf"^(?:{_GROUPS})?::(?:{_GROUPS})?$") & (F.size(left) + F.size(right) <= 7)
-    full = plain.rlike(r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}$")
-    spelled = F.when(full, F.split(plain, ":")).when(
-        short,
-        F.concat(
-            left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right
-        ),
-    )
-    joined = F.array_join(
-        F.transform(spelled, lambda group: F.regexp_replace(group, "^0+(?=.)", "")), ":"
-    )
-    # The longest run of zero groups, the first of equals, is written as two colons.
-    runs = [
-        (joined.rlike(rf"(?:^|:)0(?::0){{{n - 1}}}(?:$|:)"),
-         F.regexp_replace(joined, rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$", "$1::$2"))
-        for n in range(8, 1, -1)
-    ]
-    shortest = reduce(lambda chain, run: chain.when(*run), runs[1:], F.when(*runs[0]))
-    return shortest.otherwise(joined)
+        head = F.substring(run["text"], F.lit(1), F.length(run["text"]) - F.length(run["tail"]))
+        return F.when(run["tail"] != "", F.concat(head, F.lower(pairs))).otherwise(run["text"])
+
+    def sides(run: Column) -> Column:
+        def groups(pattern: str) -> Column:
+            return F.filter(F.split(F.regexp_extract(run, pattern, 1), ":"), lambda g: g != "")
+
+        return F.struct(
+            run.alias("text"), groups(r"^(.*?)::").alias("left"), groups(r"::(.*)$").alias("right")
+        )
+
+    def spelled(run: Column) -> Column:
+        """All eight groups, or null."""
+        missing = F.lit(8) - F.size(run["left"]) - F.size(run["right"])
+        short = run["text"].rlike(rf"^(?:{_GROUPS})?::(?:{_GROUPS})?$") & (missing >= 1)
+        full = run["text"].rlike(r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}$")
+        return F.when(full, F.split(run["text"], ":")).when(
+            short, F.concat(run["left"], F.array_repeat(F.lit("0"), missing), run["right"])
+        )
+
+    def joined(groups: Column) -> Column:
+        bare = F.transform(groups, lambda group: F.regexp_replace(group, "^0+(?=.)", ""))
+        return F.array_join(bare, ":")
+
+    def compressed(address: Column) -> Column:
+        """The longest run of zero groups, the first of equals, is written as two colons."""
+        zeros = r"(?:^|:)0(?::0){%d}(?:$|:)"
+        runs = [
+            (address.rlike(zeros % (n - 1)),
+             F.regexp_replace(address, r"^(.*?)%s(.*)$" % (zeros % (n - 1)), "$1::$2"))
+            for n in range(8, 1, -1)
+        ]
+        return reduce(lambda chain, run: chain.when(*run), runs[1:], F.when(*runs[0])).otherwise(
+            address
+        )
+
+    plain = F.transform(F.transform(runs, as_struct), hex_tail)
+    valid = F.filter(F.transform(F.transform(plain, sides), spelled), lambda g: g.isNotNull())
+    return F.transform(F.transform(valid, joined), compressed)
 
 
 def url_host(url: Column) -> Column:
@@ -122,10 +152,8 @@ def url_host(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, _URL_HOST, 1), F.lit("")))
 
 
-def extract_domains(prepared: Column, urls: Column, emails: Column) -> Column:
-    named = F.array_distinct(
-        _only_if(prepared.rlike(r"(?iU)[a-z0-9]\.[a-z]"), _all(prepared, DOMAIN))
-    )
+def extract_domains(prepared: Column, urls: Column, emails: Column, dotted: Column) -> Column:
+    named = F.array_distinct(_only_if(dotted, _all(prepared, DOMAIN)))
     mail_hosts = F.transform(emails, lambda mail: F.substring_index(mail, "@", -1))
     hosts = F.filter(
         F.transform(urls, url_host),
@@ -137,10 +165,13 @@ def extract_domains(prepared: Column, urls: Column, emails: Column) -> Column:
     )
 
 
-def extract_digests(prepared: Column, kind: str) -> Column:
-    length = DIGEST_LENGTHS[kind]
-    possible = (F.length(prepared) >= length) & prepared.rlike(f"[a-fA-F0-9]{{{length}}}")
-    return _tidy(_only_if(possible, _all(prepared, DIGEST % length)))
+def digests(prepared: Column) -> Column:
+    """Digests of all four lengths; no length can match inside another."""
+    return _tidy(_only_if(prepared.rlike("[a-fA-F0-9]{32}"), _all(prepared, DIGEST)))
+
+
+def extract_digests(found: Column, kind: str) -> Column:
+    return F.filter(found, lambda digest: F.length(digest) == DIGEST_LENGTHS[kind])
 
 
 def extract_cves(prepared: Column) -> Column:
@@ -148,13 +179,13 @@ def extract_cves(prepared: Column) -> Column:
     return _tidy(F.transform(found, F.upper))
 
 
-def extract_attack_techniques(prepared: Column) -> Column:
-    found = _only_if(prepared.rlike(r"(?iU)T\d{4}"), _all(prepared, ATTACK))
+def extract_attack_techniques(prepared: Column, coded: Column) -> Column:
+    found = _only_if(coded, _all(prepared, ATTACK))
     return _tidy(F.transform(found, F.upper))
 
 
-def extract_filenames(prepared: Column) -> Column:
-    possible = prepared.rlike(rf"(?iU)\.(?:{FILE_SUFFIXES})\b")
+def extract_filenames(prepared: Column, dotted: Column) -> Column:
+    possible = dotted & prepared.rlike(rf"(?iU)\.(?:{FILE_SUFFIXES})\b")
     return _tidy(_only_if(possible, _all(prepared, FILENAME)))
 
 
@@ -163,8 +194,8 @@ def extract_hashtags(prepared: Column) -> Column:
     return _tidy(F.transform(found, F.lower))
 
 
-def extract_threat_actors(prepared: Column) -> Column:
-    found = _only_if(prepared.rlike(r"(?iU)(?:APT|UNC|FIN|TA)\d"), _all(prepared, ACTOR))
+def extract_threat_actors(prepared: Column, coded: Column) -> Column:
+    found = _only_if(coded, _all(prepared, ACTOR))
     return _tidy(F.transform(found, F.upper))
 
 
@@ -174,7 +205,8 @@ def with_indicators(df: DataFrame, text: str = "text") -> DataFrame:
     The steps are separate projections so that each shared part (prepared text, candidates, URLs,
     emails) is computed once per row.
     """
-    prepared = F.col("_prepared")
+    prepared, dotted, coded = F.col("_prepared"), F.col("_dotted"), F.col("_coded")
+    urls, emails = F.col("ioc_urls"), F.col("ioc_emails")
     staged = (
         df.withColumn("_prepared", refang_text(F.col(text)))
         .withColumns(
@@ -182,23 +214,27 @@ def with_indicators(df: DataFrame, text: str = "text") -> DataFrame:
                 "ioc_urls": extract_urls(prepared),
                 "ioc_emails": extract_emails(prepared),
                 "_candidates": ip_candidates(prepared),
+                "_digests": digests(prepared),
+                "_dotted": inner_dot(prepared),
+                "_coded": letter_digit(prepared),
             }
         )
         .withColumns(
             {
                 "ioc_ipv4": extract_ipv4(F.col("_candidates")),
                 "ioc_ipv6": extract_ipv6(F.col("_candidates")),
-                "ioc_domains": extract_domains(prepared, F.col("ioc_urls"), F.col("ioc_emails")),
-                **{f"ioc_{kind}": extract_digests(prepared, kind) for kind in DIGEST_LENGTHS},
+                "ioc_domains": extract_domains(prepared, urls, emails, dotted),
+                **{f"ioc_{kind}": extract_digests(F.col("_digests"), kind)
+                   for kind in DIGEST_LENGTHS},
                 "ioc_cves": extract_cves(prepared),
-                "ioc_attack_techniques": extract_attack_techniques(prepared),
-                "ioc_filenames": extract_filenames(prepared),
+                "ioc_attack_techniques": extract_attack_techniques(prepared, coded),
+                "ioc_filenames": extract_filenames(prepared, dotted),
                 "ioc_hashtags": extract_hashtags(prepared),
-                "ioc_threat_actors": extract_threat_actors(prepared),
+                "ioc_threat_actors": extract_threat_actors(prepared, coded),
             }
         )
     )
-    return staged.drop("_prepared", "_candidates")
+    return staged.drop("_prepared", "_candidates", "_digests", "_dotted", "_coded")
 
 
 def indicator_struct() -> Column:

@@ -7,6 +7,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postwatch.functions.text import strip
+
 # --- fixed values --------------------------------------------------------------------------------
 SUFFIX_FACTORS = {"K": 1_000, "M": 1_000_000, "B": 1_000_000_000}
 STATUS_PATH = r"/status/([0-9]+)"
@@ -32,7 +34,7 @@ def parse_metric(label: Column) -> Column:
 
 def numeric_text(value: Column) -> Column:
     """The trimmed text where it is digits only, else null."""
-    trimmed = F.trim(value)
+    trimmed = strip(value)
     return F.when(trimmed.rlike("^[0-9]+$"), trimmed)
 
 

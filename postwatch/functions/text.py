@@ -23,6 +23,10 @@ REFANG = (
 # Tokens end at every ASCII character that is no letter or digit.
 SEPARATOR = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
 MAX_HIGHLIGHTS = 20
+BLANK_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # -------------------------------------------------------------------------------------------------
 
 # Characters for which compatibility normalization changes nothing and case folding equals lower
@@ -50,13 +54,19 @@ def normalize_text(text: Column) -> Column:
     Spark has no Unicode normalization, so rows with characters outside the plain set go through
     an Arrow UDF; for all others it receives a null and the JVM does the work.
     """
-    plain = text.rlike(_PLAIN)
+    ascii_only = F.octet_length(text) == F.length(text)
+    plain = ascii_only | text.rlike(_PLAIN)
     folded = F.when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(
         _fold_unicode(F.when(~plain, text))
     )
     return F.trim(F.regexp_replace(folded, _BLANKS, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without outer blanks of any kind."""
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
+
+
 def refang_text(text: Column) -> Column:
     for written, meant in REFANG:
         text = F.replace(text, F.lit(written), F.lit(meant))

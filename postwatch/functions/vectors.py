@@ -35,8 +35,10 @@ def cosine(left: Column, right: Column) -> Column:
 
 
 def calibrate(similarity: Column) -> Column:
+    """Similarity as a percentage; null stays null (greatest and least would skip it)."""
     percent = (similarity - CALIBRATION_START) / CALIBRATION_SPAN * 100
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent)), 2)
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent))
+    return F.when(similarity.isNotNull(), F.bround(bounded, 2))
 
 
 @dataclass(frozen=True)
@@ -74,15 +76,16 @@ def similarities(vector: Column, prototypes: Prototypes) -> Column:
 
     @F.pandas_udf(SIMILARITY_TYPE)
     def best(batch: pd.Series) -> pd.Series:
-        known = batch.notna()
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        if known.any():
-            rows = np.stack(batch[known].to_numpy()).astype(np.float64)
+        known = np.flatnonzero(batch.notna())
+        out: list = [None] * len(batch)
+        if len(known):
+            rows = np.stack(batch.to_numpy()[known]).astype(np.float64)
             lengths = np.sqrt((rows * rows).sum(axis=1))
             cosines = rows @ matrix.T / np.maximum(np.outer(lengths, norms), NORM_FLOOR)
             per_category = np.column_stack([cosines[:, m].max(axis=1) for m in member])
-            out[known] = list(per_category)
-        return out
+            for at, values in zip(known, per_category, strict=True):
+                out[at] = values
+        return pd.Series(out, dtype=object)
 
     return best(vector)
 

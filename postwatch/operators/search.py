@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postwatch.functions.indicators import indicator_struct
 from postwatch.functions.records import ntz
 from postwatch.functions.text import has_tokens_in_row, highlight_offsets, search_tokens
-from postwatch.operators.versions import current_matching, latest_of_post
+from postwatch.operators.versions import current_matching, latest_of_post, top_current
 from postwatch.schema import (
     IOC_TYPES,
     LIVE_SOURCE,
@@ -102,14 +102,18 @@ def matching(
 
     ``versioned`` says that ``posts`` still holds superseded versions.
     """
-    for bound in day_bounds(spec):
-        posts = posts.filter(bound)
-    predicate = reduce(and_, filters(spec))
+    posts, predicate = _selected(posts, spec)
     if versioned:
         return current_matching(posts, predicate, columns).select(*columns)
     return posts.filter(predicate).select(*columns)
 
 
+def _selected(posts: DataFrame, spec: SearchSpec) -> tuple[DataFrame, Column]:
+    for bound in day_bounds(spec):
+        posts = posts.filter(bound)
+    return posts, reduce(and_, filters(spec))
+
+
 def search_rows(
     posts: DataFrame,
     spec: SearchSpec,
@@ -117,9 +121,9 @@ def search_rows(
     columns: Sequence[str] = SEARCH_COLUMNS,
 ) -> DataFrame:
     """The page the parameters ask for, plus one row that tells whether another page follows."""
-    found = matching(posts, spec, versioned, columns)
-    return found.orderBy(*[F.col(name).desc() for name in _order_columns(spec)]).limit(
-        spec.limit + 1
+    posts, predicate = _selected(posts, spec)
+    return top_current(
+        posts, versioned, predicate, _order_columns(spec), spec.limit + 1, columns
     )
 
 
@@ -168,26 +172,21 @@ def shape_results(rows: DataFrame, query: str = "") -> DataFrame:
     )
 
 
-def recent(posts: DataFrame, limit: int = 50) -> DataFrame:
+def recent(posts: DataFrame, limit: int = 50, versioned: bool = False) -> DataFrame:
     """Newest posts by ingest time."""
-    return (
-        posts.select(*RECENT_COLUMNS)
-        .orderBy(F.col("ingested_at").desc(), F.col("post_id").desc())
-        .limit(_checked(limit))
-        .withColumn("source_url", source_url())
-        .drop("source_type")
+    newest = top_current(
+        posts, versioned, None, ("ingested_at", "post_id"), _checked(limit), RECENT_COLUMNS
     )
+    return newest.withColumn("source_url", source_url()).drop("source_type")
 
 
-def top_scored(posts: DataFrame, limit: int = 20, settings: Settings | None = None) -> DataFrame:
+def top_scored(
+    posts: DataFrame, limit: int = 20, settings: Settings | None = None, versioned: bool = False
+) -> DataFrame:
     """Highest scores from the high threshold up."""
-    high = (settings or Settings()).thresholds.high
-    return (
-        posts.filter(F.col("cti_score") >= high)
-        .select(*SEARCH_COLUMNS)
-        .orderBy(*[F.col(name).desc() for name in ("cti_score", "created_at", "post_id")])
-        .limit(_checked(limit))
-    )
+    high = F.col("cti_score") >= (settings or Settings()).thresholds.high
+    order = ("cti_score", "created_at", "post_id")
+    return top_current(posts, versioned, high, order, _checked(limit), SEARCH_COLUMNS)
 
 
 def get_post(posts: DataFrame, post_id: str) -> DataFrame:

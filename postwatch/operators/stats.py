@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.records import ntz
+from postwatch.operators.versions import narrow_current
 from postwatch.schema import LIVE_SOURCE, Settings
 
 # --- fixed values --------------------------------------------------------------------------------
@@ -22,11 +23,6 @@ TOTALS = {
 # -------------------------------------------------------------------------------------------------
 
 
-def _total(columns: tuple[str, ...]) -> Column:
-    sizes = sum((F.size(name) for name in columns[1:]), F.size(columns[0]))
-    return F.coalesce(F.sum(sizes.cast("bigint")), F.lit(0).cast("bigint"))
-
-
 def _overview(settings: Settings) -> list[Column]:
     limits = settings.thresholds
     return [
@@ -37,27 +33,47 @@ def _overview(settings: Settings) -> list[Column]:
     ]
 
 
+def _sizes() -> dict[str, Column]:
+    return {
+        name: sum((F.size(column) for column in columns[1:]), F.size(columns[0])).cast("bigint")
+        for name, columns in TOTALS.items()
+    }
+
+
 def _totals() -> list[Column]:
-    return [_total(columns).alias(name) for name, columns in TOTALS.items()]
+    return [F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in TOTALS]
 
 
-def overview_counts(posts: DataFrame, settings: Settings | None = None) -> DataFrame:
-    return posts.agg(*_overview(settings or Settings()))
+def _columns(*names: str) -> dict[str, Column]:
+    return {name: F.col(name) for name in names}
 
 
-def indicator_totals(posts: DataFrame) -> DataFrame:
-    return posts.agg(*_totals())
+def overview_counts(
+    posts: DataFrame, settings: Settings | None = None, versioned: bool = False
+) -> DataFrame:
+    rows = narrow_current(posts, versioned, **_columns("cti_score", "ingested_at"))
+    return rows.agg(*_overview(settings or Settings()))
 
 
-def _recent(posts: DataFrame, as_of: datetime) -> DataFrame:
+def indicator_totals(posts: DataFrame, versioned: bool = False) -> DataFrame:
+    return narrow_current(posts, versioned, **_sizes()).agg(*_totals())
+
+
+def _recent(posts: DataFrame, as_of: datetime, versioned: bool, *names: str) -> DataFrame:
+    """Given columns of the current posts of the last days.
+
+    The bound on the partition column prunes and is safe below the version comparison, since the
+    day is part of the key; the bound on the time decides.
+    """
     start = F.timestamp_add("DAY", F.lit(-WINDOW_DAYS), ntz(as_of))
-    # The bound on the partition column prunes; the bound on the time decides.
-    return posts.filter((F.col("day") >= F.to_date(start)) & (F.col("created_at") >= start))
+    days = posts.filter(F.col("day") >= F.to_date(start))
+    rows = narrow_current(days, versioned, **_columns("created_at", *names))
+    return rows.filter(F.col("created_at") >= start)
 
 
-def timeline(posts: DataFrame, as_of: datetime) -> DataFrame:
+def timeline(posts: DataFrame, as_of: datetime, versioned: bool = False) -> DataFrame:
     return (
-        _recent(posts, as_of)
+        _recent(posts, as_of, versioned, "day")
         .groupBy("day")
         .agg(F.count(F.lit(1)).alias("posts"))
         .select(F.col("day").cast("string").alias("day"), "posts")
@@ -65,9 +81,9 @@ def timeline(posts: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def category_counts(posts: DataFrame, as_of: datetime) -> DataFrame:
+def category_counts(posts: DataFrame, as_of: datetime, versioned: bool = False) -> DataFrame:
     return (
-        _recent(posts, as_of)
+        _recent(posts, as_of, versioned, "cti_categories")
         .select(F.explode("cti_categories").alias("category"))
         .groupBy("category")
         .agg(F.count(F.lit(1)).alias("posts"))
@@ -76,24 +92,33 @@ def category_counts(posts: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def overview(posts: DataFrame, as_of: datetime, settings: Settings | None = None) -> dict:
+def overview(
+    posts: DataFrame, as_of: datetime, settings: Settings | None = None, versioned: bool = False
+) -> dict:
     """The four parts of the dashboard; counts and indicator totals share one pass."""
-    both = posts.agg(*_overview(settings or Settings()), *_totals())
+    rows = narrow_current(posts, versioned, **_columns("cti_score", "ingested_at"), **_sizes())
+    both = rows.agg(*_overview(settings or Settings()), *_totals())
     return {
         "counts": both.select("total", "high", "critical", "latest"),
-        "timeline": timeline(posts, as_of),
-        "categories": category_counts(posts, as_of),
+        "timeline": timeline(posts, as_of, versioned),
+        "categories": category_counts(posts, as_of, versioned),
         "ioc_summary": both.select(*TOTALS),
     }
 
 
-def daily_levels(posts: DataFrame) -> DataFrame:
-    """Rows per day and level: of raw versions it counts inserts, of current posts it counts posts."""
-    return posts.groupBy("day", "cti_level").agg(F.count(F.lit(1)).alias("posts"))
+def daily_levels(posts: DataFrame, versioned: bool = False) -> DataFrame:
+    """Rows per day and level.
+
+    Of all stored rows it counts inserts, as a rollup kept on insert does; with ``versioned`` it
+    compares versions first and counts posts.
+    """
+    rows = narrow_current(posts, versioned, **_columns("day", "cti_level"))
+    return rows.groupBy("day", "cti_level").agg(F.count(F.lit(1)).alias("posts"))
 
 
-def distinct_live_ids(posts: DataFrame) -> DataFrame:
-    return posts.filter(F.col("source_type") == LIVE_SOURCE).select("post_id").distinct()
+def distinct_live_ids(posts: DataFrame, versioned: bool = False) -> DataFrame:
+    rows = narrow_current(posts, versioned, **_columns("source_type", "post_id"))
+    return rows.filter(F.col("source_type") == LIVE_SOURCE).select("post_id").distinct()
 
 
 def chart_share(values: DataFrame, column: str = "posts", floor: float | None = None) -> DataFrame:

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from postwatch.schema import VERSION_KEY
 
+# Order of the versions of one key. Spark keeps no insertion order, so equal versions are told
+# apart by ingest time, then by update time and counters. Rows equal in all of these come from a
+# replayed batch and are copies of each other. No text is read to compare versions.
+VERSION_COLUMNS = (
+    "content_version", "ingested_at", "source_updated_at", "impression_count", "like_count",
+)
 
-def version_order() -> Column:
-    """Total order of the versions of one key.
 
-    Spark keeps no insertion order, so equal versions are told apart by ingest time, then by a
-    hash of the text, which only makes the choice repeatable.
-    """
-    return F.struct("content_version", "ingested_at", F.xxhash64("text").alias("_text_hash"))
+def version_order() -> Column:
+    return F.struct(*VERSION_COLUMNS)
 
 
 def current_posts(versions: DataFrame, key: Sequence[str] = VERSION_KEY) -> DataFrame:
@@ -33,14 +35,24 @@ def current_posts(versions: DataFrame, key: Sequence[str] = VERSION_KEY) -> Data
     )
 
 
-def current_matching(
-    versions: DataFrame, predicate: Column, columns: Sequence[str]
-) -> DataFrame:
+def narrow_current(posts: DataFrame, versioned: bool, **columns: Column) -> DataFrame:
+    """Only the given columns of the current posts.
+
+    They are computed before versions are compared, so that e.g. a count moves instead of its list.
+    """
+    if not versioned:
+        return posts.select(*[column.alias(name) for name, column in columns.items()])
+    needed = [name for name in (*VERSION_KEY, *VERSION_COLUMNS) if name not in columns]
+    rows = posts.select(*needed, *[column.alias(name) for name, column in columns.items()])
+    return current_posts(rows).select(*columns)
+
+
+def current_matching(versions: DataFrame, predicate: Column, columns: Sequence[str]) -> DataFrame:
     """Rows that satisfy the predicate and are the newest version of their key.
 
-    Same result as ``current_posts(versions).filter(predicate)`` for a selective predicate, but the
-    wide columns are read with the predicate pushed into the scan and only the hits move. A second,
-    narrow scan of key and version columns checks that no hit has been superseded.
+    Same result as ``current_posts(versions).filter(predicate)``, but the predicate reaches the
+    scan and only the hits move. A second scan of the key and version columns alone checks that no
+    hit has been superseded.
     """
     key = list(VERSION_KEY)
     wanted = list(dict.fromkeys([*key, *columns]))
@@ -52,18 +64,51 @@ def current_matching(
         .agg(F.max("_version").alias("_version"))
     )
     # A replayed batch may hold a row twice; both copies tie, one stays.
-    return hits.join(newest, [*key, "_version"], "left_semi").dropDuplicates(key).drop("_version")
+    return hits.join(newest, [*key, "_version"], "left_semi").dropDuplicates(key)
+
 
+def top_current(
+    posts: DataFrame,
+    versioned: bool,
+    predicate: Column | None,
+    descending: Sequence[str],
+    limit: int,
+    columns: Sequence[str],
+) -> DataFrame:
+    """The first rows of the current posts by the given columns, largest first.
 
-def latest_of_post(current: DataFrame, post_id: str) -> DataFrame:
+    With versions in the table, the order is settled on key, version and order columns only; the
+    wide columns are then fetched for the at most ``limit`` rows chosen, whose days prune the scan.
+    ``limit`` is bounded by the callers, so the chosen keys may be broadcast.
+    """
+    order = [F.col(name).desc() for name in descending]
+    if not versioned:
+        rows = posts if predicate is None else posts.filter(predicate)
+        return rows.select(*columns).orderBy(*order).limit(limit)
+    key = list(VERSION_KEY)
+    if predicate is None:
+        chosen = current_posts(
+            posts.select(*dict.fromkeys([*key, *VERSION_COLUMNS, *descending]))
+        ).withColumn("_version", version_order())
+    else:
+        chosen = current_matching(posts, predicate, descending)
+    keys = chosen.orderBy(*order).limit(limit).select(*key, "_version")
+    wide = posts.select(*dict.fromkeys([*key, *columns]), version_order().alias("_version"))
+    return (
+        wide.join(F.broadcast(keys), [*key, "_version"], "left_semi")
+        .dropDuplicates(key)
+        .select(*columns)
+        .orderBy(*order)
+        .limit(limit)
+    )
+
+
+def latest_of_post(posts: DataFrame, post_id: str) -> DataFrame:
     """Newest version of one id over all days, or no row."""
     if not (post_id.isascii() and post_id.isdigit() and len(post_id) <= 20):
         raise ValueError("a post id has 1 to 20 digits")
-    return (
-        current.filter(F.col("post_id") == post_id)
-        .orderBy(F.col("content_version").desc(), F.col("day").desc())
-        .limit(1)
-    )
+    newest = [F.col(name).desc() for name in ("content_version", "day", *VERSION_COLUMNS[1:])]
+    return posts.filter(F.col("post_id") == post_id).orderBy(*newest).limit(1)
 
 
 def without_deleted(posts: DataFrame, deleted: DataFrame) -> DataFrame:

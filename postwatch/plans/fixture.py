@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.functions.records import ntz
-from postwatch.functions.scoring import Scorer, null_scorer
 from postwatch.operators.ingest import enrich, to_stored
 from postwatch.operators.versions import current_posts
 from postwatch.schema import LIVE_SOURCE, Settings
+from postwatch.session import fresh_dir
+from postwatch.sources.store import append_posts, read_versions
 from postwatch.streaming.jobs import landing_stream, payload_stream
 
 # Sentences of our own that carry indicators; each document gets one by its number.
@@ -123,16 +124,29 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_posts(versions(spark, sf_dir))
 
 
-def posts(spark: SparkSession, sf_dir: str, scorer: Scorer = null_scorer) -> DataFrame:
-    """Stored columns of the current posts."""
-    return to_stored(enrich(current(spark, sf_dir), SETTINGS, scorer))
-
-
 def all_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored columns of every version."""
     return to_stored(enrich(versions(spark, sf_dir), SETTINGS))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with every version of the posts of a driver folder, ingested once per application."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _STORED:
+        path = fresh_dir(spark, "posts")
+        append_posts(all_versions(spark, sf_dir), path)
+        _STORED[place] = path
+    return _STORED[place]
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored posts, superseded versions included."""
+    return read_versions(spark, stored_path(spark, sf_dir))
+
+
 # --- events as ledgers ---------------------------------------------------------------------------
 
 

@@ -448,7 +448,7 @@ ORACLES["search_all"] = matching(
     f"list_has_all({TOKENS}, ['cve', '2031', '10001', 'exploit'])"
 )
 ORACLES["search_any"] = matching(any_of("meetup", "phishing"))
-ORACLES["search_versions"] = ORACLES["search_any"]
+ORACLES["search_current"] = ORACLES["search_any"]
 ORACLES["search_phrase"] = matching(
     f"contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' sunny day at ')"
 )
@@ -607,14 +607,14 @@ SELECT CAST(day AS VARCHAR) AS day, hour, fetched, enqueued,
   CAST(sum(fetched) OVER (PARTITION BY runs.day ORDER BY hour) AS BIGINT) AS daily_reads
 FROM runs"""
 ORACLES["ingest_status"] = f"""
-WITH latest AS (SELECT event_type, max(ts) AS at FROM events GROUP BY event_type),
+WITH latest AS (SELECT event_type, max(ts) AS moment FROM events GROUP BY event_type),
 s AS (
   SELECT (SELECT count(*) FROM events) AS queue_depth,
     (SELECT CAST(sum(strlen(props)) AS BIGINT) FROM events) AS queue_bytes,
     (SELECT count(*) FROM events WHERE CAST(ts AS DATE) = DATE '{EVENTS_AS_OF:%Y-%m-%d}')
       AS daily_post_reads,
-    (SELECT at FROM latest WHERE event_type = 'click') AS success,
-    (SELECT at FROM latest WHERE event_type = 'view') AS compliance
+    (SELECT moment FROM latest WHERE event_type = 'click') AS success,
+    (SELECT moment FROM latest WHERE event_type = 'view') AS compliance
 )
 SELECT queue_depth, queue_bytes, daily_post_reads, {clock('success')} AS last_success,
   {clock('compliance')} AS last_compliance_success, CAST(NULL AS VARCHAR) AS last_error,
@@ -631,10 +631,10 @@ QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)
 ORACLES["keep_last_per_id"] = """
 WITH firsts AS (SELECT user_id, min(event_id) AS first_position FROM events GROUP BY user_id),
 kept AS (SELECT * FROM firsts ORDER BY first_position LIMIT 100),
-stop AS (SELECT CASE WHEN count(*) = 100 THEN max(first_position) END AS at FROM kept)
+stop AS (SELECT CASE WHEN count(*) = 100 THEN max(first_position) END AS place FROM kept)
 SELECT kept.user_id, first_position, e.event_id, e.event_type, e.props
 FROM kept JOIN events e ON e.user_id = kept.user_id
-WHERE e.event_id <= coalesce((SELECT at FROM stop), e.event_id)
+WHERE e.event_id <= coalesce((SELECT place FROM stop), e.event_id)
 QUALIFY row_number() OVER (PARTITION BY kept.user_id ORDER BY e.event_id DESC) = 1"""
 
 # --- text ----------------------------------------------------------------------------------------
@@ -679,8 +679,8 @@ WITH folds AS (
 ),
 hits AS (
   SELECT doc_id, list_concat(
-    list_transform({term_hits('the')}, lambda at: {span('at', 3)}),
-    list_transform({term_hits('rt')}, lambda at: {span('at', 2)}))[1:20] AS spans
+    list_transform({term_hits('the')}, lambda pos: {span('pos', 3)}),
+    list_transform({term_hits('rt')}, lambda pos: {span('pos', 2)}))[1:20] AS spans
   FROM folds
 )
 SELECT doc_id, {joined("list_transform(list_sort(spans), lambda x: x.s || '-' || x.e)")} AS spans
@@ -814,21 +814,21 @@ FROM marks m JOIN events e ON e.event_type = m.event_type AND e.event_id > m.mar
 GROUP BY m.event_type"""
 ORACLES["admission"] = f"""
 WITH RECURSIVE ordered AS (
-  SELECT user_id, event_id, epoch_us(ts) AS at,
+  SELECT user_id, event_id, epoch_us(ts) AS us,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM events
 ),
 walk AS (
-  SELECT user_id, event_id, n, true AS admitted, [at] AS times FROM ordered WHERE n = 1
+  SELECT user_id, event_id, n, true AS admitted, [us] AS times FROM ordered WHERE n = 1
   UNION ALL
   SELECT o.user_id, o.event_id, o.n,
-    len(list_filter(w.times, lambda t: t >= o.at - {ADMISSION_SECONDS * 1_000_000}))
+    len(list_filter(w.times, lambda t: t >= o.us - {ADMISSION_SECONDS * 1_000_000}))
       < {ADMISSION_LIMIT} AS admitted,
-    CASE WHEN len(list_filter(w.times, lambda t: t >= o.at - {ADMISSION_SECONDS * 1_000_000}))
+    CASE WHEN len(list_filter(w.times, lambda t: t >= o.us - {ADMISSION_SECONDS * 1_000_000}))
         < {ADMISSION_LIMIT}
       THEN list_append(
-        list_filter(w.times, lambda t: t >= o.at - {ADMISSION_SECONDS * 1_000_000}), o.at)
-      ELSE list_filter(w.times, lambda t: t >= o.at - {ADMISSION_SECONDS * 1_000_000})
+        list_filter(w.times, lambda t: t >= o.us - {ADMISSION_SECONDS * 1_000_000}), o.us)
+      ELSE list_filter(w.times, lambda t: t >= o.us - {ADMISSION_SECONDS * 1_000_000})
     END AS times
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.n = w.n + 1
 )

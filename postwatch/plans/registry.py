@@ -19,7 +19,6 @@ from postwatch.schema import (
     IOC_TYPES,
     PageKey,
     SearchSpec,
-    Settings,
 )
 from postwatch.session import fresh_dir
 from postwatch.sources import deletes, html, pages, store, synthetic
@@ -110,7 +109,12 @@ def late_version(spark, sf):
     ).select(big("content_version").alias("content_version"), "posts", "likes")
 
 
+def current_stored(spark, sf) -> DataFrame:
+    return versions.current_posts(fixture.posts(spark, sf))
+
+
 def stored(spark, sf) -> str:
+    """A store of its own for a query that changes it."""
     path = fresh_dir(spark, "posts")
     store.append_posts(fixture.all_versions(spark, sf), path)
     return path
@@ -118,7 +122,8 @@ def stored(spark, sf) -> str:
 
 @query("insert_roundtrip")
 def insert_roundtrip(spark, sf):
-    rows = store.read_current(spark, stored(spark, sf))
+    store.register_views(spark, stored(spark, sf))
+    rows = spark.table("posts_current")
     return plain(rows.select(*key_and(
         "content_version", "cti_score", "cti_level", "cti_categories", "ioc_domains",
         "cti_semantic_score", "created_at",
@@ -202,7 +207,7 @@ def delete_events(spark, sf):
 @query("id_export")
 def id_export(spark, sf):
     path = fresh_dir(spark, "ids")
-    deletes.export_ids(fixture.current(spark, sf), path)
+    deletes.export_ids(fixture.posts(spark, sf), path, versioned=True)
     return spark.read.text(path).withColumnRenamed("value", "post_id")
 
 
@@ -266,12 +271,12 @@ def kv_latest(spark, sf):
 
 @query("recent_posts")
 def recent_posts(spark, sf):
-    return plain(search.recent(fixture.posts(spark, sf)))
+    return plain(search.recent(fixture.posts(spark, sf), versioned=True))
 
 
 @query("result_shape")
 def result_shape(spark, sf):
-    rows = search.shape_results(fixture.posts(spark, sf))
+    rows = search.shape_results(current_stored(spark, sf))
     return plain(rows.select(
         "post_id", "created_at", "cti_score", "scoring_mode", "model_revision", "source_url",
         F.col("indicators.domains").alias("domains"), F.col("indicators.cves").alias("cves"),
@@ -293,7 +298,7 @@ def flatten_record(spark, sf):
 
 @query("indicator_preview")
 def indicator_preview(spark, sf):
-    rows = fixture.posts(spark, sf).select(
+    rows = current_stored(spark, sf).select(
         "*", indicators.indicator_preview().alias("preview"),
         indicators.indicator_preview(4).alias("compact"),
     )
@@ -302,7 +307,7 @@ def indicator_preview(spark, sf):
 
 @query("indicator_total")
 def indicator_total(spark, sf):
-    rows = fixture.posts(spark, sf).withColumn("total", indicators.indicator_total())
+    rows = current_stored(spark, sf).withColumn("total", indicators.indicator_total())
     return plain(rows.select(*key_and("total")))
 
 
@@ -311,16 +316,18 @@ def indicator_total(spark, sf):
 RESULT = ("post_id", "created_at", "cti_score", "username", "lang")
 
 
-def matches(spec: SearchSpec, **settings) -> Query:
+def matches(spec: SearchSpec) -> Query:
     def run(spark, sf):
-        return plain(search.matching(fixture.posts(spark, sf), spec).select(*RESULT))
+        rows = search.matching(fixture.posts(spark, sf), spec, versioned=True, columns=RESULT)
+        return plain(rows)
 
     return run
 
 
 def page(spec: SearchSpec) -> Query:
     def run(spark, sf):
-        return plain(search.search_rows(fixture.posts(spark, sf), spec).select(*RESULT))
+        rows = search.search_rows(fixture.posts(spark, sf), spec, versioned=True, columns=RESULT)
+        return plain(rows)
 
     return run
 
@@ -349,26 +356,25 @@ QUERIES.update({name: matches(spec) for name, spec in MATCH_SPECS.items()})
 QUERIES.update({name: page(spec) for name, spec in PAGE_SPECS.items()})
 
 
-@query("search_versions")
-def search_versions(spark, sf):
-    """Same answer as ``search_any`` from a store that still holds superseded versions."""
-    rows = store.read_versions(spark, stored(spark, sf))
-    found = search.matching(rows, MATCH_SPECS["search_any"], versioned=True, columns=RESULT)
-    return plain(found)
+@query("search_current")
+def search_current(spark, sf):
+    """Same answer as ``search_any`` by comparing all versions first."""
+    rows = search.matching(current_stored(spark, sf), MATCH_SPECS["search_any"], columns=RESULT)
+    return plain(rows)
 
 
 @query("get_post")
 def get_post(spark, sf):
     """The newest version of the post that was created last."""
-    current = fixture.posts(spark, sf)
-    newest = current.agg(F.max_by("post_id", F.struct("created_at", "post_id"))).collect()[0][0]
-    rows = search.get_post(current, newest)
+    posts = fixture.posts(spark, sf)
+    newest = posts.agg(F.max_by("post_id", F.struct("created_at", "post_id"))).collect()[0][0]
+    rows = search.get_post(posts, newest)
     return plain(rows.select("post_id", "created_at", "cti_score", "text"))
 
 
 @query("top_scored")
 def top_scored(spark, sf):
-    rows = search.top_scored(fixture.posts(spark, sf), settings=LOW)
+    rows = search.top_scored(fixture.posts(spark, sf), settings=LOW, versioned=True)
     return plain(rows.select(*RESULT))
 
 
@@ -473,42 +479,42 @@ def trusted_flag(spark, sf):
 
 @query("stats_overview")
 def stats_overview(spark, sf):
-    return plain(stats.overview_counts(fixture.posts(spark, sf), LOW))
+    return plain(stats.overview_counts(fixture.posts(spark, sf), LOW, versioned=True))
 
 
 @query("stats_timeline")
 def stats_timeline(spark, sf):
-    return stats.timeline(fixture.current(spark, sf), AS_OF)
+    return stats.timeline(fixture.posts(spark, sf), AS_OF, versioned=True)
 
 
 @query("stats_categories")
 def stats_categories(spark, sf):
-    return stats.category_counts(fixture.posts(spark, sf), AS_OF)
+    return stats.category_counts(fixture.posts(spark, sf), AS_OF, versioned=True)
 
 
 @query("stats_iocs")
 def stats_iocs(spark, sf):
-    return stats.indicator_totals(fixture.posts(spark, sf))
+    return stats.indicator_totals(fixture.posts(spark, sf), versioned=True)
 
 
 @query("daily_levels_raw")
 def daily_levels_raw(spark, sf):
-    return plain(stats.daily_levels(fixture.all_versions(spark, sf)))
+    return plain(stats.daily_levels(fixture.posts(spark, sf)))
 
 
 @query("daily_levels_current")
 def daily_levels_current(spark, sf):
-    return plain(stats.daily_levels(fixture.posts(spark, sf)))
+    return plain(stats.daily_levels(fixture.posts(spark, sf), versioned=True))
 
 
 @query("distinct_ids")
 def distinct_ids(spark, sf):
-    return stats.distinct_live_ids(fixture.current(spark, sf))
+    return stats.distinct_live_ids(fixture.posts(spark, sf), versioned=True)
 
 
 @query("chart_share")
 def chart_share(spark, sf):
-    days = stats.timeline(fixture.current(spark, sf), AS_OF)
+    days = stats.timeline(fixture.posts(spark, sf), AS_OF, versioned=True)
     shares = stats.chart_share(days, floor=stats.TIMELINE_FLOOR)
     return shares.select("day", "posts", F.round("share", 6).alias("share"))
 
@@ -961,7 +967,3 @@ def stream_daily_levels(spark, sf):
 
 def to_posts_stream(documents: DataFrame) -> DataFrame:
     return ingest.to_stored(ingest.enrich(fixture.raw_versions(documents), SETTINGS))
-
-
-def default_settings() -> Settings:
-    return SETTINGS

@@ -18,6 +18,8 @@ CLUSTER_CONF = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
+    # Recording the call site of every column expression makes building large plans slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -25,6 +25,6 @@ def read_delete_events(spark, path: str) -> DataFrame:
     return delete_events(spark.read.text(path))
 
 
-def export_ids(posts: DataFrame, path: str) -> None:
+def export_ids(posts: DataFrame, path: str, versioned: bool = False) -> None:
     """Ids of live posts, one per line."""
-    distinct_live_ids(posts).select("post_id").write.mode("overwrite").text(path)
+    distinct_live_ids(posts, versioned).select("post_id").write.mode("overwrite").text(path)

@@ -11,6 +11,7 @@ from postwatch.functions.records import (
     numeric_text,
     parse_metric,
 )
+from postwatch.functions.text import strip
 from postwatch.schema import PAGE_DDL, REFERENCED
 
 
@@ -71,7 +72,7 @@ def page_authors(pages: DataFrame, sequence: str, value: str = "value") -> DataF
 def scraped_payloads(raw: DataFrame) -> DataFrame:
     """Scraped rows to payloads; rows without an id or text are dropped."""
     quoted_id = numeric_text(F.col("quoted_post_id"))
-    quoted_text = F.trim(_or_empty(F.col("quoted_text")))
+    quoted_text = strip(_or_empty(F.col("quoted_text")))
     urls = F.transform(
         F.filter(
             "urls",
@@ -92,7 +93,7 @@ def scraped_payloads(raw: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     post = F.struct(
         extract_post_id(F.col("post_id"), F.col("permalink")).alias("id"),
-        F.trim(_or_empty(F.col("text"))).alias("text"),
+        strip(_or_empty(F.col("text"))).alias("text"),
         F.lit("").alias("author_id"),
         F.lit("").alias("conversation_id"),
         F.nullif(F.col("created_at"), F.lit("")).alias("created_at"),
