@@ -107,11 +107,19 @@ def level_of(score: Column, thresholds: Thresholds) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """Fixed one-decimal text, rounded half to even where the tie is exact in binary."""
-    quarter_tie = (value * 4) % 1 == 0
-    return F.when(quarter_tie, F.format_string("%.1f", F.bround(value, 1))).otherwise(
-        F.format_string("%.1f", value)
-    )
+    """A value from 0 to 100 with one decimal, rounded by its exact binary value, ties to even.
+
+    Formatting in the JVM rounds the shortest decimal spelling instead (1.65 would give 1.7), so
+    the fraction is taken as a whole number of 2**-60 and compared with the midpoint.
+    """
+    whole = F.floor(value)
+    fifths = ((value - whole) * float(2**60)).cast("bigint") * 5
+    tenths = F.shiftright(fifths, 59)
+    midpoint = (tenths * 2 + 1) * (2**58)
+    up = (fifths > midpoint) | ((fifths == midpoint) & (tenths % 2 == 1))
+    total = whole * 10 + tenths + up.cast("bigint")
+    return F.concat((total / 10).cast("bigint").cast("string"), F.lit("."),
+                    (total % 10).cast("string"))
 
 
 def reasons(semantic: Column) -> Column:
@@ -168,14 +176,14 @@ def rule_score() -> Column:
     return F.least(F.lit(SCORE_CAP), total).cast("int")
 
 
-def with_scores(
-    df: DataFrame, settings: Settings | None = None, scorer: Scorer = null_scorer
-) -> DataFrame:
-    """Add the ``cti_*`` columns to rows that carry indicators, folded text and counters."""
+def with_scores(df: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Add the ``cti_*`` columns to rows that a scorer has seen and that carry indicators, folded
+    text and counters.
+    """
     settings = settings or Settings()
     semantic = F.col("semantic_score")
     scored = (
-        scorer(with_rule_parts(df, settings))
+        with_rule_parts(df, settings)
         .withColumn("cti_rule_score", rule_score())
         .withColumn("_final", hybrid_score(F.col("cti_rule_score"), semantic))
     )

@@ -96,7 +96,7 @@ def category_names(prototypes: Prototypes) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class VectorScorer:
-    """Scorer over a stored vector column; plugs into ``with_scores``."""
+    """Scorer over a stored vector column; plugs into ``enrich``."""
 
     prototypes: Prototypes
     revision: str

@@ -120,9 +120,13 @@ def flatten_payloads(payloads: DataFrame, as_of: datetime) -> DataFrame:
 def enrich(
     df: DataFrame, settings: Settings | None = None, scorer: Scorer = null_scorer
 ) -> DataFrame:
-    """Add folded text, indicators and scores; no shuffle."""
-    folded = df.withColumn("normalized_text", normalize_text(F.col("text")))
-    return with_scores(with_indicators(folded), settings, scorer)
+    """Add folded text, indicators and scores; no shuffle.
+
+    The steps that may call Python come first and next to each other: with expressions between
+    them the optimizer would repeat those to evaluate both calls in one go.
+    """
+    folded = scorer(df.withColumn("normalized_text", normalize_text(F.col("text"))))
+    return with_scores(with_indicators(folded), settings)
 
 
 def to_stored(enriched: DataFrame) -> DataFrame:
