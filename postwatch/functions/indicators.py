@@ -13,7 +13,8 @@ from postwatch.schema import INDICATOR_FIELDS, IOC_COLUMNS
 # --- fixed values: patterns. (?iU) gives the JVM Unicode-aware classes and case matching. --------
 URL = r"""(?iU)\bhttps?://[^\s\x1c-\x1f<>"']+"""
 URL_TAIL = ".,);]"
-EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}\b"
+# Both cases are spelled out: the JVM compares some letters with one case of a class only.
+EMAIL = r"(?iU)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b"
 IP_CANDIDATE = r"(?iU)(?<![\w:])(?:[A-F0-9:.]{3,45})(?![\w:])"
 # The look-ahead changes no match: it only gives up early on a word that no dot follows.
 DOMAIN = r"(?iU)\b(?=[a-z0-9-]++\.)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\b"
