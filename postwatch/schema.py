@@ -87,22 +87,19 @@ post struct<
   edit_history_tweet_ids: array<string>>,
 author struct<id: string, username: string, name: string, verified: boolean, protected: boolean>
 """
-PAGE_DDL = """
-data array<struct<
-  id: string, text: string, author_id: string, conversation_id: string, created_at: string,
-  lang: string,
-  public_metrics: struct<reply_count: bigint, retweet_count: bigint, quote_count: bigint,
-    like_count: bigint, bookmark_count: bigint, impression_count: bigint>,
-  entities: struct<urls: array<struct<url: string, expanded_url: string>>,
-    hashtags: array<struct<tag: string>>, mentions: array<struct<username: string>>>,
-  referenced_tweets: array<struct<type: string, id: string>>,
-  edit_history_tweet_ids: array<string>>>,
-includes struct<
-  users: array<struct<id: string, username: string, name: string, verified: boolean,
-    protected: boolean>>,
-  tweets: array<struct<id: string, text: string>>>,
-meta struct<newest_id: string, next_token: string>
+# A page: its items stay text at first, so that one odd item does not spoil the page.
+PAGE_DDL = "data array<string>, includes struct<users: array<string>, tweets: array<string>>"
+PAGE_POST_DDL = """
+id string, text string, author_id string, conversation_id string, created_at string, lang string,
+public_metrics struct<reply_count: bigint, retweet_count: bigint, quote_count: bigint,
+  like_count: bigint, bookmark_count: bigint, impression_count: bigint>,
+entities struct<urls: array<struct<url: string, expanded_url: string>>,
+  hashtags: array<struct<tag: string>>, mentions: array<struct<username: string>>>,
+referenced_tweets array<struct<type: string, id: string>>,
+edit_history_tweet_ids array<string>
 """
+PAGE_USER_DDL = "id string, username string, name string, verified boolean, protected boolean"
+PAGE_TWEET_DDL = "id string, text string"
 SCRAPED_DDL = """
 post_id string, permalink string, created_at string, text string, lang string,
 username string, display_name string, verified boolean,

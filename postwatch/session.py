@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a cluster session should carry. Shuffle partitions start high and AQE merges small
 # ones; skewed join partitions are split at run time; text columns compress well with zstd.
@@ -39,16 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     on a cluster a missing setting is an error, since a machine-local folder would lose data
     with its executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="postwatch-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="postwatch-"))
+    return context.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -56,7 +54,7 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

@@ -12,58 +12,69 @@ from postwatch.functions.records import (
     parse_metric,
 )
 from postwatch.functions.text import strip
-from postwatch.schema import PAGE_DDL, REFERENCED
+from postwatch.schema import (
+    PAGE_DDL,
+    PAGE_POST_DDL,
+    PAGE_TWEET_DDL,
+    PAGE_USER_DDL,
+    REFERENCED,
+)
 
 
 def _or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def _items(listed: Column, ddl: str) -> Column:
+    """Items of a list that are objects, parsed."""
+    objects = F.filter(listed, lambda item: F.ltrim(item).startswith("{"))
+    return F.transform(objects, lambda item: F.from_json(item, ddl))
+
+
+def _last_by_id(listed: Column, wanted: Column) -> Column:
+    return F.try_element_at(F.filter(listed, lambda item: item["id"] == wanted), F.lit(-1))
+
+
 def page_posts(pages: DataFrame, value: str = "value") -> DataFrame:
     """One payload per post of each page.
 
     Users and referenced posts are looked up inside the page they came with, so nothing moves
-    between tasks, and a post keeps only the posts it refers to. Unreadable pages give no rows.
+    between tasks, and a post keeps only the posts it refers to. Unreadable pages give no rows and
+    items that are no objects are skipped.
     """
     rest = [name for name in pages.columns if name != value]
     page = pages.select(*rest, F.from_json(value, PAGE_DDL).alias("_page"))
     posts = page.select(
-        *rest, F.explode("_page.data").alias("_post"),
-        F.col("_page.includes.users").alias("_users"),
-        F.col("_page.includes.tweets").alias("_referenced"),
-    ).filter(F.col("_post").isNotNull())
+        *rest,
+        _items(F.col("_page.data"), PAGE_POST_DDL).alias("_posts"),
+        _items(F.col("_page.includes.users"), PAGE_USER_DDL).alias("_users"),
+        _items(F.col("_page.includes.tweets"), PAGE_TWEET_DDL).alias("_referenced"),
+    ).select(*rest, F.explode("_posts").alias("_post"), "_users", "_referenced")
     post = F.col("_post")
-    known = F.map_from_entries(
-        F.filter(
-            F.transform(
-                F.array_distinct(
-                    F.transform(post["referenced_tweets"], lambda relation: relation["id"])
-                ),
-                lambda wanted: F.struct(
-                    wanted.alias("key"),
-                    F.try_element_at(
-                        F.filter("_referenced", lambda known: known["id"] == wanted), F.lit(-1)
-                    ).alias("value"),
-                ),
-            ),
-            lambda entry: entry["key"].isNotNull() & entry["value"].isNotNull(),
-        )
+    wanted = F.array_distinct(
+        F.transform(post["referenced_tweets"], lambda relation: relation["id"])
     )
-    author = F.try_element_at(
-        F.filter("_users", lambda user: user["id"] == post["author_id"]), F.lit(-1)
+    entries = F.transform(
+        wanted,
+        lambda key: F.struct(
+            key.alias("key"), _last_by_id(F.col("_referenced"), key).alias("value")
+        ),
+    )
+    known = F.map_from_entries(
+        F.filter(entries, lambda entry: entry["key"].isNotNull() & entry["value"].isNotNull())
     )
     return posts.select(
         *rest,
         post.withField("_referenced_posts", known.cast(REFERENCED)).alias("post"),
-        author.alias("author"),
+        _last_by_id(F.col("_users"), post["author_id"]).alias("author"),
     )
 
 
 def page_authors(pages: DataFrame, sequence: str, value: str = "value") -> DataFrame:
     """All users of all pages with the sequence number of their page, for the author table."""
+    users = _items(F.from_json(value, PAGE_DDL)["includes"]["users"], PAGE_USER_DDL)
     return (
-        pages.select(sequence, F.from_json(value, PAGE_DDL).alias("_page"))
-        .select(F.col(sequence).alias("page_seq"), F.explode("_page.includes.users").alias("_user"))
+        pages.select(F.col(sequence).alias("page_seq"), F.explode(users).alias("_user"))
         .filter(F.coalesce(F.length("_user.id"), F.lit(0)) > 0)
         .select("page_seq", "_user.*")
     )
