@@ -117,6 +117,16 @@ def flatten_payloads(payloads: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores out to all cores.
+
+    Enrichment is bound by computing, so a few or unsplittable files would leave most cores idle.
+    A large input has more splits than cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def enrich(
     df: DataFrame, settings: Settings | None = None, scorer: Scorer = null_scorer
 ) -> DataFrame:

@@ -6,8 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postwatch.schema import VERSION_KEY
+from postwatch.session import fresh_dir
+
+BROADCAST_KEYS = 200_000  # about 10 MB of (day, post_id) pairs
+MAX_CANDIDATES = 4_000  # narrow rows brought to the driver for a top list
 
 # Order of the versions of one key. Spark keeps no insertion order, so equal versions are told
 # apart by ingest time, then by update time and counters. Rows equal in all of these come from a
@@ -51,15 +56,22 @@ def current_matching(versions: DataFrame, predicate: Column, columns: Sequence[s
     """Rows that satisfy the predicate and are the newest version of their key.
 
     Same result as ``current_posts(versions).filter(predicate)``, but the predicate reaches the
-    scan and only the hits move. A second scan of the key and version columns alone checks that no
-    hit has been superseded.
+    scan and only the hits move. They are written to the shared folder, so that the texts are read
+    once and a lost executor costs little. A second scan, of the key and version columns alone,
+    finds hits that have been superseded; it is not shuffled while the hits are few.
     """
     key = list(VERSION_KEY)
     wanted = list(dict.fromkeys([*key, *columns]))
-    hits = versions.filter(predicate).select(*wanted, version_order().alias("_version"))
+    spark = versions.sparkSession
+    path = fresh_dir(spark, "hits")
+    versions.filter(predicate).select(*wanted, version_order().alias("_version")).write.parquet(path)
+    hits = spark.read.parquet(path)
+    keys = hits.select(*key).distinct()
+    if hits.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     newest = (
         versions.select(*key, version_order().alias("_version"))
-        .join(hits.select(*key).distinct(), key, "left_semi")
+        .join(keys, key, "left_semi")
         .groupBy(*key)
         .agg(F.max("_version").alias("_version"))
     )
@@ -77,30 +89,54 @@ def top_current(
 ) -> DataFrame:
     """The first rows of the current posts by the given columns, largest first.
 
-    With versions in the table, the order is settled on key, version and order columns only; the
-    wide columns are then fetched for the at most ``limit`` rows chosen, whose days prune the scan.
-    ``limit`` is bounded by the callers, so the chosen keys may be broadcast.
+    With versions in the table, the first rows of all versions are taken, a few times more than
+    asked for and without any shuffle of the table, and checked for newer versions. If enough are
+    current, no other row can come before them; else more are taken. Only their partitions and row
+    groups are read again. A table where thousands of superseded rows lead is compared in full.
     """
     order = [F.col(name).desc() for name in descending]
+    predicate = F.lit(True) if predicate is None else predicate
     if not versioned:
-        rows = posts if predicate is None else posts.filter(predicate)
-        return rows.select(*columns).orderBy(*order).limit(limit)
+        return posts.filter(predicate).select(*columns).orderBy(*order).limit(limit)
     key = list(VERSION_KEY)
-    if predicate is None:
-        chosen = current_posts(
-            posts.select(*dict.fromkeys([*key, *VERSION_COLUMNS, *descending]))
-        ).withColumn("_version", version_order())
-    else:
-        chosen = current_matching(posts, predicate, descending)
-    keys = chosen.orderBy(*order).limit(limit).select(*key, "_version")
-    wide = posts.select(*dict.fromkeys([*key, *columns]), version_order().alias("_version"))
-    return (
-        wide.join(F.broadcast(keys), [*key, "_version"], "left_semi")
-        .dropDuplicates(key)
-        .select(*columns)
-        .orderBy(*order)
-        .limit(limit)
-    )
+    narrow = list(dict.fromkeys([*key, *VERSION_COLUMNS, *descending]))
+    take = 4 * limit
+    while take <= MAX_CANDIDATES:
+        leading = posts.filter(predicate).select(*narrow).orderBy(*order).limit(take).collect()
+        around = _around(posts, leading)
+        newest = {
+            tuple(row[name] for name in key): tuple(row["_version"])
+            for row in around.groupBy(*key).agg(F.max(version_order()).alias("_version"))
+            .join(F.broadcast(_keys(posts, leading)), key, "left_semi").collect()
+        }
+        current = {
+            tuple(row[name] for name in key) for row in leading
+            if newest[tuple(row[name] for name in key)]
+            == tuple(row[name] for name in VERSION_COLUMNS)
+        }
+        if len(current) >= limit or len(leading) < take:
+            return (
+                current_posts(around).filter(predicate).select(*columns).orderBy(*order)
+                .limit(limit)
+            )
+        take *= 8
+    rows = current_matching(posts, predicate, [*columns, *descending])
+    return rows.orderBy(*order).limit(limit).select(*columns)
+
+
+def _keys(posts: DataFrame, rows: list) -> DataFrame:
+    fields = [posts.schema[name] for name in VERSION_KEY]
+    pairs = sorted({tuple(row[name] for name in VERSION_KEY) for row in rows})
+    return posts.sparkSession.createDataFrame(pairs, T.StructType(fields))
+
+
+def _around(posts: DataFrame, rows: list) -> DataFrame:
+    """All versions on the days and with the ids of a few rows; both are pushed into the scan."""
+    if not rows:
+        return posts.limit(0)
+    days = sorted({row["day"] for row in rows})
+    ids = sorted({row["post_id"] for row in rows})
+    return posts.filter(F.col("day").isin(days) & F.col("post_id").isin(ids))
 
 
 def latest_of_post(posts: DataFrame, post_id: str) -> DataFrame:

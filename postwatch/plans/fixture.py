@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.functions.records import ntz
-from postwatch.operators.ingest import enrich, to_stored
+from postwatch.operators.ingest import enrich, spread, to_stored
 from postwatch.operators.versions import current_posts
 from postwatch.schema import LIVE_SOURCE, Settings
 from postwatch.session import fresh_dir
 from postwatch.sources.store import append_posts, read_versions
+from postwatch.sources.token_index import append_index
 from postwatch.streaming.jobs import landing_stream, payload_stream
 
 # Sentences of our own that carry indicators; each document gets one by its number.
@@ -50,8 +51,8 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
-    return payload_stream(payload_lines(documents, labels))
+    lines = payload_lines(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return payload_stream(lines)
 
 
 def sentence(number: Column) -> Column:
@@ -115,8 +116,13 @@ def raw_versions(documents: DataFrame) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text table, with its rows on all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_versions(table(spark, sf_dir, "documents"))
+    return raw_versions(documents(spark, sf_dir))
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +148,16 @@ def stored_path(spark: SparkSession, sf_dir: str) -> str:
     return _STORED[place]
 
 
+def index_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the token index of the stored posts."""
+    place = (spark.sparkContext.applicationId, f"{sf_dir}#index")
+    if place not in _STORED:
+        path = fresh_dir(spark, "index")
+        append_index(posts(spark, sf_dir), path)
+        _STORED[place] = path
+    return _STORED[place]
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored posts, superseded versions included."""
     return read_versions(spark, stored_path(spark, sf_dir))
@@ -267,10 +283,9 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scraped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scraped rows: French ones only have a link, German ones quote another post."""
-    documents = table(spark, sf_dir, "documents")
     number = F.col("doc_id").cast("string")
     thousands = (F.col("n_chars") / 1000).cast("decimal(10,1)").cast("string")
-    return documents.select(
+    return documents(spark, sf_dir).select(
         F.when(F.col("lang") == "fr", "").otherwise(F.concat(F.lit(" "), number)).alias("post_id"),
         F.concat(F.lit("/"), "source", F.lit("/status/"), number, F.lit("?s=1")).alias("permalink"),
         F.lit("2026-01-15T10:00:00.000Z").alias("created_at"),

@@ -452,6 +452,8 @@ ORACLES["search_current"] = ORACLES["search_any"]
 ORACLES["search_phrase"] = matching(
     f"contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' sunny day at ')"
 )
+for _mode in ("all", "any", "phrase"):
+    ORACLES[f"indexed_{_mode}"] = ORACLES[f"search_{_mode}"]
 ORACLES["filter_dates"] = matching(
     f"{TOPIC} AND created_at >= TIMESTAMP '2026-01-05 06:00:00'"
     " AND created_at <= TIMESTAMP '2026-01-12 23:59:59'"

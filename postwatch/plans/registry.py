@@ -21,7 +21,7 @@ from postwatch.schema import (
     SearchSpec,
 )
 from postwatch.session import fresh_dir
-from postwatch.sources import deletes, html, pages, store, synthetic
+from postwatch.sources import deletes, html, pages, store, synthetic, token_index
 from postwatch.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,7 +186,7 @@ def scraped_to_post(spark, sf):
 
 @query("html_to_raw")
 def html_to_raw(spark, sf):
-    raw = html.html_to_raw(table(spark, sf, "pages"), markup=html.WEB_PAGE)
+    raw = html.html_to_raw(ingest.spread(table(spark, sf, "pages")), markup=html.WEB_PAGE)
     links = F.transform("urls", lambda item: item["url"])
     return raw.select("page_id", "lang", F.trim("text").alias("text"), joined(links).alias("links"))
 
@@ -363,6 +363,23 @@ def search_current(spark, sf):
     return plain(rows)
 
 
+def indexed(spec: SearchSpec) -> Query:
+    """Same answers as the plain search, through the token index."""
+
+    def run(spark, sf):
+        index = token_index.read_index(spark, fixture.index_path(spark, sf))
+        rows = token_index.restrict(fixture.posts(spark, sf), index, spec)
+        found = search.matching(rows, spec, versioned=True, columns=RESULT)
+        return plain(found)
+
+    return run
+
+
+QUERIES.update({
+    f"indexed_{mode}": indexed(MATCH_SPECS[f"search_{mode}"]) for mode in ("all", "any", "phrase")
+})
+
+
 @query("get_post")
 def get_post(spark, sf):
     """The newest version of the post that was created last."""
@@ -564,7 +581,7 @@ def keep_last_per_id(spark, sf):
 
 @query("normalize")
 def normalize(spark, sf):
-    return table(spark, sf, "documents").select(
+    return fixture.documents(spark, sf).select(
         "doc_id", text.normalize_text(F.col("text")).alias("normalized")
     )
 
@@ -585,7 +602,7 @@ def query_terms(spark, sf):
 @query("tokenize")
 def tokenize(spark, sf):
     """Count and first position of every token over all documents."""
-    tokens = table(spark, sf, "documents").select(
+    tokens = fixture.documents(spark, sf).select(
         "doc_id", F.explode(text.tokenize(text.normalize_text(F.col("text")))).alias("token")
     )
     return tokens.groupBy("token").agg(
@@ -600,7 +617,7 @@ def spans_text(spans: Column) -> Column:
 
 @query("highlights")
 def highlights(spark, sf):
-    rows = table(spark, sf, "documents").select(
+    rows = fixture.documents(spark, sf).select(
         "doc_id", text.highlight_offsets(F.col("text"), "the rt").alias("spans")
     )
     return rows.select("doc_id", spans_text(F.col("spans")).alias("spans"))
@@ -927,13 +944,14 @@ def stream_admission(spark, sf):
 
 @query("stream_enrich")
 def stream_enrich(spark, sf):
-    lines = fixture.payload_lines(fixture.stream(spark, sf, "documents"),
-                                  table(spark, sf, "labels"))
+    arrived = fixture.stream(spark, sf, "documents")
+    lines = fixture.payload_lines(arrived, table(spark, sf, "labels"))
     posts, rejects, offsets = (
         fresh_dir(spark, name) for name in ("stream-posts", "stream-rejects", "stream-offsets")
     )
     jobs.enrich_stream(
-        jobs.payload_stream(lines), posts, rejects, offsets, AS_OF, SETTINGS
+        jobs.payload_stream(lines), posts, rejects, offsets, AS_OF, SETTINGS,
+        tasks=spark.sparkContext.defaultParallelism,
     )
     return plain(store.read_current(spark, posts).select(*PREPARED))
 
@@ -966,4 +984,5 @@ def stream_daily_levels(spark, sf):
 
 
 def to_posts_stream(documents: DataFrame) -> DataFrame:
+    documents = documents.repartition(documents.sparkSession.sparkContext.defaultParallelism)
     return ingest.to_stored(ingest.enrich(fixture.raw_versions(documents), SETTINGS))

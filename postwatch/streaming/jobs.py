@@ -78,16 +78,19 @@ def enrich_stream(
     as_of: datetime | None = None,
     settings: Settings | None = None,
     scorer: Scorer = null_scorer,
+    tasks: int | None = None,
 ) -> None:
     """Payloads to stored posts, rejects with their reason to quarantine.
 
+    ``tasks`` deals the payloads of a batch out where batches consist of few files.
+
     Appending is at-least-once; a replayed row has the same key and version and drops out when
     current versions are read.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now(UTC)
-        accepted, rejected = split_rejects(batch)
+        accepted, rejected = split_rejects(batch.repartition(tasks) if tasks else batch)
         posts = to_stored(enrich(flatten_payloads(accepted, now), settings, scorer))
         append_posts(posts, posts_path)
         rejected.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
