@@ -48,9 +48,12 @@ def landing_stream(
 
 
 def payload_stream(lines: DataFrame, value: str = "value") -> DataFrame:
-    """JSON lines to payloads; an unreadable line becomes a payload without id, which is rejected."""
-    parsed = lines.select(F.from_json(value, f"struct<{_fields()}>").alias("_payload"))
-    return parsed.select("_payload.*")
+    """JSON lines to payloads; an unreadable line becomes a payload without id, which is rejected.
+
+    The generator keeps later filters above it; pushed below, each would parse the text again.
+    """
+    parsed = F.from_json(value, f"struct<{_fields()}>")
+    return lines.select(F.inline(F.array(parsed)))
 
 
 def _fields() -> str:
