@@ -371,6 +371,25 @@ SELECT CAST(doc_id AS VARCHAR) AS post_id,
   lang AS hashtags, source AS mentions,
   CASE WHEN lang = 'de' THEN '9' || doc_id ELSE '' END AS referenced_post_ids
 FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)"""
+# Article text of a page: markup off, character references resolved, all links inside it.
+ORACLES["html_to_raw"] = r"""
+WITH parts AS (
+  SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+    regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body, html
+  FROM pages
+)
+SELECT page_id, lang, trim(html_text) AS text, links
+FROM (
+  SELECT *, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(body,
+    '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS html_text,
+    coalesce(array_to_string(list_concat(
+      regexp_extract_all(body, '<a [^>]*href="([^"]*)"', 1),
+      list_filter(regexp_extract_all(html, '<a [^>]*href="(http[^"]*)"', 1),
+        lambda h: NOT contains(h, 'x.com') AND NOT contains(h, 'twitter.com'))[1:1]), '|'), '')
+      AS links
+  FROM parts
+)"""
 ORACLES["delete_events"] = """
 SELECT DISTINCT CAST(doc_id AS VARCHAR) AS post_id FROM labels WHERE toxic = 1"""
 ORACLES["id_export"] = CURRENT + """
@@ -537,6 +556,11 @@ ORACLES["stream_enrich"] = ORACLES["prepare_posts"]
 ORACLES["author_latest"] = """
 SELECT CAST(s_nationkey AS VARCHAR) AS id, s_name AS username, round(s_acctbal, 2) AS balance
 FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) = 1"""
+ORACLES["page_authors"] = """
+SELECT role AS id, '@' || role AS username,
+  CASE WHEN role = 'user' THEN 'page ' || max(conv_id * 100000 + turn)
+    ELSE upper(left(role, 1)) || substr(role, 2) END AS name
+FROM conversations GROUP BY role"""
 ORACLES["author_join"] = f"""
 WITH latest AS ({ORACLES['author_latest']})
 SELECT CAST(c_custkey AS VARCHAR) AS post_id, CAST(c_nationkey AS VARCHAR) AS author_id,
@@ -673,41 +697,41 @@ def span(at: str, size: int) -> str:
     return f"{{'s': {source(at)}, 'e': {source(f'({at} + {size - 1})')} + 1}}"
 
 
-ORACLES["highlights"] = f"""
-WITH folds AS (
+def highlight_hits(first: str, second: str) -> str:
+    """CTEs with at most twenty ranges per document, the first term's before the second's."""
+    return f"""folds AS (
   SELECT doc_id, replace(lower(text), 'ß', 'ss') AS folded,
     replace(lower(text), 'ß', 's' || chr(1)) AS marked
   FROM documents
 ),
 hits AS (
   SELECT doc_id, list_concat(
-    list_transform({term_hits('the')}, lambda pos: {span('pos', 3)}),
-    list_transform({term_hits('rt')}, lambda pos: {span('pos', 2)}))[1:20] AS spans
+    list_transform({term_hits(first)}, lambda pos: {span('pos', len(first))}),
+    list_transform({term_hits(second)}, lambda pos: {span('pos', len(second))}))[1:20] AS spans
   FROM folds
-)
+)"""
+
+
+ORACLES["highlights"] = f"""
+WITH {highlight_hits('the', 'rt')}
 SELECT doc_id, {joined("list_transform(list_sort(spans), lambda x: x.s || '-' || x.e)")} AS spans
 FROM hits"""
-ORACLES["merge_highlights"] = """
-WITH spans AS (
-  SELECT DISTINCT l_orderkey, l_linenumber * 10 AS s,
-    CAST(l_linenumber * 10 + l_quantity % 15 AS BIGINT) AS e
-  FROM lineitem
-),
+ORACLES["merge_highlights"] = f"""
+WITH {highlight_hits('the', 'he')},
+spans AS (SELECT doc_id, unnest(spans, recursive := true) FROM hits),
 edges AS (
-  SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e
+  SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
   FROM spans
 ),
 islands AS (
   SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END)
-    OVER (PARTITION BY l_orderkey ORDER BY s, e) AS island
+    OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
   FROM edges
 ),
-merged AS (
-  SELECT l_orderkey, min(s) AS s, max(e) AS e FROM islands GROUP BY l_orderkey, island
-)
-SELECT l_orderkey, string_agg(s || '-' || e, '|' ORDER BY s) AS merged FROM merged
-GROUP BY l_orderkey"""
+merged AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM islands GROUP BY doc_id, island)
+SELECT d.doc_id, coalesce(string_agg(s || '-' || e, '|' ORDER BY s), '') AS merged
+FROM documents d LEFT JOIN merged m ON m.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 # --- indicators and scores -----------------------------------------------------------------------
 

@@ -422,7 +422,20 @@ def quarantine(spark, sf):
     return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("payloads"))
 
 
-def page_authors(spark, sf) -> DataFrame:
+@query("page_authors")
+def page_authors(spark, sf):
+    """Authors of all pages, as the last page that names them has them."""
+    sequence = (F.col("conv_id") * 100_000 + F.col("turn")).alias("seq")
+    named = F.concat(F.lit("page "), sequence.cast("string"))
+    documents = fixture.turn_pages(spark, sf).select(
+        sequence, F.replace("value", F.lit('"name":"User"'), F.concat(
+            F.lit('"name":"'), named, F.lit('"'))).alias("value")
+    )
+    latest = ingest.latest_authors(pages.page_authors(documents, "seq"))
+    return latest.select("id", "username", "name")
+
+
+def supplier_authors(spark, sf) -> DataFrame:
     """Suppliers of a nation as versions of one author, ordered by their number."""
     return table(spark, sf, "supplier").select(
         F.col("s_nationkey").cast("string").alias("id"), F.col("s_name").alias("username"),
@@ -432,7 +445,7 @@ def page_authors(spark, sf) -> DataFrame:
 
 @query("author_latest")
 def author_latest(spark, sf):
-    return ingest.latest_authors(page_authors(spark, sf))
+    return ingest.latest_authors(supplier_authors(spark, sf))
 
 
 @query("author_join")
@@ -446,7 +459,7 @@ def author_join(spark, sf):
         F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("username"),
         F.round("s_acctbal", 2).alias("balance"),
     )
-    found = ingest.join_authors(posts, ingest.latest_authors(page_authors(spark, sf)), by_post)
+    found = ingest.join_authors(posts, ingest.latest_authors(supplier_authors(spark, sf)), by_post)
     return found.select("post_id", "author_id", "author.username", "author.balance")
 
 
@@ -625,17 +638,11 @@ def highlights(spark, sf):
 
 @query("merge_highlights")
 def merge_highlights(spark, sf):
-    """Turns of a conversation laid end to end as ranges that touch every other time."""
-    span = F.struct(
-        (F.col("l_linenumber") * 10).cast("int").alias("start"),
-        (F.col("l_linenumber") * 10 + F.col("l_quantity") % 15).cast("int").alias("end"),
-    )
-    spans = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_set(span)).alias("spans")  # at most a few lines per order
-    )
-    return spans.select(
-        "l_orderkey", spans_text(text.merge_highlights(F.col("spans"))).alias("merged")
+    """Ranges of two terms that overlap inside words, merged per document."""
+    rows = fixture.documents(spark, sf).select(
+        "doc_id", text.highlight_offsets(F.col("text"), "the he").alias("spans")
     )
+    return rows.select("doc_id", spans_text(text.merge_highlights(F.col("spans"))).alias("merged"))
 
 
 # --- indicators ----------------------------------------------------------------------------------
@@ -889,7 +896,8 @@ def seen_retention(spark, sf):
     sightings = table(spark, sf, "events").select(
         F.col("user_id").alias("post_id"), F.col("ts").cast("timestamp_ntz").alias("seen_at")
     )
-    seen = ledger.mark_seen(sightings.limit(0), sightings)
+    early = F.col("seen_at") < records.ntz(datetime(2024, 1, 2))
+    seen = ledger.mark_seen(sightings.filter(early), sightings.filter(~early))
     kept = ledger.prune_seen(seen, SEEN_AS_OF, SETTINGS.seen_retention_days)
     return plain(kept)
 

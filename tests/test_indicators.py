@@ -19,14 +19,14 @@ def extract(spark, *texts):
 def test_defanged_report(spark):
     (found,) = extract(
         spark,
-        "APT42 shared hxxps://evil[.]example/a and 203.0.113.9 for CVE-2026-4242 T1059.001",
+        "UNC77 used T1566.002 and CVE-2031-10001 from 198.51.100.7, see hxxp://drop[.]test/kit",
     )
-    assert found["urls"] == ["https://evil.example/a"]
-    assert "evil.example" in found["domains"]
-    assert found["ipv4"] == ["203.0.113.9"]
-    assert found["cves"] == ["CVE-2026-4242"]
-    assert found["attack_techniques"] == ["T1059.001"]
-    assert found["threat_actors"] == ["APT42"]
+    assert found["urls"] == ["http://drop.test/kit"]
+    assert "drop.test" in found["domains"]
+    assert found["ipv4"] == ["198.51.100.7"]
+    assert found["cves"] == ["CVE-2031-10001"]
+    assert found["attack_techniques"] == ["T1566.002"]
+    assert found["threat_actors"] == ["UNC77"]
 
 
 def test_known_edges(spark):

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.check_oracles import compare, connect
 
-ROWS_ONLY = {"html_to_raw"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -19,7 +19,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("label", "value"),
-    [("1,234 Replies", 1234), ("1.2K Reposts", 1200), ("3M Views", 3_000_000), ("", 0),
+    [("2,345 Replies", 2345), ("3.4K Reposts", 3400), ("5M Views", 5_000_000), ("", 0),
      ("no digits", 0), ("2b views", 2_000_000_000), ("12 Bookmarks", 12), ("4 Mentions", 4),
      ("1.2.3 odd", 0), ("7", 7), ("0.5k", 500)],
 )
@@ -69,7 +69,7 @@ def payload(spark, post, author):
 
 
 def test_protected_author_is_rejected(spark):
-    df = payload(spark, {"id": "1", "text": "example", "created_at": "2026-01-01T00:00:00Z"},
+    df = payload(spark, {"id": "8", "text": "sample", "created_at": "2026-01-02T00:00:00Z"},
                  {"protected": True})
     accepted, rejected = ingest.split_rejects(df)
     assert accepted.count() == 0
@@ -88,22 +88,22 @@ def test_incomplete_posts_are_rejected(spark, post, reason):
 
 def test_payload_becomes_a_post(spark):
     post = {
-        "id": "123", "author_id": "7", "text": "CVE-2026-4242 at evil.example",
-        "created_at": "2026-01-01T00:00:00Z", "lang": "en",
-        "public_metrics": {"like_count": 10, "retweet_count": 2},
-        "entities": {"hashtags": [{"tag": "CTI"}, {"tag": ""}, {}],
+        "id": "815", "author_id": "4", "text": "CVE-2031-10001 on drop.test",
+        "created_at": "2026-01-02T00:00:00Z", "lang": "en",
+        "public_metrics": {"like_count": 21, "retweet_count": 5},
+        "entities": {"hashtags": [{"tag": "SOC"}, {"tag": ""}, {}],
                      "urls": [{"url": "u", "expanded_url": ""}, {"url": "a", "expanded_url": "b"}]},
-        "edit_history_tweet_ids": ["122", "123"],
+        "edit_history_tweet_ids": ["814", "815"],
         "referenced_tweets": [{"type": "replied_to", "id": "9"}, {"type": "quoted"}],
     }
-    author = {"id": "7", "username": "Analyst", "name": "Analyst"}
+    author = {"id": "4", "username": "Desk_One", "name": "Desk"}
     row = ingest.prepare_posts(payload(spark, post, author), AS_OF).first()
-    assert (row["like_count"], row["repost_count"], row["reply_count"]) == (10, 2, 0)
-    assert row["hashtags"] == ["cti"] and row["urls"] == ["u", "b"]
-    assert row["ioc_cves"] == ["CVE-2026-4242"]
-    assert row["username"] == "analyst" and row["content_version"] == 2
+    assert (row["like_count"], row["repost_count"], row["reply_count"]) == (21, 5, 0)
+    assert row["hashtags"] == ["soc"] and row["urls"] == ["u", "b"]
+    assert row["ioc_cves"] == ["CVE-2031-10001"]
+    assert row["username"] == "desk_one" and row["content_version"] == 2
     assert row["referenced_post_ids"] == ["9"]
-    assert row["created_at"] == datetime(2026, 1, 1) and row["ingested_at"] == AS_OF
+    assert row["created_at"] == datetime(2026, 1, 2) and row["ingested_at"] == AS_OF
     assert row["cti_semantic_score"] == -1.0 and row["model_revision"] == ""
 
 
@@ -146,22 +146,22 @@ def scraped(spark, **values):
 
 def test_scraped_row_becomes_a_payload(spark):
     row = pages.scraped_payloads(scraped(
-        spark, post_id="1234567890", text=" body ", lang="", username="@alice",
-        display_name="Alice", verified=True, reply_label="12 Replies", like_label="99 Likes",
-        retweet_label="4 Reposts", impression_label="1.5K Views",
-        urls=[{"url": "https://t.co/abc", "expanded_url": "https://example.com"}],
-        hashtags=["cti", ""], mentions=["@bob"], quoted_post_id="99", quoted_text=" quoted ",
+        spark, post_id="70707", text=" note ", lang="", username="@desk_one",
+        display_name="Desk", verified=True, reply_label="31 Replies", like_label="58 Likes",
+        retweet_label="7 Reposts", impression_label="2.5K Views",
+        urls=[{"url": "https://s.test/q", "expanded_url": "https://long.test"}],
+        hashtags=["soc", ""], mentions=["@two"], quoted_post_id="606", quoted_text=" older ",
     )).first()
     post, author = row["post"], row["author"]
-    assert post["id"] == "1234567890" and post["text"] == "body" and post["lang"] == "und"
+    assert post["id"] == "70707" and post["text"] == "note" and post["lang"] == "und"
     metrics = post["public_metrics"]
     assert (metrics["reply_count"], metrics["retweet_count"], metrics["like_count"],
-            metrics["impression_count"]) == (12, 4, 99, 1500)
-    assert [tag["tag"] for tag in post["entities"]["hashtags"]] == ["cti"]
-    assert [who["username"] for who in post["entities"]["mentions"]] == ["bob"]
-    assert [tuple(r) for r in post["referenced_tweets"]] == [("quoted", "99")]
-    assert post["_referenced_posts"]["99"]["text"] == "quoted"
-    assert (author["username"], author["name"], author["verified"]) == ("alice", "Alice", True)
+            metrics["impression_count"]) == (31, 7, 58, 2500)
+    assert [tag["tag"] for tag in post["entities"]["hashtags"]] == ["soc"]
+    assert [who["username"] for who in post["entities"]["mentions"]] == ["two"]
+    assert [tuple(r) for r in post["referenced_tweets"]] == [("quoted", "606")]
+    assert post["_referenced_posts"]["606"]["text"] == "older"
+    assert (author["username"], author["name"], author["verified"]) == ("desk_one", "Desk", True)
 
 
 def test_blank_scraped_text_is_rejected(spark):

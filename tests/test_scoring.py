@@ -15,7 +15,7 @@ def fixed_scorer(score, categories=()):
         return df.withColumns({
             "semantic_score": F.lit(score).cast("double"),
             "semantic_categories": F.array(*[F.lit(c) for c in categories]).cast("array<string>"),
-            "model_revision": F.lit("test-revision"),
+            "model_revision": F.lit("r-7"),
         })
 
     return add
@@ -30,12 +30,12 @@ def assess(spark, text, username="", likes=0, scorer=scoring.null_scorer, **sett
 
 def test_hybrid_score_is_explainable(spark):
     row = assess(
-        spark, "Critical CVE-2026-4242 exploit at hxxps://evil[.]example", "trusted", 1000,
-        fixed_scorer(80.0, ["vulnerability"]), trusted_handles=("trusted",),
+        spark, "Fresh exploit for CVE-2031-10001 served by hxxp://drop[.]test", "desk_one", 1000,
+        fixed_scorer(80.0, ["vulnerability"]), trusted_handles=("desk_one",),
     )
     assert (row["cti_rule_score"], row["cti_score"]) == (37, 52)
     assert row["cti_scoring_mode"] == "hybrid"
-    assert row["model_revision"] == "test-revision"
+    assert row["model_revision"] == "r-7"
     assert row["cti_level"] == "medium"
     assert row["cti_categories"] == ["ioc_sharing", "vulnerability"]
     assert row["cti_reasons"] == [
@@ -45,7 +45,7 @@ def test_hybrid_score_is_explainable(spark):
 
 
 def test_missing_model_is_named(spark):
-    row = assess(spark, "ordinary engineering update")
+    row = assess(spark, "plain maintenance notes")
     assert row["cti_scoring_mode"] == "rules_only"
     assert row["cti_semantic_score"] is None and row["model_revision"] is None
     assert row["cti_reasons"] == ["semantic_model:unavailable"]
@@ -84,14 +84,14 @@ def test_blend_rounds_half_to_even(spark):
     assert all(row["score"] == round(0.65 * row["r"] + 0.35 * row["s"]) for row in rows)
 
 
-@pytest.mark.parametrize("limits", [(80, 70, 90), (40, 90, 85), (0, 50, 60), (40, 70, 101)])
+@pytest.mark.parametrize("limits", [(60, 50, 90), (40, 90, 85), (0, 50, 60), (40, 70, 101)])
 def test_thresholds_must_rise(limits):
     with pytest.raises(ValueError):
         Thresholds(*limits)
 
 
 def test_handles_are_cleaned():
-    assert parse_handles("@CISA, threat_feed, ,") == ("cisa", "threat_feed")
+    assert parse_handles("@Sample_Desk, feed_two, ,") == ("feed_two", "sample_desk")
 
 
 def test_vector_scorer(spark):

@@ -16,9 +16,7 @@ def one(spark, column):
 
 
 def test_normalize_folds_and_collapses(spark):
-    assert one(spark, text.normalize_text(F.lit("  İSTANBUL\nCVE-2026-4242  "))) == (
-        "i̇stanbul cve-2026-4242"
-    )
+    assert one(spark, text.normalize_text(F.lit(" \tİZMİR\nUNC-77  "))) == "i̇zmi̇r unc-77"
 
 
 def test_normalize_equals_unicode_rules_on_random_text(spark):
@@ -43,21 +41,21 @@ def test_normalize_equals_unicode_rules_on_random_text(spark):
 
 
 def test_refang_is_ordered_and_case_sensitive(spark):
-    assert one(spark, text.refang_text(F.lit("hxxps://evil[.]example/path a(.)b c[:]d e[@]f"))) == (
-        "https://evil.example/path a.b c:d e@f"
+    assert one(spark, text.refang_text(F.lit("hxxps://drop[.]test/kit a(.)b c[:]d e[@]f"))) == (
+        "https://drop.test/kit a.b c:d e@f"
     )
     assert one(spark, text.refang_text(F.lit("hXXp://x[dot]y"))) == "hXXp://x[dot]y"
 
 
 def test_query_terms(spark):
-    assert text.split_terms(" malware   campaign ") == ["malware", "campaign"]
-    assert one(spark, text.query_terms(F.lit(" malware   campaign "))) == ["malware", "campaign"]
-    assert text.split_terms("malware' OR 1=1 --") == ["malware'", "or", "1=1", "--"]
+    assert text.split_terms(" botnet   takedown ") == ["botnet", "takedown"]
+    assert one(spark, text.query_terms(F.lit(" botnet   takedown "))) == ["botnet", "takedown"]
+    assert text.split_terms("loader' OR 2=2 --") == ["loader'", "or", "2=2", "--"]
 
 
 def test_search_tokens_are_cut_like_the_text():
-    assert text.search_tokens("CVE-2026-4242 exploit") == ["cve", "2026", "4242", "exploit"]
-    assert text.search_tokens("CVE-2026-4242", verbatim=True) == ["cve-2026-4242"]
+    assert text.search_tokens("CVE-2031-10001 kit") == ["cve", "2031", "10001", "kit"]
+    assert text.search_tokens("CVE-2031-10001", verbatim=True) == ["cve-2031-10001"]
     with pytest.raises(ValueError):
         text.search_tokens("---")
 
@@ -89,8 +87,8 @@ def test_tokens_keep_non_ascii_letters(spark):
 @pytest.mark.parametrize(
     ("value", "query", "expected"),
     [
-        ("Critical CVE and another CVE", "CVE", [(9, 12), (25, 28)]),
-        ("İSTANBUL signal", "İstanbul", [(0, 8)]),
+        ("watch APT and then the APT again", "Apt", [(6, 9), (23, 26)]),
+        ("on İzmir report", "İZMIR", [(3, 8)]),
         ("Straße STRASSE", "strasse", [(0, 6), (7, 14)]),
         ("x" * 30, "x", [(n, n + 1) for n in range(20)]),
         ("aaa", "aa", [(0, 2)]),
