@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from postwatch.operators.versions import current_posts, without_deleted
 from postwatch.schema import STORED_SCHEMA
-from postwatch.session import fresh_dir
 
 # Point lookups by id and filters by author skip row groups through bloom filters.
 _WRITE_OPTIONS = {
@@ -46,21 +45,19 @@ def register_views(spark: SparkSession, path: str) -> None:
 def _replace_days(spark: SparkSession, path: str, kept: DataFrame, days: list) -> None:
     """Write the kept rows of the given days in place of what is stored for them.
 
-    The rows are staged in the shared folder first, since they are read from the same days.
+    A dynamic overwrite collects its output beside the table and swaps whole days when the job
+    commits, so the rows may be read from the days they replace.
     """
-    staged = fresh_dir(spark, "staged")
-    _laid_out(kept).write.options(**_WRITE_OPTIONS).partitionBy("day").parquet(staged)
-    result = spark.read.schema(STORED_SCHEMA).parquet(staged)
+    left = {row["day"] for row in kept.select("day").distinct().collect()}
     (
-        _laid_out(result)
+        _laid_out(kept)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .options(**_WRITE_OPTIONS)
         .partitionBy("day")
         .parquet(path)
     )
-    # A dynamic overwrite leaves a day alone that lost all its rows, so drop those folders.
-    left = {row["day"] for row in result.select("day").distinct().collect()}
+    # The overwrite leaves a day alone that lost all its rows, so drop those folders.
     for day in days:
         if day not in left:
             folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}")

@@ -28,14 +28,14 @@ def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
 def append_index(posts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Add the tokens of newly stored rows.
 
-    A common token fills its bucket with many rows; rebalancing splits such a bucket over tasks and
-    files. Sorted files let a lookup skip row groups.
+    Files hold ranges of (bucket, token, day, post): a rare token lies in one file, and a common one
+    is split by day and post over as many tasks and files as it needs.
     """
     tokens = F.explode(F.array_distinct(tokenize(F.col("normalized_text"))))
     (
         posts.select(tokens.alias("token"), "day", "post_id")
         .withColumn("bucket", bucket_of(F.col("token"), buckets))
-        .hint("rebalance", "bucket")
+        .repartitionByRange("bucket", "token", "day", "post_id")
         .sortWithinPartitions("bucket", "token", "day", "post_id")
         .write.mode("append")
         .partitionBy("bucket")

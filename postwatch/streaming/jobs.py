@@ -93,10 +93,13 @@ def enrich_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now(UTC)
-        accepted, rejected = split_rejects(batch.repartition(tasks) if tasks else batch)
+        # Read and parsed once for both outputs; a lost part is computed again from the source.
+        kept = (batch.repartition(tasks) if tasks else batch).persist()
+        accepted, rejected = split_rejects(kept)
         posts = to_stored(enrich(flatten_payloads(accepted, now), settings, scorer))
         append_posts(posts, posts_path)
         rejected.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        kept.unpersist()
 
     run(payloads, handle, checkpoint)
 
