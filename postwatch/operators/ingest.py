@@ -25,7 +25,6 @@ from postwatch.functions.text import clean_handle, normalize_text
 from postwatch.schema import (
     INDICATOR_FIELDS,
     LIVE_SOURCE,
-    METRIC_COLUMNS,
     NO_MODEL_SCORE,
     POST_TYPES,
     Settings,
@@ -121,10 +120,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than cores out to all cores.
 
     Enrichment is bound by computing, so a few or unsplittable files would leave most cores idle.
-    A large input has more splits than cores and stays as it is, without a shuffle.
+    Several tasks per core even out texts of different lengths. A large input has more splits than
+    cores and stays as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def enrich(
@@ -253,7 +253,3 @@ def trusted_flag(df: DataFrame, settings: Settings, handle: str = "username") ->
     return df.withColumn(
         "trusted", F.coalesce(clean_handle(F.col(handle)).isin(*settings.trusted_handles), F.lit(False))
     )
-
-
-def metric_columns() -> list[str]:
-    return list(METRIC_COLUMNS.values())
