@@ -23,6 +23,18 @@ def documents(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the frame has."""
+    taken = {x.lower() for x in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ragged(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its n + 1 offsets into them; null is empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from postwatch.llm import byte_bpe, token_counts
+from postwatch.llm import byte_bpe, decontaminate, line_dedup, token_counts
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_byte_bpe": byte_bpe.query,
+    "op4_line_dedup": line_dedup.query,
     "op7_token_counts": token_counts.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+}
