@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from postwatch.llm import byte_bpe, decontaminate, line_dedup, token_counts
+from postwatch.llm import (
+    byte_bpe,
+    decontaminate,
+    language,
+    line_dedup,
+    spot_signatures,
+    token_counts,
+    url_reputation,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_byte_bpe": byte_bpe.query,
+    "op3_spot_signatures": spot_signatures.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_language": language.query,
     "op7_token_counts": token_counts.query,
+    "op10_url_reputation": url_reputation.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op10_url_reputation": url_reputation.ORACLE,
 }
