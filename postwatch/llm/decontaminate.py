@@ -11,7 +11,6 @@ over the documents, which hand their findings on.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,60 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.llm import common
+from postwatch.llm.words import words
 from postwatch.session import fresh_dir
 
 #: Words of a window.
 WINDOW = 10
 #: Bytes of benchmark text that are sent to every executor at once.
 GROUP_BYTES = 16_000_000
-LONG_WORD = 64
-BASE, SEED = 0x9E3779B97F4A7C15, 0xCBF29CE484222325
-
-
-def lowered() -> np.ndarray:
-    """For each byte: 0 between words, else the byte with A to Z lower-cased."""
-    out = np.zeros(256, np.uint8)
-    for first, last in ((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)):
-        out[first: last + 1] = range(first, last + 1)
-    out[0x41:0x5B] = range(0x61, 0x7B)
-    return out
-
-
-LOWERED = lowered()
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the n + 1 positions at which texts start among the words.
-
-    Bytes at the same place of all words are hashed together; the few words of more than
-    ``LONG_WORD`` bytes are digested one by one.
-    """
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    letters = LOWERED[data]
-    inside = letters != 0
-    first = np.zeros(len(data), bool)
-    first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    start = inside & (first | ~np.concatenate(([False], inside[:-1])))
-    stop = inside & np.concatenate((first[1:] | ~inside[1:], [True]))
-    begins, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    sizes = ends - begins
-    order = np.argsort(-np.minimum(sizes, LONG_WORD + 1).astype(np.int16), kind="stable")
-    begin, size = begins[order], sizes[order]
-    held = np.full(len(order), SEED, np.uint64)
-    deepest = min(int(size[0]), LONG_WORD) if size[0] <= LONG_WORD else LONG_WORD
-    for place in range(deepest):
-        count = int(np.searchsorted(-np.minimum(size, LONG_WORD + 1), -place, "left"))
-        byte = letters[begin[:count] + place].astype(np.uint64)
-        held[:count] = (held[:count] ^ byte) * np.uint64(BASE)
-        held[:count] ^= held[:count] >> np.uint64(29)
-    hashes = np.empty(len(order), np.uint64)
-    hashes[order] = held
-    for at in np.flatnonzero(sizes > LONG_WORD).tolist():
-        whole = hashlib.blake2b(letters[begins[at]: ends[at]].tobytes(), digest_size=8).digest()
-        hashes[at] = int.from_bytes(whole, "little")
-    hashes |= np.uint64(1)  # 0 stands between texts
-    return hashes, np.searchsorted(begins, offsets)
 
 
 def suffix_array(sequence: np.ndarray, depth: int) -> np.ndarray:

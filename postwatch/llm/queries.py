@@ -7,8 +7,10 @@ from postwatch.llm import (
     decontaminate,
     language,
     line_dedup,
+    masked_lm,
     spot_signatures,
     token_counts,
+    training_order,
     url_reputation,
 )
 
@@ -19,6 +21,8 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_language": language.query,
     "op7_token_counts": token_counts.query,
+    "op8_masked_lm": masked_lm.query,
+    "op9_training_order": training_order.query,
     "op10_url_reputation": url_reputation.query,
 }
 ORACLES = {
