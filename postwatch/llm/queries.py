@@ -8,6 +8,7 @@ from postwatch.llm import (
     language,
     line_dedup,
     masked_lm,
+    ngram_join,
     spot_signatures,
     token_counts,
     training_order,
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_spot_signatures": spot_signatures.query,
     "op4_line_dedup": line_dedup.query,
     "op5_language": language.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_token_counts": token_counts.query,
     "op8_masked_lm": masked_lm.query,
     "op9_training_order": training_order.query,
