@@ -26,7 +26,9 @@ def bands_for(least: float = LEAST_SIMILARITY, recall: float = TARGET_RECALL,
     best = (max(1, most), 1)
     for rows in range(1, most + 1):
         hit = least**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        if hit < 1e-9:
+            break
+        bands = 1 if hit >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-hit))
         if bands * rows <= most:
             best = (bands, rows)
     return best
