@@ -9,7 +9,7 @@ the JVM. What remains is walked in time order, batch by batch, holding ``limit``
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,14 +41,22 @@ def with_stretches(events: DataFrame, key: str, at: str, window_micros: int) ->
     return cells.join(sized.select(key, "_cell", "_stretch", "_events"), [key, "_cell"])
 
 
-def accept(times: deque, now: int, limit: int, window_micros: int) -> bool:
-    """Decide one event; accepted times exactly one window old still count."""
-    while times and times[0] < now - window_micros:
-        times.popleft()
-    if len(times) >= limit:
-        return False
-    times.append(now)
-    return True
+class Ring:
+    """The times of the last ``limit`` admitted events of a key, which is all a decision needs.
+
+    An event passes unless the ring is full and its oldest time lies within the window. A time just
+    one window old is within it.
+    """
+
+    def __init__(self, limit: int, window_micros: int, times: Iterable[int] = ()) -> None:
+        self.window, self.times = window_micros, deque(times, maxlen=limit)
+
+    def admits(self, now: int) -> bool:
+        full = len(self.times) == self.times.maxlen
+        if full and (not self.times or now - self.times[0] <= self.window):
+            return False
+        self.times.append(now)  # a full ring loses its oldest time
+        return True
 
 
 def admit(
@@ -71,13 +79,13 @@ def admit(
     )
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = None, deque()
+        current, ring = None, Ring(limit, window)
         for batch in batches:
             verdicts = []
             for owner, stretch, at in zip(batch[key], batch["_stretch"], batch["_at"], strict=True):
                 if (owner, stretch) != current:
-                    current, times = (owner, stretch), deque()
-                verdicts.append(accept(times, at, limit, window))
+                    current, ring = (owner, stretch), Ring(limit, window)
+                verdicts.append(ring.admits(at))
             yield pd.DataFrame(
                 {key: batch[key], row_id: batch[row_id], "admitted": verdicts}
             )

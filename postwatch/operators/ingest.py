@@ -116,17 +116,6 @@ def flatten_payloads(payloads: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer splits than cores out to all cores.
-
-    Enrichment is bound by computing, so a few or unsplittable files would leave most cores idle.
-    Several tasks per core even out texts of different lengths. A large input has more splits than
-    cores and stays as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def enrich(
     df: DataFrame, settings: Settings | None = None, scorer: Scorer = null_scorer
 ) -> DataFrame:
@@ -232,17 +221,22 @@ def expand_referenced(posts: DataFrame, relations: DataFrame, references: DataFr
     """Replace ``text`` by the first longest referenced text that is strictly longer.
 
     ``posts`` (post_id, text), ``relations`` (post_id, pos, type, id), ``references`` (id, text).
+    The choice is made over lengths alone; then only chosen texts that are longer are moved.
     """
     wanted = relations.filter(F.col("type").isin(*EXPANDING_RELATIONS))
+    sizes = references.select("id", F.length("text").alias("_size"))
     best = (
-        wanted.join(references.select("id", F.col("text").alias("_text")), "id")
+        wanted.join(sizes, "id")
         .groupBy("post_id")
-        .agg(F.max_by("_text", F.struct(F.length("_text"), -F.col("pos"))).alias("_text"))
+        .agg(F.max(F.struct(F.col("_size"), -F.col("pos"), F.col("id"))).alias("_best"))
+        .select("post_id", F.col("_best.id").alias("id"), F.col("_best._size").alias("_size"))
     )
-    longer = F.length("_text") > F.length("text")
+    own = posts.select("post_id", F.length("text").alias("_own"))
+    longer = best.join(own, "post_id").filter(F.col("_size") > F.col("_own")).select("post_id", "id")
+    texts = longer.distinct().join(references.select("id", F.col("text").alias("_text")), "id")
     return (
-        posts.join(best, "post_id", "left")
-        .withColumn("text", F.when(longer, F.col("_text")).otherwise(F.col("text")))
+        posts.join(texts.select("post_id", "_text"), "post_id", "left")
+        .withColumn("text", F.coalesce("_text", "text"))
         .drop("_text")
     )
 

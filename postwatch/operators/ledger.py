@@ -101,24 +101,35 @@ def budget_cap(
     budget: int,
     day: str = "day",
     order: Sequence[str] = ("ts", "id"),
-    spread: int | None = None,
 ) -> DataFrame:
-    """The first ``budget`` reads of every day.
+    """The first ``budget`` reads of every day; ``order`` starts with a time.
 
-    One day may hold a large part of all rows, so each day is first cut to its ``budget`` earliest
-    rows in every one of ``spread`` slices, in parallel; the few that remain are ranked per day.
-    Nothing among a day's first ``budget`` rows can be cut in a slice, so the result is exact.
+    Reads are counted per second, combined in the map tasks, and running totals over a day's seconds
+    (86,400 at most) give the second in which its budget runs out. Earlier reads pass and later ones
+    do not, without being sorted; only the reads of that one second are ranked.
     """
-    spread = spread or int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = reads.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(spread)))
-    per_slice = Window.partitionBy(day, "_slice").orderBy(*order)
-    per_day = Window.partitionBy(day).orderBy(*order)
-    return (
-        sliced.withColumn("_rank", F.row_number().over(per_slice))
-        .filter(F.col("_rank") <= budget)
-        .withColumn("_rank", F.row_number().over(per_day))
-        .filter(F.col("_rank") <= budget)
-        .drop("_slice", "_rank")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    second = F.timestamp_diff("SECOND", epoch, order[0])
+    counts = reads.groupBy(F.col(day), second.alias("_second")).agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy(day).orderBy("_second").rowsBetween(Window.unboundedPreceding, 0)
+    last = (
+        counts.withColumn("_total", F.sum("_n").over(so_far))
+        .filter(F.col("_total") > budget)
+        .groupBy(F.col(day).alias("_day"))
+        .agg(F.min_by(F.struct(F.col("_second"), (budget - F.col("_total") + F.col("_n")).alias("room")),
+                      "_second").alias("_last"))
+    )
+    # One row per calendar day. A missing one means that the whole day fits.
+    marked = reads.withColumn("_second", second).join(
+        F.broadcast(last), F.col(day).eqNullSafe(F.col("_day")), "left"
+    )
+    end = F.col("_last._second")
+    early = marked.filter(F.col("_last").isNull() | (F.col("_second") < end))
+    at_end = marked.filter(F.col("_second") == end).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(day).orderBy(*order))
+    )
+    return early.select(*reads.columns).unionByName(
+        at_end.filter(F.col("_rank") <= F.col("_last.room")).select(*reads.columns)
     )
 
 

@@ -95,14 +95,15 @@ def category_counts(posts: DataFrame, as_of: datetime, versioned: bool = False)
 def overview(
     posts: DataFrame, as_of: datetime, settings: Settings | None = None, versioned: bool = False
 ) -> dict:
-    """The four parts of the dashboard; counts and indicator totals share one pass."""
+    """The parts of the dashboard; ``summary`` is one row of counts and indicator totals.
+
+    Both come from one pass over the posts, which is why they are one frame.
+    """
     rows = narrow_current(posts, versioned, **_columns("cti_score", "ingested_at"), **_sizes())
-    both = rows.agg(*_overview(settings or Settings()), *_totals())
     return {
-        "counts": both.select("total", "high", "critical", "latest"),
+        "summary": rows.agg(*_overview(settings or Settings()), *_totals()),
         "timeline": timeline(posts, as_of, versioned),
         "categories": category_counts(posts, as_of, versioned),
-        "ioc_summary": both.select(*TOTALS),
     }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.functions.records import ntz
-from postwatch.operators.ingest import enrich, spread, to_stored
+from postwatch.operators.ingest import enrich, to_stored
 from postwatch.operators.versions import current_posts
 from postwatch.schema import LIVE_SOURCE, Settings
 from postwatch.session import fresh_dir
@@ -50,6 +50,17 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return landing_stream(spark, f"{sf_dir}/{name}.parquet*", schema)
 
 
+def event_batches(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of several batches, of which the latest events come first."""
+    events = table(spark, sf_dir, "events")
+    path = fresh_dir(spark, "events")
+    day = F.dayofmonth(F.col("ts").cast("timestamp_ntz"))
+    late_first = F.floor((31 - day) / (32 // parts))
+    for part in range(parts):
+        events.filter(late_first == part).coalesce(1).write.mode("append").parquet(path)
+    return landing_stream(spark, path, events.schema, files_per_trigger=1)
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = payload_lines(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return payload_stream(lines)
@@ -117,8 +128,13 @@ def raw_versions(documents: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text table, with its rows on all cores."""
-    return spread(table(spark, sf_dir, "documents"))
+    """The text table; each driver folder has it in one file, so its rows are dealt out."""
+    return dealt(table(spark, sf_dir, "documents"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of an unsplittable file on all cores, for work that is bound by computing."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +292,10 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(post).alias("data"),
         F.struct(F.array(user).alias("users"), F.when(quotes, F.array(tweet)).alias("tweets"))
         .alias("includes"),
-        F.struct(turn_id(conv, turn).alias("newest_id")).alias("meta"),
+        F.struct(
+            turn_id(conv, turn).alias("newest_id"),
+            F.when(quotes, F.concat(F.lit("before-"), previous)).alias("next_token"),
+        ).alias("meta"),
     )
     return joined.select("conv_id", "turn", F.to_json(page).alias("value"))
 

@@ -357,6 +357,11 @@ SELECT t.conv_id || '-' || t.turn AS post_id, t.role AS author_id,
   CAST(1 AS BIGINT) AS content_version
 FROM conversations t
 LEFT JOIN conversations b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1"""
+ORACLES["page_meta"] = """
+SELECT t.conv_id, t.turn, t.conv_id || '-' || t.turn AS newest_id,
+  CASE WHEN b.text IS NOT NULL THEN 'before-' || t.conv_id || '-' || (t.turn - 1) END AS next_token
+FROM conversations t
+LEFT JOIN conversations b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1"""
 ORACLES["scraped_to_post"] = r"""
 SELECT CAST(doc_id AS VARCHAR) AS post_id,
   CASE WHEN lang = 'de' AND length(trim(' quote of ' || doc_id)) > length(t)
@@ -610,6 +615,14 @@ SELECT CAST(coalesce(sum({NETWORK}), 0) AS BIGINT) AS network,
   CAST(coalesce(sum({HASHES}), 0) AS BIGINT) AS hashes,
   CAST(coalesce(sum({lengths('cves', 'attack_techniques')}), 0) AS BIGINT) AS cve_attack
 FROM posts"""
+ORACLES["overview"] = POSTS + f"""
+SELECT count(*) AS total, count(*) FILTER (cti_score >= {LOW_THRESHOLDS.high}) AS high,
+  count(*) FILTER (cti_score >= {LOW_THRESHOLDS.critical}) AS critical,
+  {clock('max(ingested_at)')} AS latest,
+  CAST(coalesce(sum({NETWORK}), 0) AS BIGINT) AS network,
+  CAST(coalesce(sum({HASHES}), 0) AS BIGINT) AS hashes,
+  CAST(coalesce(sum({lengths('cves', 'attack_techniques')}), 0) AS BIGINT) AS cve_attack
+FROM posts"""
 LEVELS = f"SELECT {DAY}, cti_level, count(*) AS posts FROM posts GROUP BY posts.day, cti_level"
 ORACLES["daily_levels_raw"] = VERSIONS + LEVELS
 ORACLES["daily_levels_current"] = POSTS + LEVELS
@@ -654,6 +667,9 @@ FROM s"""
 ORACLES["budget_cap"] = """
 SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events
 QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) <= 100"""
+ORACLES["budget_cap_default"] = """
+SELECT count(*) AS kept, max(event_id) AS last, CAST(sum(event_id) AS BIGINT) AS ids
+FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 10000)"""
 ORACLES["keep_last_per_id"] = """
 WITH firsts AS (SELECT user_id, min(event_id) AS first_position FROM events GROUP BY user_id),
 kept AS (SELECT * FROM firsts ORDER BY first_position LIMIT 100),
@@ -860,6 +876,34 @@ walk AS (
 )
 SELECT user_id, event_id, admitted FROM walk"""
 ORACLES["stream_admission"] = ORACLES["admission"]
-ORACLES["stream_dedupe"] = """
-SELECT CAST(user_id AS VARCHAR) AS source_id, min(event_id) AS id FROM events GROUP BY user_id"""
-ORACLES["stream_seen"] = "SELECT DISTINCT user_id AS post_id FROM events"
+# Four batches of events, the last days of the month first.
+BATCHES = """
+WITH event AS (SELECT *, CAST(floor((31 - day(ts)) / 8) AS INT) AS batch FROM events)"""
+ORACLES["stream_dedupe"] = BATCHES + """
+SELECT CAST(user_id AS VARCHAR) AS source_id, min(event_id) AS id FROM event
+GROUP BY user_id, batch QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch) = 1"""
+ORACLES["stream_seen"] = BATCHES + f"""
+SELECT user_id AS post_id, {clock('min(ts)')} AS seen_at FROM event
+GROUP BY user_id, batch QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch) = 1"""
+# Per user the first arrival of each batch; it is queued if nothing is open or that was a purchase.
+ORACLES["stream_requeue"] = BATCHES + """, arrival AS (
+  SELECT user_id, batch, min(event_id) AS id, min_by(event_type, event_id) AS kind
+  FROM event GROUP BY user_id, batch
+), wide AS (
+  SELECT user_id, """ + ", ".join(
+    f"max(id) FILTER (batch = {n}) AS id{n}, coalesce(max(kind) FILTER (batch = {n}), '') AS kind{n}"
+    for n in range(4)) + """
+  FROM arrival GROUP BY user_id
+), state0 AS (SELECT *, id0 AS open0, kind0 AS open_kind0 FROM wide)""" + "".join(f""",
+state{n} AS (
+  SELECT *, open{n - 1} IS NULL OR open_kind{n - 1} = 'purchase' AS free{n},
+    CASE WHEN open{n - 1} IS NULL OR open_kind{n - 1} = 'purchase' THEN id{n} ELSE open{n - 1} END
+      AS open{n},
+    CASE WHEN open{n - 1} IS NULL OR open_kind{n - 1} = 'purchase' THEN kind{n}
+      ELSE open_kind{n - 1} END AS open_kind{n}
+  FROM state{n - 1}
+)""" for n in range(1, 4)) + """
+SELECT CAST(user_id AS VARCHAR) AS source_id, id FROM (
+  SELECT user_id, id0 AS id FROM state3""" + "".join(f"""
+  UNION ALL SELECT user_id, id{n} FROM state3 WHERE free{n}""" for n in range(1, 4)) + """
+) WHERE id IS NOT NULL"""

@@ -173,6 +173,12 @@ def page_ingest(spark, sf):
     ))
 
 
+@query("page_meta")
+def page_meta(spark, sf):
+    """Where each page's reader goes on, from the page's own cursor data."""
+    return pages.page_meta(fixture.turn_pages(spark, sf))
+
+
 @query("scraped_to_post")
 def scraped_to_post(spark, sf):
     payloads = pages.scraped_payloads(fixture.scraped_rows(spark, sf))
@@ -186,7 +192,7 @@ def scraped_to_post(spark, sf):
 
 @query("html_to_raw")
 def html_to_raw(spark, sf):
-    raw = html.html_to_raw(ingest.spread(table(spark, sf, "pages")), markup=html.WEB_PAGE)
+    raw = html.html_to_raw(fixture.dealt(table(spark, sf, "pages")), markup=html.WEB_PAGE)
     links = F.transform("urls", lambda item: item["url"])
     return raw.select("page_id", "lang", F.trim("text").alias("text"), joined(links).alias("links"))
 
@@ -512,6 +518,13 @@ def stats_overview(spark, sf):
     return plain(stats.overview_counts(fixture.posts(spark, sf), LOW, versioned=True))
 
 
+@query("overview")
+def overview(spark, sf):
+    """Counts and indicator totals of the dashboard in one pass."""
+    parts = stats.overview(fixture.posts(spark, sf), AS_OF, LOW, versioned=True)
+    return plain(parts["summary"])
+
+
 @query("stats_timeline")
 def stats_timeline(spark, sf):
     return stats.timeline(fixture.posts(spark, sf), AS_OF, versioned=True)
@@ -583,6 +596,15 @@ def budget_cap(spark, sf):
     return plain(kept.select("event_id", "day"))
 
 
+@query("budget_cap_default")
+def budget_cap_default(spark, sf):
+    """The default budget, applied to all events as if they were read on one day."""
+    reads = fixture.event_reads(spark, sf).withColumn("day", F.lit("2024").cast("string"))
+    kept = ledger.budget_cap(reads, SETTINGS.daily_read_budget, order=("ts", "event_id"))
+    return kept.agg(F.count(F.lit(1)).alias("kept"), F.max("event_id").alias("last"),
+                    F.sum("event_id").alias("ids"))
+
+
 @query("keep_last_per_id")
 def keep_last_per_id(spark, sf):
     sightings = table(spark, sf, "events").select("user_id", "event_id", "event_type", "props")
@@ -966,21 +988,38 @@ def stream_enrich(spark, sf):
 
 @query("stream_dedupe")
 def stream_dedupe(spark, sf):
-    """Each source id is queued once: with its first arrival."""
-    arrivals = fixture.stream(spark, sf, "events").select(
+    """Each source id is queued once: with the first arrival of the first batch that has it."""
+    return queued_batches(spark, sf, None)
+
+
+def queued_batches(spark, sf, done) -> DataFrame:
+    arrivals = fixture.event_batches(spark, sf).select(
         F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("id")
     )
     out, offsets = fresh_dir(spark, "stream-queue"), fresh_dir(spark, "stream-queue-offsets")
-    jobs.enqueue_stream(arrivals, out, offsets, "id", arrivals.schema)
-    return spark.read.parquet(out).select("source_id", "id")
+    jobs.enqueue_stream(arrivals, out, offsets, "id", arrivals.schema, done)
+    return jobs.read_queued(spark, out, arrivals.schema).select("source_id", "id")
+
+
+@query("stream_requeue")
+def stream_requeue(spark, sf):
+    """Purchases are acknowledged before the next batch, so their users are queued again."""
+    def done(session, batch_id):
+        return table(session, sf, "events").filter(F.col("event_type") == "purchase").select(
+            F.col("event_id").alias("id"))
+
+    return queued_batches(spark, sf, done)
 
 
 @query("stream_seen")
 def stream_seen(spark, sf):
-    sightings = fixture.stream(spark, sf, "events").select(
+    """Sightings in several batches, of which the later ones are older."""
+    sightings = fixture.event_batches(spark, sf).select(
         F.col("user_id").alias("post_id"), F.col("ts").cast("timestamp").alias("seen_at")
     )
-    return jobs.collect_stream(jobs.unseen_stream(sightings).select("post_id"), "stream-seen")
+    out, offsets = fresh_dir(spark, "stream-seen"), fresh_dir(spark, "stream-seen-offsets")
+    jobs.seen_stream(sightings, out, offsets, SETTINGS.seen_retention_days)
+    return plain(jobs.read_seen(spark, out).withColumn("seen_at", records.utc_wall_clock(F.col("seen_at"))))
 
 
 @query("stream_daily_levels")

@@ -88,7 +88,10 @@ post struct<
 author struct<id: string, username: string, name: string, verified: boolean, protected: boolean>
 """
 # A page: its items stay text at first, so that one odd item does not spoil the page.
-PAGE_DDL = "data array<string>, includes struct<users: array<string>, tweets: array<string>>"
+PAGE_DDL = (
+    "data array<string>, includes struct<users: array<string>, tweets: array<string>>, "
+    "meta struct<newest_id: string, next_token: string>"
+)
 PAGE_POST_DDL = """
 id string, text string, author_id string, conversation_id string, created_at string, lang string,
 public_metrics struct<reply_count: bigint, retweet_count: bigint, quote_count: bigint,

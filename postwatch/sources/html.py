@@ -70,6 +70,11 @@ class _Reader(HTMLParser):
             self.row = {"lang": attrs.get("lang", ""), "text": [], "name": [], "quote": [],
                         "urls": [], "tags": [], "mentions": [], "card": "", "tag_text": []}
             return "post"
+        if tag == "button":
+            label = dict(self.markup.counters).get(attrs.get("data-testid", ""))
+            if label and label not in self.row:  # the first button of a kind counts
+                self.row[label] = attrs.get("aria-label", "")
+                return "" if self.row[label] else label
         for role in ("text", "name", "quote"):
             if _is(getattr(self.markup, role), tag, attrs) and not self.inside(role):
                 if role == "text" and attrs.get("lang"):
@@ -90,9 +95,6 @@ class _Reader(HTMLParser):
             or attrs.get("data-testid") == "icon-verified"
         ):
             row["verified"] = True
-        for test_id, label in self.markup.counters:
-            if attrs.get("data-testid") == test_id:
-                row.setdefault(label, attrs.get("aria-label", ""))
         if tag == "a" and href:
             self.note_link(href)
 
@@ -116,6 +118,9 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.row is None or (self.open and self.open[-1][0] in _HIDDEN):
             return
+        for _, label in self.markup.counters:
+            if self.inside(label):
+                self.row[label] += data
         if self.inside("text"):
             self.row["text"].append(data)
         if self.inside("tag"):
@@ -153,7 +158,7 @@ def _scraped(row: dict, markup: Markup) -> dict:
 
     links = [*row["urls"], *([row["card"]] if row["card"] else [])]
     quoted = row.get("quoted_link", "")
-    labels = {label: row.get(label, "") for _, label in markup.counters}
+    labels = {label: row.get(label, "").strip() for _, label in markup.counters}
     return {
         "post_id": id_in(row.get("permalink", "")),
         "permalink": row.get("permalink", ""),

@@ -39,8 +39,9 @@ def page_posts(pages: DataFrame, value: str = "value") -> DataFrame:
     """One payload per post of each page.
 
     Users and referenced posts are looked up inside the page they came with, so nothing moves
-    between tasks, and a post keeps only the posts it refers to. Unreadable pages give no rows and
-    items that are no objects are skipped.
+    between tasks, and a post keeps only the posts it refers to. A user listed under the post's own
+    id goes before one listed under its author id. Unreadable pages give no rows and items that are
+    no objects are skipped.
     """
     rest = [name for name in pages.columns if name != value]
     page = pages.select(*rest, F.from_json(value, PAGE_DDL).alias("_page"))
@@ -66,7 +67,19 @@ def page_posts(pages: DataFrame, value: str = "value") -> DataFrame:
     return posts.select(
         *rest,
         post.withField("_referenced_posts", known.cast(REFERENCED)).alias("post"),
-        _last_by_id(F.col("_users"), post["author_id"]).alias("author"),
+        F.coalesce(
+            _last_by_id(F.col("_users"), post["id"]),
+            _last_by_id(F.col("_users"), post["author_id"]),
+        ).alias("author"),
+    )
+
+
+def page_meta(pages: DataFrame, value: str = "value") -> DataFrame:
+    """Where the next fetch goes on: the newest id and the next token of each page, or null."""
+    rest = [name for name in pages.columns if name != value]
+    meta = F.from_json(value, PAGE_DDL)["meta"]
+    return pages.select(
+        *rest, *[F.nullif(meta[name], F.lit("")).alias(name) for name in ("newest_id", "next_token")]
     )
 
 

@@ -38,19 +38,28 @@ def test_seen_and_prune(spark):
     assert ledger.prune_seen(seen, AS_OF + timedelta(seconds=1), 0).count() == 0
 
 
-@pytest.mark.parametrize("spread", [1, 3, 64])
-def test_budget_is_exact_on_a_busy_day(spark, spread):
-    rng = random.Random(spread)
-    rows = [(n, f"d{rng.choice('aaaaaab')}", rng.randint(0, 50)) for n in range(2000)]
-    df = spark.createDataFrame(rows, "id int, day string, ts int")
-    got = {r["id"] for r in ledger.budget_cap(df, 70, spread=spread).collect()}
+@pytest.mark.parametrize("budget", [0, 1, 70, 1500, 10_000])
+def test_budget_is_exact_on_a_busy_day(spark, budget):
+    rng = random.Random(budget)
+    rows = [(n, rng.choice(["a"] * 6 + ["b", None]),
+             AS_OF + timedelta(milliseconds=100 * rng.randint(0, 500))) for n in range(3000)]
+    df = spark.createDataFrame(rows, "id int, day string, ts timestamp_ntz")
+    got = {r["id"] for r in ledger.budget_cap(df, budget).collect()}
     wanted = set()
     for day in {r[1] for r in rows}:
         wanted |= {r[0] for r in sorted((r for r in rows if r[1] == day),
-                                        key=lambda r: (r[2], r[0]))[:70]}
+                                        key=lambda r: (r[2], r[0]))[:budget]}
     assert got == wanted
 
 
+def test_budget_has_the_same_plan_at_any_size(spark):
+    df = spark.range(10).selectExpr("id", "'a' AS day", "TIMESTAMP_NTZ'2026-01-01 00:00:00' AS ts")
+    plans = [ledger.budget_cap(df, budget)._jdf.queryExecution().sparkPlan().toString()
+             for budget in (100, 10_000)]
+    shapes = [[line.strip(" :+-").split(" ")[0] for line in plan.splitlines()] for plan in plans]
+    assert shapes[0] == shapes[1]
+
+
 @pytest.mark.parametrize("budget", [1, 5, 12, 100])
 def test_keep_last_stops_when_full(spark, budget):
     rng = random.Random(budget)

@@ -191,7 +191,8 @@ MARKUP = """
 <div data-testid="tweetText" lang="en">Look <a href="/bob">@bob</a> <a href="/hashtag/cti">#cti</a>
 <a href="https://t.example/a">link</a><br>end</div>
 <button data-testid="reply" aria-label="1,234 Replies"></button>
-<button data-testid="like">12 Likes</button>
+<div data-testid="like" aria-label="no button"></div>
+<button data-testid="like"><span>12</span> Likes</button><button data-testid="like">13</button>
 <div role="link"><a href="/zed/status/99">q</a> quoted body</div>
 <a href="https://card.example/x">card</a></article>
 <article data-testid="tweet"><div data-testid="tweetText">second</div></article>
@@ -204,7 +205,8 @@ def test_markup_becomes_scraped_rows(spark):
     assert first["post_id"] == "123" and first["lang"] == "en"
     assert first["username"] == "alice" and first["display_name"] == "Alice" and first["verified"]
     assert first["hashtags"] == ["cti"] and first["mentions"] == ["bob"]
-    assert first["reply_label"] == "1,234 Replies"
+    assert first["reply_label"] == "1,234 Replies" and first["like_label"] == "12 Likes"
+    assert first["retweet_label"] == first["impression_label"] == ""
     assert first["quoted_post_id"] == "99" and "quoted body" in first["quoted_text"]
     assert [u["url"] for u in first["urls"]][-2:] == ["https://t.example/a", "https://t.example/a"]
     assert "Look @bob #cti" in first["text"] and first["created_at"].startswith("2026-01-15")

@@ -68,10 +68,52 @@ def test_ids_are_queued_once_over_batches(spark, tmp_path):
     schema = land(spark, rows, "source_id string, id bigint", path, 4)
     stream = jobs.landing_stream(spark, path, schema, files_per_trigger=1)
     jobs.enqueue_stream(stream, out, checkpoint, "id", schema)
-    queued = spark.read.parquet(out)
+    queued = jobs.read_queued(spark, out, schema)
     assert queued.count() == queued.select("source_id").distinct().count() == 9
 
 
+def test_an_acknowledged_id_is_queued_again(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    schema = land(spark, [("s", 1), ("s", 2), ("s", 3), ("s", 4)], "source_id string, id bigint", path, 4)
+
+    def done(session, batch_id):
+        return session.createDataFrame([(1,)] if batch_id >= 2 else [], "id bigint")
+
+    stream = jobs.landing_stream(spark, path, schema, files_per_trigger=1)
+    jobs.enqueue_stream(stream, out, checkpoint, "id", schema, done)
+    assert sorted(r["id"] for r in jobs.read_queued(spark, out, schema).collect()) == [1, 3]
+
+
+def test_late_sightings_are_not_lost(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    rows = [("a", datetime(2026, 6, 1)), ("b", datetime(2026, 6, 2)), ("old", datetime(2026, 1, 1)),
+            ("old", datetime(2026, 1, 1)), ("a", datetime(2026, 6, 20)), ("c", datetime(2026, 8, 1)),
+            ("b", datetime(2026, 8, 1)), ("c", datetime(2026, 8, 2))]
+    schema = land(spark, rows, "post_id string, seen_at timestamp", path, len(rows))
+    stream = jobs.landing_stream(spark, path, schema, files_per_trigger=1)
+    jobs.seen_stream(stream, out, checkpoint, 30)
+    found = sorted((r["post_id"], r["seen_at"]) for r in jobs.read_seen(spark, out).collect())
+    # "old" is new once though it is late, and "b" is forgotten by August.
+    assert found == sorted([rows[0], rows[1], rows[2], rows[5], rows[6]])
+
+
+def test_idle_keys_can_be_forgotten(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [(1, datetime(2026, 1, 1, 0, 0, n), n) for n in range(6)]
+    schema = land(spark, rows, "k int, ts timestamp_ntz, id int", path, 1)
+    stream = jobs.landing_stream(spark, path, schema).withColumn(
+        "at", F.unix_micros(F.col("ts").cast("timestamp")))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, jobs.ROCKSDB)
+    try:
+        admitted = jobs.admission_stream(stream, "k", "at", "id", 4, idle_seconds=3600)
+        got = jobs.collect_stream(admitted, "adm-idle")
+        assert sorted(r["id"] for r in got.filter("admitted").collect()) == [0, 1, 2, 3]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_streamed_admission_equals_batch(spark, tmp_path):
     path = str(tmp_path / "in")
     rows = [(n % 3, datetime(2026, 1, 1, 0, n // 7 % 60, n * 13 % 60), n) for n in range(200)]
