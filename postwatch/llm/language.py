@@ -26,6 +26,7 @@ WINDOW = 256
 SAMPLE_PER_LANGUAGE = 600
 MOST_LANGUAGES = 200
 SAMPLE_CHARS = 1024
+DRAWN = 1 << 40
 FOLDS = 5
 UNKNOWN = "und"
 
@@ -145,16 +146,23 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """``(lang, part)``: a bounded, reproducible sample of ``(doc_id, text, lang)``.
 
-    Of each language the documents with the smallest hashes, and of each document up to
-    ``SAMPLE_CHARS`` characters from a place that its hash chooses. The rank filter keeps at most
-    ``per_language`` rows of a language in each map task, and rows are narrow by then.
+    Of each of the most frequent languages the documents with the smallest hashes, and of each
+    document up to ``SAMPLE_CHARS`` characters from a place that its hash chooses. Counts of the
+    languages give the share of hashes that holds about twice as many rows as wanted, so what is
+    ranked stays as small, however large the table is.
     """
+    counts = (labelled.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
+    shares = counts.select(F.col("lang"), (share * F.lit(DRAWN)).cast("long").alias("below"))
     drawn = F.xxhash64("doc_id", F.col("text"))
     room = F.greatest(F.length("text") - F.lit(SAMPLE_CHARS), F.lit(0)) + 1
     rows = (
         labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
         .select("lang", drawn.alias("drawn"),
                 F.substring("text", F.pmod(drawn, room).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("part"))
+        .join(F.broadcast(shares), "lang")  # MOST_LANGUAGES rows at most
+        .filter(F.pmod("drawn", F.lit(DRAWN)) < F.col("below"))
     )
     order = Window.partitionBy("lang").orderBy("drawn", "part")
     return (rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
