@@ -41,7 +41,7 @@ def has_indicator(ioc_type: str) -> Column:
 
 
 def day_bounds(spec: SearchSpec) -> list[Column]:
-    """Bounds on the partition column implied by the time bounds.
+    """Bounds on the partition column implied by the time bounds and the cursor.
 
     ``day`` is part of the version key, so these may be applied before versions are compared and
     prune whole partitions, which a bound on ``created_at`` cannot do there.
@@ -51,6 +51,8 @@ def day_bounds(spec: SearchSpec) -> list[Column]:
         bounds.append(F.col("day") >= F.to_date(ntz(spec.date_from)))
     if spec.date_to:
         bounds.append(F.col("day") <= F.to_date(ntz(spec.date_to)))
+    if spec.after and spec.sort == "newest":  # what follows the cursor is not younger
+        bounds.append(F.col("day") <= F.to_date(ntz(spec.after.created_at)))
     return bounds
 
 

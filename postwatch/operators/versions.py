@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postwatch.functions.records import ntz
 from postwatch.schema import VERSION_KEY
 from postwatch.session import fresh_dir
 
 BROADCAST_KEYS = 200_000  # about 10 MB of (day, post_id) pairs
-MAX_CANDIDATES = 4_000  # narrow rows brought to the driver for a top list
+MOST_LEADING = 4_000  # narrow rows brought to the driver at a time for a top list
 
 # Order of the versions of one key. Spark keeps no insertion order, so equal versions are told
 # apart by ingest time, then by update time and counters. Rows equal in all of these come from a
@@ -89,51 +91,75 @@ def top_current(
 ) -> DataFrame:
     """The first rows of the current posts by the given columns, largest first.
 
-    With versions in the table, the first rows of all versions are taken, a few times more than
-    asked for and without any shuffle of the table, and checked for newer versions. If enough are
-    current, no other row can come before them; else more are taken. Only their partitions and row
-    groups are read again. A table where thousands of superseded rows lead is compared in full.
+    With versions in the table, the leading rows of all versions are taken without shuffling the
+    table, as narrow rows, and checked for newer versions on their own days. If too few are current,
+    the next ones behind the last are taken in the same way, as long as there are any. The columns
+    asked for are then read for the winners alone, by their days and ids. Ties end with the day.
     """
-    order = [F.col(name).desc() for name in descending]
     predicate = F.lit(True) if predicate is None else predicate
+    order = [F.col(name).desc() for name in dict.fromkeys([*descending, "day"])]
     if not versioned:
-        return posts.filter(predicate).select(*columns).orderBy(*order).limit(limit)
-    key = list(VERSION_KEY)
-    narrow = list(dict.fromkeys([*key, *VERSION_COLUMNS, *descending]))
-    take = 4 * limit
-    while take <= MAX_CANDIDATES:
-        leading = posts.filter(predicate).select(*narrow).orderBy(*order).limit(take).collect()
-        around = _around(posts, leading)
-        newest = {
-            tuple(row[name] for name in key): tuple(row["_version"])
-            for row in around.groupBy(*key).agg(F.max(version_order()).alias("_version"))
-            .join(F.broadcast(_keys(posts, leading)), key, "left_semi").collect()
-        }
-        current = {
-            tuple(row[name] for name in key) for row in leading
-            if newest[tuple(row[name] for name in key)]
-            == tuple(row[name] for name in VERSION_COLUMNS)
-        }
-        if len(current) >= limit or len(leading) < take:
-            return (
-                current_posts(around).filter(predicate).select(*columns).orderBy(*order)
-                .limit(limit)
-            )
-        take *= 8
-    rows = current_matching(posts, predicate, [*columns, *descending])
-    return rows.orderBy(*order).limit(limit).select(*columns)
-
-
-def _keys(posts: DataFrame, rows: list) -> DataFrame:
-    fields = [posts.schema[name] for name in VERSION_KEY]
-    pairs = sorted({tuple(row[name] for name in VERSION_KEY) for row in rows})
-    return posts.sparkSession.createDataFrame(pairs, T.StructType(fields))
-
-
-def _around(posts: DataFrame, rows: list) -> DataFrame:
-    """All versions on the days and with the ids of a few rows; both are pushed into the scan."""
+        return posts.filter(predicate).orderBy(*order).select(*columns).limit(limit)
+    names = list(dict.fromkeys([*descending, "day", *VERSION_KEY, *VERSION_COLUMNS]))
+    winners: dict[tuple, Row] = {}
+    last, take = None, 2 * limit
+    while True:
+        rows = posts.filter(predicate)
+        if last is not None:
+            rows = rows.filter(F.struct(*names) < _position(posts, last, names))
+        leading = (
+            rows.select(*names).orderBy(*[F.col(name).desc() for name in names]).limit(take).collect()
+        )
+        newest = _newest(posts, leading)
+        for row in leading:
+            if newest.get(_key_of(row)) == tuple(row[name] for name in VERSION_COLUMNS):
+                winners.setdefault(_key_of(row), row)  # a replayed batch may hold a row twice
+        if len(winners) >= limit or len(leading) < take:
+            break
+        last, take = leading[-1], min(4 * take, MOST_LEADING)
+    chosen = list(winners.values())[:limit]
+    if not chosen:
+        return posts.limit(0).select(*columns)
+    exact = [*VERSION_KEY, *VERSION_COLUMNS]
+    schema = T.StructType([posts.schema[name] for name in exact])
+    wanted = posts.sparkSession.createDataFrame(
+        [tuple(row[name] for name in exact) for row in chosen], schema
+    )
+    return (
+        _around(posts, chosen).join(F.broadcast(wanted), exact, "left_semi")  # <= limit rows
+        .dropDuplicates(list(VERSION_KEY)).orderBy(*order).select(*columns)
+    )
+
+
+def _key_of(row: Row) -> tuple:
+    return tuple(row[name] for name in VERSION_KEY)
+
+
+def _position(posts: DataFrame, row: Row, names: Sequence[str]) -> Column:
+    def literal(name: str) -> Column:
+        value = row[name]
+        given = ntz(value) if isinstance(value, datetime) else F.lit(value)
+        return given.cast(posts.schema[name].dataType).alias(name)
+
+    return F.struct(*[literal(name) for name in names])
+
+
+def _newest(posts: DataFrame, rows: list[Row]) -> dict[tuple, tuple]:
+    """The newest version of the keys of at most ``MOST_LEADING`` rows."""
     if not rows:
-        return posts.limit(0)
+        return {}
+    schema = T.StructType([posts.schema[name] for name in VERSION_KEY])
+    keys = posts.sparkSession.createDataFrame(sorted({_key_of(row) for row in rows}), schema)
+    found = (
+        _around(posts, rows).select(*VERSION_KEY, version_order().alias("_version"))
+        .join(F.broadcast(keys), list(VERSION_KEY), "left_semi")
+        .groupBy(*VERSION_KEY).agg(F.max("_version").alias("_version"))
+    )
+    return {_key_of(row): tuple(row["_version"]) for row in found.collect()}
+
+
+def _around(posts: DataFrame, rows: list[Row]) -> DataFrame:
+    """All versions on the days and with the ids of a few rows; both are pushed into the scan."""
     days = sorted({row["day"] for row in rows})
     ids = sorted({row["post_id"] for row in rows})
     return posts.filter(F.col("day").isin(days) & F.col("post_id").isin(ids))
@@ -145,8 +171,3 @@ def latest_of_post(posts: DataFrame, post_id: str) -> DataFrame:
         raise ValueError("a post id has 1 to 20 digits")
     newest = [F.col(name).desc() for name in ("content_version", "day", *VERSION_COLUMNS[1:])]
     return posts.filter(F.col("post_id") == post_id).orderBy(*newest).limit(1)
-
-
-def without_deleted(posts: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Remove every version of the listed ids."""
-    return posts.join(deleted.select("post_id").distinct(), "post_id", "left_anti")

@@ -324,6 +324,7 @@ ORACLES["compacted_store"] = POSTS + f"SELECT post_id, {DAY}, content_version, c
 ORACLES["apply_deletes"] = CURRENT + f"""
 SELECT post_id, {DAY}, content_version FROM ver
 WHERE post_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""
+ORACLES["purged_store"] = ORACLES["apply_deletes"]
 ORACLES["synthetic_posts"] = f"""
 WITH numbers AS (SELECT l_orderkey * 8 + l_linenumber AS number FROM lineitem),
 rows AS (
@@ -499,6 +500,12 @@ KEY = f"{stamp(PAGE_KEY.created_at)}, '{PAGE_KEY.post_id}'"
 ORACLES["search_newest"] = matching(TOPIC, f"ORDER BY {NEWEST} LIMIT 51")
 ORACLES["search_relevance"] = matching(TOPIC, f"ORDER BY {BEST} LIMIT 51")
 ORACLES["search_page1"] = matching(TOPIC, f"ORDER BY {BEST} LIMIT 101")
+ORACLES["search_walk"] = f"""
+SELECT (place - 1) // 7 AS page, (place - 1) % 7 AS place, post_id, cti_score, true AS marked
+FROM (
+  SELECT *, row_number() OVER (ORDER BY cti_score DESC, created_at DESC, post_id DESC) AS place
+  FROM ({matching(any_of("meetup", "phishing"), f"ORDER BY {BEST} LIMIT 21")})
+)"""
 ORACLES["search_page2_score"] = matching(
     f"{TOPIC} AND (cti_score, posts.created_at, post_id) < ({PAGE_KEY.score}, {KEY})",
     f"ORDER BY {BEST} LIMIT 51",

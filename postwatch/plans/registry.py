@@ -149,6 +149,19 @@ def apply_deletes(spark, sf):
     return plain(rows.select(*key_and("content_version")))
 
 
+@query("purged_store")
+def purged_store(spark, sf):
+    """The same deletes, with the days of deleted rows rewritten and read without tombstones."""
+    path = stored(spark, sf)
+    toxic = table(spark, sf, "labels").filter(F.col("toxic") == 1)
+    store.delete_posts(spark, path, toxic.select(F.col("doc_id").cast("string").alias("post_id")))
+    days = [row["day"] for row in store.read_versions(spark, path).select("day").distinct()
+            .collect()]  # one row per calendar day
+    store.purge_days(spark, path, days)
+    rows = spark.read.schema(store.STORED_SCHEMA).parquet(path).filter(F.col("day").isin(days))
+    return plain(rows.select(*key_and("content_version")))
+
+
 @query("synthetic_posts")
 def synthetic_posts(spark, sf):
     numbers = table(spark, sf, "lineitem").select(
@@ -369,6 +382,21 @@ def search_current(spark, sf):
     return plain(rows)
 
 
+@query("search_walk")
+def search_walk(spark, sf):
+    """Three pages in a row, each starting after the last key of the one before, with highlights."""
+    rows, after, number = fixture.posts(spark, sf), None, 0
+    found = []
+    while number < 3 and (number == 0 or after is not None):
+        page_ = search.search(rows, replace(MATCH_SPECS["search_any"], limit=7, after=after), True)
+        found += [(number, place, row["post_id"], row["cti_score"], len(row["highlights"]) > 0)
+                  for place, row in enumerate(page_.rows)]
+        after, number = page_.next_key, number + 1
+    return spark.createDataFrame(
+        found, "page bigint, place bigint, post_id string, cti_score int, marked boolean"
+    ).withColumn("cti_score", big("cti_score"))
+
+
 def indexed(spec: SearchSpec) -> Query:
     """Same answers as the plain search, through the token index."""
 

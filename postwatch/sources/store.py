@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.operators.versions import current_posts, without_deleted
+from postwatch.operators.versions import current_posts
 from postwatch.schema import STORED_SCHEMA
+from postwatch.session import fresh_dir
 
 # Point lookups by id and filters by author skip row groups through bloom filters.
 _WRITE_OPTIONS = {
@@ -16,13 +18,16 @@ _WRITE_OPTIONS = {
 }
 
 
-def _laid_out(posts: DataFrame) -> DataFrame:
+def _laid_out(posts: DataFrame, by_range: bool = False) -> DataFrame:
     """Few files per day and ids in order, without forcing a busy day into one task.
 
-    Rebalancing lets adaptive execution split a large day and merge small ones.
+    Rebalancing lets adaptive execution split a large day and merge small ones. By ranges, the files
+    of a busy day hold different ids, so a lookup skips most of them; the sampling this takes would
+    compute new posts twice, so it is left to compaction.
     """
-    columns = [posts[name] for name in STORED_SCHEMA.names]
-    return posts.select(*columns).hint("rebalance", "day").sortWithinPartitions("day", "post_id")
+    rows = posts.select(*[posts[name] for name in STORED_SCHEMA.names])
+    dealt = rows.repartitionByRange("day", "post_id") if by_range else rows.hint("rebalance", "day")
+    return dealt.sortWithinPartitions("day", "post_id")
 
 
 def append_posts(posts: DataFrame, path: str) -> None:
@@ -30,7 +35,27 @@ def append_posts(posts: DataFrame, path: str) -> None:
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_SCHEMA).parquet(path)
+    """All stored rows but those that a tombstone covers."""
+    stored = spark.read.schema(STORED_SCHEMA).parquet(path)
+    tombstones = read_tombstones(spark, path)
+    if tombstones is None:
+        return stored
+    covered = (stored["post_id"] == F.col("_gone")) & (stored["ingested_at"] <= F.col("_upto"))
+    return stored.join(tombstones, covered, "left_anti")
+
+
+TOMBSTONES_DDL = "post_id string, upto timestamp_ntz"
+
+
+def read_tombstones(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(_gone, _upto)``: deleted ids and the ingest time up to which their rows are gone."""
+    try:
+        rows = spark.read.schema(TOMBSTONES_DDL).parquet(f"{path}/_tombstones")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.groupBy(F.col("post_id").alias("_gone")).agg(F.max("upto").alias("_upto"))
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +67,9 @@ def register_views(spark: SparkSession, path: str) -> None:
     read_current(spark, path).createOrReplaceTempView("posts_current")
 
 
-def _replace_days(spark: SparkSession, path: str, kept: DataFrame, days: list) -> None:
+def _replace_days(
+    spark: SparkSession, path: str, kept: DataFrame, days: list, by_range: bool = False
+) -> None:
     """Write the kept rows of the given days in place of what is stored for them.
 
     A dynamic overwrite collects its output beside the table and swaps whole days when the job
@@ -50,7 +77,7 @@ def _replace_days(spark: SparkSession, path: str, kept: DataFrame, days: list) -
     """
     left = {row["day"] for row in kept.select("day").distinct().collect()}
     (
-        _laid_out(kept)
+        _laid_out(kept, by_range)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .options(**_WRITE_OPTIONS)
@@ -65,24 +92,37 @@ def _replace_days(spark: SparkSession, path: str, kept: DataFrame, days: list) -
 
 
 def delete_posts(spark: SparkSession, path: str, deleted: DataFrame) -> int:
-    """Remove all versions of the listed ids; only the days they are on are rewritten.
+    """Hide all rows of the listed ids that are stored now; the number of ids that had any.
 
-    The list of days brought to the driver is bounded by the calendar.
+    Only a tombstone per id is written, in a folder that scans of the posts pass over. Rows of an id
+    that arrive later are visible again. The rows themselves leave when their days are purged.
     """
-    stored = read_versions(spark, path)
+    stored = read_versions(spark, path).select("post_id", "ingested_at")
     ids = deleted.select("post_id").distinct()
-    touched = stored.select("day", "post_id").join(ids, "post_id", "left_semi")
-    days = [row["day"] for row in touched.select("day").distinct().collect()]
-    if days:
-        kept = without_deleted(stored.filter(F.col("day").isin(days)), ids)
-        _replace_days(spark, path, kept, days)
-    return len(days)
+    gone = stored.join(ids, "post_id", "left_semi").groupBy("post_id").agg(
+        F.max("ingested_at").alias("upto")
+    )
+    fresh = fresh_dir(spark, "gone")
+    gone.write.parquet(fresh)
+    rows = spark.read.schema(TOMBSTONES_DDL).parquet(fresh)
+    found = rows.count()
+    if found:
+        rows.coalesce(1 + found // 1_000_000).write.mode("append").parquet(f"{path}/_tombstones")
+    return found
+
+
+def purge_days(spark: SparkSession, path: str, days: list) -> None:
+    """Rewrite the given days without the rows that tombstones hide."""
+    _replace_days(spark, path, read_versions(spark, path).filter(F.col("day").isin(days)), days)
 
 
 def compact_days(spark: SparkSession, path: str, days: list) -> None:
-    """Keep only the current versions of the given days, so that reads need no comparison."""
+    """Keep only the current visible versions of the given days, laid out by ranges of ids.
+
+    Nothing may be appended to these days meanwhile.
+    """
     stored = read_versions(spark, path).filter(F.col("day").isin(days))
-    _replace_days(spark, path, current_posts(stored), days)
+    _replace_days(spark, path, current_posts(stored), days, by_range=True)
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

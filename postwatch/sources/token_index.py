@@ -18,6 +18,7 @@ from postwatch.schema import VERSION_KEY, SearchSpec
 from postwatch.session import fresh_dir
 
 BUCKETS = 256
+PUSHED_IDS = 1_000  # ids that are written into a scan's filter
 INDEX_DDL = "token string, day date, post_id string, bucket int"
 
 
@@ -28,14 +29,14 @@ def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
 def append_index(posts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Add the tokens of newly stored rows.
 
-    Files hold ranges of (bucket, token, day, post): a rare token lies in one file, and a common one
-    is split by day and post over as many tasks and files as it needs.
+    Texts are cut once. Rebalancing keeps a bucket in few files, each sorted by token, day and post,
+    and splits the bucket of a common token over as many tasks and files as it needs.
     """
     tokens = F.explode(F.array_distinct(tokenize(F.col("normalized_text"))))
     (
         posts.select(tokens.alias("token"), "day", "post_id")
         .withColumn("bucket", bucket_of(F.col("token"), buckets))
-        .repartitionByRange("bucket", "token", "day", "post_id")
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "token", "day", "post_id")
         .write.mode("append")
         .partitionBy("bucket")
@@ -76,14 +77,43 @@ def restrict(
 ) -> DataFrame:
     """Stored rows of the candidate keys, to be searched instead of the whole table.
 
-    The keys are written once, since they are read for the text and again for newer versions. Few
-    keys are broadcast and prune whole days of the scan; many are joined by a shuffle.
+    The keys are written once, since they are read for the text and again for newer versions. Their
+    days, of which there are no more than the calendar has, go into the partition filter of every
+    later scan, and few ids go into its row group filter. A checked number of keys is broadcast;
+    more are joined by a shuffle.
     """
     if spec.verbatim_terms and spec.mode != "phrase":
         return posts  # uncut terms are no index tokens
     path = fresh_dir(posts.sparkSession, "candidates")
     candidates(index, spec, buckets).write.parquet(path)
     keys = posts.sparkSession.read.parquet(path)
-    if keys.count() <= BROADCAST_KEYS:
+    days = {row["day"]: row["n"] for row in
+            keys.groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not days:
+        return posts.limit(0)
+    count = sum(days.values())
+    rows = posts.filter(F.col("day").isin(sorted(days)))
+    if count <= PUSHED_IDS:
+        rows = rows.filter(F.col("post_id").isin([row["post_id"] for row in keys.collect()]))
+    if count <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return posts.join(keys, list(VERSION_KEY), "left_semi")
+    return rows.join(keys, list(VERSION_KEY), "left_semi")
+
+
+def remove_from_index(index: DataFrame, path: str, deleted: DataFrame) -> int:
+    """Drop the tokens of the listed ids; the number of buckets that had some.
+
+    A dynamic overwrite replaces just these buckets. The list of them is bounded by their number.
+    """
+    ids = deleted.select("post_id").distinct()
+    touched = [row["bucket"] for row in index.join(ids, "post_id", "left_semi")
+               .select("bucket").distinct().collect()]
+    if touched:
+        (
+            index.filter(F.col("bucket").isin(touched)).join(ids, "post_id", "left_anti")
+            .select("token", "day", "post_id", "bucket")
+            .hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "day", "post_id")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket").parquet(path)
+        )
+    return len(touched)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from postwatch.plans.oracles import ORACLES
+from postwatch.plans.registry import QUERIES
 from tests.check_oracles import compare, connect
 
 ROWS_ONLY: set[str] = set()
@@ -16,17 +18,18 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql_or_is_known_to_have_none():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
-    frame = entry.queries()[name](spark, sf_dir).toPandas()
+    frame = QUERIES[name](spark, sf_dir).toPandas()
     if name in ROWS_ONLY:
         assert len(frame) > 0
         return
-    assert compare(frame, duck.execute(entry.oracle_sql()[name]).df()) is None
+    assert compare(frame, duck.execute(ORACLES[name]).df()) is None
 
 
 def test_entry(spark):

@@ -135,6 +135,44 @@ def test_index_gives_what_a_full_scan_gives(spark, posts, index, query, mode):
         assert sorted(got.collect()) == sorted(wanted.collect())
 
 
+def scans_of(frame, path):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "FileScan" in line and f"{path}]" in line]
+
+
+def test_index_prunes_days_and_ids_of_the_posts_scan(spark, posts, index, tmp_path):
+    path = str(tmp_path / "p")
+    store.append_posts(posts, path)
+    rows = store.read_versions(spark, path)
+    few = token_index.restrict(rows, index, SearchSpec("phishing infrastructure"), 16)
+    scans = scans_of(few, path)
+    assert scans
+    for line in scans:
+        days = line.split("PartitionFilters: [")[1].split("]")[0]
+        assert "day" in days and ("IN" in days or "INSET" in days or "=" in days)
+
+
+def test_tokens_of_deleted_posts_leave_the_index(spark, posts, tmp_path):
+    path = str(tmp_path / "i")
+    token_index.append_index(posts, path, 16)
+    gone = posts.filter("cti_level = 'critical'").select("post_id").distinct()
+    before = token_index.read_index(spark, path)
+    wanted = before.join(gone, "post_id", "left_anti").count()
+    assert token_index.remove_from_index(before, path, gone) > 0
+    after = token_index.read_index(spark, path)
+    assert after.count() == wanted and after.join(gone, "post_id", "left_semi").count() == 0
+    assert token_index.remove_from_index(after, path, gone) == 0
+
+
+def test_a_cursor_prunes_days_of_the_newest_order(posts, spark, tmp_path):
+    path = str(tmp_path / "p")
+    store.append_posts(posts, path)
+    spec = SearchSpec("campaign", sort="newest", after=PageKey(0, datetime(2025, 12, 1), "0"))
+    plan = search.matching(store.read_versions(spark, path), spec, True)
+    assert all("day" in line.split("PartitionFilters: [")[1].split("]")[0]
+               for line in scans_of(plan, path))
+
+
 @pytest.fixture(scope="module")
 def index(spark, posts, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index") / "i")
@@ -232,6 +270,14 @@ def test_delete_removes_all_versions_and_empty_days(spark, posts, tmp_path):
         (r["post_id"], r["content_version"]) for r in posts.collect() if r["post_id"] not in ids)
     assert first_day not in {r["day"] for r in left}
     assert store.delete_posts(spark, path, gone) == 0
+    # Nothing was rewritten; a purge does that, and rows that arrive again are seen.
+    assert spark.read.parquet(path).count() == posts.count()
+    store.purge_days(spark, path, [r["day"] for r in posts.select("day").distinct().collect()])
+    assert spark.read.parquet(path).count() == len(left)
+    again = posts.filter(F.col("day") == first_day).withColumn(
+        "ingested_at", F.expr("timestampadd(DAY, 1, ingested_at)"))
+    store.append_posts(again, path)
+    assert store.read_versions(spark, path).filter(F.col("day") == first_day).count() == again.count()
 
 
 def test_delete_events_skip_bad_lines(spark):
