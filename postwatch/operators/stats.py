@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.records import ntz
-from postwatch.operators.versions import narrow_current
+from postwatch.operators.versions import Settled, narrow_current
 from postwatch.schema import LIVE_SOURCE, Settings
 
 # --- fixed values --------------------------------------------------------------------------------
@@ -49,17 +49,17 @@ def _columns(*names: str) -> dict[str, Column]:
 
 
 def overview_counts(
-    posts: DataFrame, settings: Settings | None = None, versioned: bool = False
+    posts: DataFrame, settings: Settings | None = None, versioned: bool | Settled = False
 ) -> DataFrame:
     rows = narrow_current(posts, versioned, **_columns("cti_score", "ingested_at"))
     return rows.agg(*_overview(settings or Settings()))
 
 
-def indicator_totals(posts: DataFrame, versioned: bool = False) -> DataFrame:
+def indicator_totals(posts: DataFrame, versioned: bool | Settled = False) -> DataFrame:
     return narrow_current(posts, versioned, **_sizes()).agg(*_totals())
 
 
-def _recent(posts: DataFrame, as_of: datetime, versioned: bool, *names: str) -> DataFrame:
+def _recent(posts: DataFrame, as_of: datetime, versioned: bool | Settled, *names: str) -> DataFrame:
     """Given columns of the current posts of the last days.
 
     The bound on the partition column prunes and is safe below the version comparison, since the
@@ -71,7 +71,7 @@ def _recent(posts: DataFrame, as_of: datetime, versioned: bool, *names: str) ->
     return rows.filter(F.col("created_at") >= start)
 
 
-def timeline(posts: DataFrame, as_of: datetime, versioned: bool = False) -> DataFrame:
+def timeline(posts: DataFrame, as_of: datetime, versioned: bool | Settled = False) -> DataFrame:
     return (
         _recent(posts, as_of, versioned, "day")
         .groupBy("day")
@@ -81,7 +81,7 @@ def timeline(posts: DataFrame, as_of: datetime, versioned: bool = False) -> Data
     )
 
 
-def category_counts(posts: DataFrame, as_of: datetime, versioned: bool = False) -> DataFrame:
+def category_counts(posts: DataFrame, as_of: datetime, versioned: bool | Settled = False) -> DataFrame:
     return (
         _recent(posts, as_of, versioned, "cti_categories")
         .select(F.explode("cti_categories").alias("category"))
@@ -93,7 +93,7 @@ def category_counts(posts: DataFrame, as_of: datetime, versioned: bool = False)
 
 
 def overview(
-    posts: DataFrame, as_of: datetime, settings: Settings | None = None, versioned: bool = False
+    posts: DataFrame, as_of: datetime, settings: Settings | None = None, versioned: bool | Settled = False
 ) -> dict:
     """The parts of the dashboard; ``summary`` is one row of counts and indicator totals.
 
@@ -107,7 +107,7 @@ def overview(
     }
 
 
-def daily_levels(posts: DataFrame, versioned: bool = False) -> DataFrame:
+def daily_levels(posts: DataFrame, versioned: bool | Settled = False) -> DataFrame:
     """Rows per day and level.
 
     Of all stored rows it counts inserts, as a rollup kept on insert does; with ``versioned`` it
@@ -117,7 +117,7 @@ def daily_levels(posts: DataFrame, versioned: bool = False) -> DataFrame:
     return rows.groupBy("day", "cti_level").agg(F.count(F.lit(1)).alias("posts"))
 
 
-def distinct_live_ids(posts: DataFrame, versioned: bool = False) -> DataFrame:
+def distinct_live_ids(posts: DataFrame, versioned: bool | Settled = False) -> DataFrame:
     rows = narrow_current(posts, versioned, **_columns("source_type", "post_id"))
     return rows.filter(F.col("source_type") == LIVE_SOURCE).select("post_id").distinct()
 

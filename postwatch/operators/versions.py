@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -42,16 +43,33 @@ def current_posts(versions: DataFrame, key: Sequence[str] = VERSION_KEY) -> Data
     )
 
 
-def narrow_current(posts: DataFrame, versioned: bool, **columns: Column) -> DataFrame:
+@dataclass(frozen=True)
+class Settled:
+    """Days known to hold one version per key; given for ``versioned``, they are not compared.
+
+    ``others`` says whether there are other days.
+    """
+
+    days: tuple[date, ...]
+    others: bool = True
+
+
+def narrow_current(posts: DataFrame, versioned: bool | Settled, **columns: Column) -> DataFrame:
     """Only the given columns of the current posts.
 
     They are computed before versions are compared, so that e.g. a count moves instead of its list.
     """
+    chosen = [column.alias(name) for name, column in columns.items()]
     if not versioned:
-        return posts.select(*[column.alias(name) for name, column in columns.items()])
+        return posts.select(*chosen)
+    if isinstance(versioned, Settled) and versioned.days:
+        settled = F.col("day").isin(list(versioned.days))  # a filter on partitions
+        clean = posts.filter(settled).select(*chosen)
+        if not versioned.others:
+            return clean
+        return clean.unionByName(narrow_current(posts.filter(~settled), True, **columns))
     needed = [name for name in (*VERSION_KEY, *VERSION_COLUMNS) if name not in columns]
-    rows = posts.select(*needed, *[column.alias(name) for name, column in columns.items()])
-    return current_posts(rows).select(*columns)
+    return current_posts(posts.select(*needed, *chosen)).select(*columns)
 
 
 def current_matching(versions: DataFrame, predicate: Column, columns: Sequence[str]) -> DataFrame:

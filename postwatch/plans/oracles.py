@@ -630,6 +630,7 @@ SELECT count(*) AS total, count(*) FILTER (cti_score >= {LOW_THRESHOLDS.high}) A
   CAST(coalesce(sum({HASHES}), 0) AS BIGINT) AS hashes,
   CAST(coalesce(sum({lengths('cves', 'attack_techniques')}), 0) AS BIGINT) AS cve_attack
 FROM posts"""
+ORACLES["overview_settled"] = f"SELECT *, true AS settled FROM ({ORACLES['overview']})"
 LEVELS = f"SELECT {DAY}, cti_level, count(*) AS posts FROM posts GROUP BY posts.day, cti_level"
 ORACLES["daily_levels_raw"] = VERSIONS + LEVELS
 ORACLES["daily_levels_current"] = POSTS + LEVELS

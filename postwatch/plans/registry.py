@@ -546,6 +546,18 @@ def stats_overview(spark, sf):
     return plain(stats.overview_counts(fixture.posts(spark, sf), LOW, versioned=True))
 
 
+@query("overview_settled")
+def overview_settled(spark, sf):
+    """The same row from a store of which the days of one half of the calendar are compacted."""
+    path = stored(spark, sf)
+    days = sorted(row["day"] for row in store.read_versions(spark, path).select("day").distinct()
+                  .collect())  # one row per calendar day
+    store.compact_days(spark, path, days[::2])
+    settled = store.settled_days(spark, path)
+    parts = stats.overview(store.read_versions(spark, path), AS_OF, LOW, versioned=settled)
+    return plain(parts["summary"].withColumn("settled", F.lit(settled.days == tuple(days[::2]))))
+
+
 @query("overview")
 def overview(spark, sf):
     """Counts and indicator totals of the dashboard in one pass."""

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.operators.versions import current_posts
+from postwatch.operators.versions import Settled, current_posts
 from postwatch.schema import STORED_SCHEMA
 from postwatch.session import fresh_dir
 
@@ -123,6 +123,38 @@ def compact_days(spark: SparkSession, path: str, days: list) -> None:
     """
     stored = read_versions(spark, path).filter(F.col("day").isin(days))
     _replace_days(spark, path, current_posts(stored), days, by_range=True)
+    marks = _file_marks(spark, path).filter(F.col("day").isin(days))
+    marks.coalesce(1).write.mode("append").parquet(f"{path}/_compacted")
+
+
+MARKS_DDL = "day date, newest timestamp, files bigint"
+
+
+def _file_marks(spark: SparkSession, path: str) -> DataFrame:
+    """Per day, the number of its files and the time of the newest; no column of the posts is read."""
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
+    return rows.groupBy("day").agg(
+        F.max("_metadata.file_modification_time").alias("newest"),
+        F.count_distinct("_metadata.file_path").alias("files"),
+    )
+
+
+def settled_days(spark: SparkSession, path: str) -> Settled:
+    """Days that have not changed since they were compacted, for statistics that skip comparing.
+
+    A day is unchanged while it has the files that it had then. There is one row per calendar day.
+    """
+    now = _file_marks(spark, path)
+    try:
+        marks = spark.read.schema(MARKS_DDL).parquet(f"{path}/_compacted")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return Settled(())
+    same = now.join(marks.withColumn("same", F.lit(True)).distinct(), ["day", "newest", "files"], "left")
+    rows = same.select("day", F.coalesce("same", F.lit(False)).alias("same")).collect()
+    return Settled(tuple(sorted(row["day"] for row in rows if row["same"])),
+                   not all(row["same"] for row in rows))
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

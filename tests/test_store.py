@@ -256,6 +256,26 @@ def test_store_keeps_types_and_later_versions_win(spark, posts, truth, tmp_path)
     assert store.read_versions(spark, path).count() == len(truth)
 
 
+def test_compacted_days_are_not_compared(spark, posts, truth, tmp_path):
+    path = str(tmp_path / "p")
+    store.append_posts(posts, path)
+    assert store.settled_days(spark, path).days == ()
+    days = sorted(r["day"] for r in posts.select("day").distinct().collect())
+    store.compact_days(spark, path, days)
+    settled = store.settled_days(spark, path)
+    assert settled.days == tuple(days) and not settled.others
+    frame = stats.overview_counts(store.read_versions(spark, path), versioned=settled)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    assert frame.first()["total"] == len(truth)
+    late = posts.filter(F.col("day") == days[0]).withColumn("content_version", F.lit(9))
+    store.append_posts(late, path)
+    settled = store.settled_days(spark, path)
+    assert settled.days == tuple(days[1:]) and settled.others
+    counts = stats.overview_counts(store.read_versions(spark, path), versioned=settled).first()
+    assert counts["total"] == len(truth)
+
+
 def test_delete_removes_all_versions_and_empty_days(spark, posts, tmp_path):
     path = str(tmp_path / "p")
     store.append_posts(posts, path)
