@@ -300,6 +300,35 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", "turn", F.to_json(page).alias("value"))
 
 
+def timeline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the markup of a timeline page: German ones quote, English ones are verified."""
+    number, source = F.col("doc_id").cast("string"), F.col("source")
+    escaped = F.col("text")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(name))
+    chars = F.col("n_chars").cast("string")
+    parts = [
+        F.lit('<main><article data-testid="tweet"><div data-testid="User-Name"><a href="/'), source,
+        F.lit('"><span>'), F.upper(source), F.lit("</span></a>"),
+        F.when(F.col("lang") == "en", '<svg aria-label="Verified account"></svg>').otherwise(""),
+        F.lit('</div><a href="/'), source, F.lit("/status/"), number,
+        F.lit('?s=1"><time datetime="2026-01-15T10:00:00.000Z">now</time></a>'),
+        F.lit('<div data-testid="tweetText" lang="'), F.col("lang"), F.lit('">'), escaped,
+        F.lit(' <a href="/'), source, F.lit('">@'), source, F.lit('</a> <a href="/hashtag/'),
+        F.upper("lang"), F.lit('">#'), F.upper("lang"), F.lit('</a> <a href="https://t.example/'),
+        number, F.lit('">link</a></div><button data-testid="reply" aria-label="'), chars,
+        F.lit(' Replies">7</button><button data-testid="retweet"><span>'), chars,
+        F.lit('</span> Reposts</button><div data-testid="like" aria-label="9 Likes"></div>'),
+        F.lit('<button data-testid="app-text-transition-container">'), number,
+        F.lit("M Views</button>"),
+        F.when(F.col("lang") == "de", F.concat(
+            F.lit('<div role="link"><a href="/zed/status/9'), number, F.lit('">q</a> body</div>')
+        )).otherwise(""),
+        F.lit('<a href="https://card.example/x">card</a></article></main>'),
+    ]
+    return documents(spark, sf_dir).select("doc_id", F.concat(*parts).alias("html"))
+
+
 def scraped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scraped rows: French ones only have a link, German ones quote another post."""
     number = F.col("doc_id").cast("string")

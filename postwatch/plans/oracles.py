@@ -154,6 +154,7 @@ def extraction(source: str) -> str:
         "list_transform(list_filter(v6_groups, lambda g: g IS NOT NULL), lambda g:"
         " array_to_string(list_transform(g, lambda h: regexp_replace(h, '^0+(.)', '\\1')), ':'))"
     )
+    # --- fixed values: the patterns of the extraction, as the other engine spells them
     host_pattern = r"(?i)^https?://(?:[^/?#]*@)?([^/?#:@\[\]]+)(?::[^/?#\[\]]*)?(?:[/?#]|$)"
     hosts = (
         f"list_filter(list_transform(ioc_urls, lambda u: lower(regexp_extract(u,"
@@ -396,6 +397,18 @@ FROM (
       AS links
   FROM parts
 )"""
+ORACLES["html_timeline"] = """
+SELECT doc_id, CAST(doc_id AS VARCHAR) AS post_id, '/' || source || '/status/' || doc_id || '?s=1' AS permalink,
+  '2026-01-15T10:00:00.000Z' AS created_at, text || ' @' || source || ' #' || upper(lang) || ' link' AS text,
+  lang, source AS username, upper(source) AS display_name, lang = 'en' AS verified,
+  n_chars || ' Replies' AS reply_label, n_chars || ' Reposts' AS retweet_label, '' AS like_label,
+  doc_id || 'M Views' AS impression_label,
+  '/' || source || '|/hashtag/' || upper(lang) || '|https://t.example/' || doc_id
+    || '|https://t.example/' || doc_id AS urls,
+  upper(lang) AS hashtags, source AS mentions,
+  CASE WHEN lang = 'de' THEN '9' || doc_id ELSE '' END AS quoted_post_id,
+  CASE WHEN lang = 'de' THEN 'q body' ELSE '' END AS quoted_text
+FROM documents"""
 ORACLES["delete_events"] = """
 SELECT DISTINCT CAST(doc_id AS VARCHAR) AS post_id FROM labels WHERE toxic = 1"""
 ORACLES["id_export"] = CURRENT + """

@@ -210,6 +210,12 @@ def html_to_raw(spark, sf):
     return raw.select("page_id", "lang", F.trim("text").alias("text"), joined(links).alias("links"))
 
 
+@query("html_timeline")
+def html_timeline(spark, sf):
+    raw = html.html_to_raw(fixture.timeline_pages(spark, sf), page_id="doc_id")
+    return plain(raw.withColumn("urls", F.transform("urls", lambda item: item["expanded_url"])))
+
+
 @query("delete_events")
 def delete_events(spark, sf):
     """Delete events among lines that are no events or no JSON at all."""

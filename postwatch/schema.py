@@ -72,6 +72,7 @@ RECENT_COLUMNS = (
 )
 VERSION_KEY = ("day", "post_id")
 
+# --- fixed values: names and types of payloads, pages and scraped rows ---------------------------
 # One queued payload: a post, its author, and the posts it refers to by id.
 REFERENCED = "map<string, struct<id: string, text: string>>"
 PAYLOAD_DDL = f"""
@@ -110,10 +111,12 @@ reply_label string, retweet_label string, like_label string, impression_label st
 urls array<struct<url: string, expanded_url: string>>, hashtags array<string>,
 mentions array<string>, quoted_post_id string, quoted_text string
 """
+# ------------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Thresholds:
+    # --- fixed values
     medium: int = 40
     high: int = 70
     critical: int = 85
@@ -131,6 +134,7 @@ def parse_handles(listed: str) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class Settings:
+    # --- fixed values: documented defaults
     thresholds: Thresholds = field(default_factory=Thresholds)
     trusted_handles: tuple[str, ...] = ()
     daily_read_budget: int = 10_000

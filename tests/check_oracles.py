@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 import traceback
@@ -64,7 +65,7 @@ def main() -> int:
     chosen = sys.argv[2:] or list(QUERIES)
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
-        master="local[8]",
+        master=os.environ.get("CHECK_MASTER", "local[8]"),
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
            "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"},
     )
