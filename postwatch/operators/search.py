@@ -102,7 +102,8 @@ def matching(
 ) -> DataFrame:
     """All current posts the parameters select, without order or limit.
 
-    ``versioned`` says that ``posts`` still holds superseded versions.
+    ``versioned`` says that ``posts`` still holds superseded versions; then hits are found and written
+    while the frame is built.
     """
     posts, predicate = _selected(posts, spec)
     if versioned:
@@ -122,7 +123,10 @@ def search_rows(
     versioned: bool = False,
     columns: Sequence[str] = SEARCH_COLUMNS,
 ) -> DataFrame:
-    """The page the parameters ask for, plus one row that tells whether another page follows."""
+    """The page the parameters ask for, plus one row that tells whether another page follows.
+
+    With ``versioned``, the leading rows are chosen while the frame is built, by two jobs in general.
+    """
     posts, predicate = _selected(posts, spec)
     return top_current(
         posts, versioned, predicate, _order_columns(spec), spec.limit + 1, columns
