@@ -84,7 +84,7 @@ def dealt(members: DataFrame, key: str) -> DataFrame:
         members.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-        .drop("other", "n").repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+        .drop("other", "n").repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", "node")
     )
 
 
@@ -123,10 +123,17 @@ def group_numbers(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
     return np.cumsum(change)
 
 
-def stars(nodes: list[bytes], label: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Links of every member to the first one of its component."""
-    rows = np.flatnonzero(label != np.arange(len(label)))
-    return [nodes[i] for i in label[rows]], [nodes[i] for i in rows]
+def heads(a: np.ndarray, b: np.ndarray, inside: np.ndarray, crossing: np.ndarray) -> np.ndarray:
+    """The row that each row is tied to, so that ties keep what the links a - b connect.
+
+    A block alone ties its members to the smallest of their component. Two blocks tie only those
+    smallest ones, since the task of each block ties the rest: ``inside`` says which links are within
+    a block, ``crossing`` which rows are of a pair of two blocks.
+    """
+    size = len(crossing)
+    whole = shingles.components(size, a, b)
+    within = shingles.components(size, a[inside], b[inside])
+    return np.where(crossing & (within != np.arange(size)), np.arange(size), whole)
 
 
 def likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,17 +152,18 @@ def likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(rows):  # all pairs of all groups, by how far apart they stand
             rows = rows[rows + distance < len(nodes)]
             rows = rows[number[rows] == number[rows + distance]]
-            apart = rows[~crossing[rows] | (own[rows] != own[rows + distance])]
-            for start in range(0, len(apart), 20_000):
-                some = apart[start: start + 20_000]
+            for start in range(0, len(rows), 20_000):
+                some = rows[start: start + 20_000]
                 alike = (sign[some] == sign[some + distance]).mean(1) >= LIKELY
                 found_a.append(some[alike])
                 found_b.append(some[alike] + distance)
             distance += 1
         if found_a:
             a, b = np.concatenate(found_a), np.concatenate(found_b)
+            head = heads(a, b, own[a] == own[b], crossing)
+            tied = np.flatnonzero(head != np.arange(len(head)))
             yield common.record_batch(
-                schema, [*stars(nodes, shingles.components(len(nodes), a, b))])
+                schema, [[nodes[i] for i in head[tied]], [nodes[i] for i in tied]])
 
 
 def shared_counts(found: list[np.ndarray]) -> np.ndarray:
@@ -178,7 +186,7 @@ def shared_counts(found: list[np.ndarray]) -> np.ndarray:
 
 
 def verified_links(least: float) -> Callable:
-    """For each member of each pair of blocks: its links there, by documents, and a linked member."""
+    """For each member of each pair of blocks: its links there, by documents, and what ties it."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
     keys = ("cluster", "p", "q")
 
@@ -198,12 +206,14 @@ def verified_links(least: float) -> Callable:
                 alike = shared >= least * joint - 1e-9
                 np.fill_diagonal(alike, False)
                 own = group.column("own").to_numpy()
-                if group.column("p")[0].as_py() != group.column("q")[0].as_py():
+                crossing = group.column("p").to_numpy() != group.column("q").to_numpy()
+                a, b = np.nonzero(alike)
+                head = heads(a, b, own[a] == own[b], crossing)
+                if crossing[0]:  # links within a block are counted by its own task
                     alike &= own[:, None] != own[None]
                 links = alike @ group.column("copies").to_numpy()
                 nodes = group.column("node").to_pylist()
-                label = shingles.components(len(nodes), *np.nonzero(alike))
-                yield common.record_batch(schema, [[nodes[i] for i in label], nodes, links])
+                yield common.record_batch(schema, [[nodes[i] for i in head], nodes, links])
 
     return run
 
