@@ -28,6 +28,8 @@ HASHTAG = r"(?U)(?<!\w)#([\w-]{2,64})"
 ACTOR = r"(?iU)\b(?:APT\d{1,3}|UNC\d{2,6}|FIN\d{1,3}|TA\d{3,6})\b"
 # -------------------------------------------------------------------------------------------------
 
+# A shorter word without a telling character, between blanks; it is never given back in part.
+PLAIN_WORD = r"(?U)(?<!\S)[^\s.:@#\-\p{Nd}]{1,31}+(?!\S)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
@@ -61,6 +63,15 @@ def letter_digit(prepared: Column) -> Column:
     return prepared.rlike(r"\p{Nd}") & prepared.rlike(r"[A-Za-zİı]\p{Nd}")
 
 
+def telling_words(prepared: Column) -> Column:
+    """The text without words that can hold no indicator, with its blanks.
+
+    Every indicator is part of one word and has a digit or one of ``. : @ # -`` in it, except for a
+    digest, which has 32 characters at least. What remains is scanned by all patterns.
+    """
+    return F.regexp_replace(prepared, PLAIN_WORD, "")
+
+
 def extract_urls(prepared: Column) -> Column:
     found = _only_if(prepared.contains("://"), _all(prepared, URL))
     return _tidy(F.transform(found, lambda url: F.rtrim(url, F.lit(URL_TAIL))))
@@ -209,7 +220,7 @@ def with_indicators(df: DataFrame, text: str = "text") -> DataFrame:
     prepared, dotted, coded = F.col("_prepared"), F.col("_dotted"), F.col("_coded")
     urls, emails = F.col("ioc_urls"), F.col("ioc_emails")
     staged = (
-        df.withColumn("_prepared", refang_text(F.col(text)))
+        df.withColumn("_prepared", telling_words(refang_text(F.col(text))))
         .withColumns(
             {
                 "ioc_urls": extract_urls(prepared),

@@ -131,3 +131,23 @@ def test_preview_and_total(spark):
     ).first()
     assert row["few"] == ["x@y.de", "CVE-2020-1234", "T1059", "T1060"]
     assert row["total"] == 6
+
+
+def test_leaving_out_plain_words_changes_nothing(spark):
+    rng = random.Random(17)
+    parts = ["face", "bad", "a" * 31, "a" * 32, "abcdef" * 6, "T1059", "apt28", "x.exe", "#tag", "#", "::1", "e", "É",
+             "1.2.3.4", "fe80::1", "a@b.co", "hxxp://x[.]y/z", "CVE-2024-12345", "\u0661", "d.", ".com",
+             "evil.example", "(evil.example)", "ſ", "-", "word", "\x1c", "http://a\x1cb.c"]
+    gaps = [" ", "\n", "\t", "\u00a0", "\u3000", "", ", ", "\x1c", "\x85"]
+    rows = [(n, "".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randint(0, 12))))
+            for n in range(1500)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    columns = ["id", *[F.col(name).cast("string") for name in IOC_COLUMNS]]
+    short = ind.with_indicators(df).select(*columns).collect()
+    kept = ind.PLAIN_WORD
+    try:
+        ind.PLAIN_WORD = "(?!)"  # nothing is left out
+        whole = ind.with_indicators(df).select(*columns).collect()
+    finally:
+        ind.PLAIN_WORD = kept
+    assert sorted(short) == sorted(whole)
