@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.llm import common
+from postwatch.session import fresh_dir
 
 #: Fixed values of the contract: (host, path) of allowed and blocked places.
 RULES = (
@@ -121,8 +122,17 @@ def shrunk(children: DataFrame, parents: DataFrame, parent: str, limits: Limits)
 
 
 def reputations(found: DataFrame, limits: Limits = Limits()) -> dict[str, DataFrame]:
-    """For each level ``(key, mean, bound)``: posterior mean of the bad share and its lower bound."""
-    hosts = found.select(F.col("host").alias("key"), "n", "bad").withColumns(
+    """For each level ``(key, mean, bound)``: posterior mean of the bad share and its lower bound.
+
+    Every level is the prior of the next, so each is written once and read from there.
+    """
+    spark, path = found.sparkSession, fresh_dir(found.sparkSession, "reputations")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    hosts = kept(found, "outcomes").select(F.col("host").alias("key"), "n", "bad").withColumns(
         {"domain": domain_of(F.col("key")), "suffix": suffix_of(F.col("key"))})
     domains = hosts.groupBy(F.col("domain").alias("key")).agg(
         F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -141,7 +151,8 @@ def reputations(found: DataFrame, limits: Limits = Limits()) -> dict[str, DataFr
             "key", ((F.col("bad") + F.col("strength") * F.col("prior_mean"))
                     / (F.col("n") + F.col("strength"))).alias("mean"),
             (F.col("n") + F.col("strength")).alias("weight"))
-        out[level] = posterior.select("key", "mean", bound_of(F.col("mean"), F.col("weight"), limits))
+        out[level] = kept(
+            posterior.select("key", "mean", bound_of(F.col("mean"), F.col("weight"), limits)), level)
     return out
 
 
