@@ -183,7 +183,10 @@ def judge(pages: DataFrame, labels: DataFrame, limits: Limits = Limits(), rules=
                                     F.struct("mean", "bound").alias(f"by_{level}"))
         known = known.join(F.broadcast(side) if level == "all" else side, level, "left")
     best = F.coalesce(*(F.col(f"by_{x}") for x in ("host", "domain", "suffix", "all")))
-    known = known.select("host", best.alias("best"))
+    path = fresh_dir(pages.sparkSession, "hosts")
+    known.select("host", best.alias("best")).write.parquet(path)
+    # Both sides of the last join come straight from a scan, so a busy host's pages can be split.
+    known = pages.sparkSession.read.parquet(path)
     fitting = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("best.bound") > limits.most_bad, "block").otherwise("allow")
     return rows.join(known, "host", "left").select(
