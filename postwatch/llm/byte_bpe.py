@@ -129,16 +129,17 @@ class Ranks:
         return fine
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``border``, remembered."""
+        """``border``, remembered; what the memory loses when it is emptied is not looked up again."""
         keys = left << 32 | right
         held = self.borders.find(keys)
-        unknown = held < 0
-        if unknown.any():
-            fresh = np.unique(keys[unknown])
+        unknown = np.flatnonzero(held < 0)
+        if len(unknown):
+            fresh, at = np.unique(keys[unknown], return_inverse=True)
+            made = self.border(fresh >> 32, fresh & 0xFFFFFFFF).astype(np.int64)
+            held[unknown] = made[at]
             if self.borders.size + len(fresh) > KEPT_PAIRS:
                 self.borders.clear()
-            self.borders.insert(fresh, self.border(fresh >> 32, fresh & 0xFFFFFFFF).astype(np.int64))
-            held = self.borders.find(keys)
+            self.borders.insert(fresh, made)
         return held > 0
 
     def joins(self, left: int, right: int) -> bool:

@@ -57,6 +57,16 @@ def test_encoding_is_the_librarys(texts, ranks, library):
         assert byte_bpe.decode(ids, ranks) == text.encode()
 
 
+def test_emptied_memories_change_no_ids(texts, ranks, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT_PAIRS", 40)
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 30)
+    small = byte_bpe.Ranks(ranks.ranks)
+    for start in range(0, len(texts), 25):
+        some = texts[start: start + 25]
+        for text, ids in zip(some, byte_bpe.encoded(pa.array(some), small), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_every_character(ranks, library):
     text = " ".join("x" + chr(c) + "y" for c in (*range(0xD800), *range(0xE000, 0x110000)))
     ids = next(byte_bpe.encoded(pa.array([text]), ranks))
