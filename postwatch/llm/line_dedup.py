@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.llm import common
@@ -29,6 +29,7 @@ COPY_PROBES = 8192
 #: Bits of a level for each key left.
 LOAD = 2
 NO_ID = (1 << 63) - 1
+KEYS = ("doc_key", "text_key")
 
 
 def key_of(line: str) -> bytes | None:
@@ -105,26 +106,41 @@ def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """``(high, low, doc_key)``, once for each distinct comparable line of a row of ``docs``.
+    """``(high, low, doc_key, text_key)``, once for each distinct comparable line of a row of ``docs``.
 
-    ``doc_key`` is the id; rows without one count as one document after all others.
+    ``doc_key`` is the id; rows without one count as one document after all others. ``text_key`` tells
+    rows of one document apart. Rows that repeat both in a task have the same lines and give them once.
     """
-    schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("doc_key", pa.int64())])
+    schema = pa.schema([(name, pa.int64()) for name in ("high", "low", "doc_key", "text_key")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for block in common.blocks(batches):
             digests, sizes = [], []
-            for text in block.column("text").to_pylist():
-                own = {} if not text else dict.fromkeys(map(digest, text.split("\n")))
-                own.pop(None, None)
+            keys = [block.column(name).to_numpy() for name in KEYS]
+            for text, *row in zip(block.column("text").to_pylist(), *keys, strict=True):
+                own = {}
+                if text and (row := tuple(row)) not in seen:
+                    seen.add(row)
+                    own = dict.fromkeys(map(digest, text.split("\n")))
+                    own.pop(None, None)
                 digests += own
                 sizes.append(len(own))
             high, low = halves(digests)
-            ids = block.column("doc_id").fill_null(NO_ID).to_numpy()
             yield common.record_batch(schema, [high.view(np.int64), low.view(np.int64),
-                                               np.repeat(ids, sizes)])
+                                               *(np.repeat(key, sizes) for key in keys)])
 
-    return common.documents(docs).mapInArrow(run, "high long, low long, doc_key long")
+    keyed = common.documents(docs).select("text", *row_keys())
+    return keyed.mapInArrow(run, "high long, low long, doc_key long, text_key long")
+
+
+def row_keys() -> list[Column]:
+    """``doc_key`` and ``text_key`` of rows with ``doc_id`` and ``text``.
+
+    Only lines of one's own text are ever dropped, so rows that share both keys may share losses.
+    """
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_key"),
+            F.xxhash64(F.col("text").cast("string")).alias("text_key")]
 
 
 def shard_of(shards: int):
@@ -168,27 +184,27 @@ ARRAYS = ("sizes", "bits", "marks", "counts", "firsts")
 
 
 def probe(hashes: DataFrame, path: str, shards: int) -> DataFrame:
-    """``(doc_key, hash binary)`` of the lines that a document loses.
+    """``(doc_key, text_key, hash binary)`` of the lines that a row loses.
 
-    A shard with many probes is copied, and each copy answers some of the documents; a task reads
-    the arrays first and then the probes as they stream by.
+    A shard with many probes is copied, and each copy answers some of the lines and rows; a task
+    reads the arrays first and then the probes as they stream by.
     """
     index = hashes.sparkSession.read.parquet(f"{path}/shards")
     copies = F.ceil(F.col("probes") / COPY_PROBES).cast("int")
     arrays = index.select(
         "shard", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)).alias("copy"),
         F.lit(0).alias("kind"), *ARRAYS, *(F.lit(None).cast("long").alias(x)
-                                           for x in ("high", "low", "doc_key")),
+                                           for x in ("high", "low", *KEYS)),
     )
     busy = index.filter(copies > 1).select("shard", copies.alias("copies"))
     probes = (
         hashes.withColumn("shard", shard_of(shards)).join(busy, "shard", "left")
         .select("shard",
-                F.pmod(F.xxhash64("doc_key"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"),
+                F.pmod(F.xxhash64("low", *KEYS), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"),
                 F.lit(1).alias("kind"), *(F.lit(None).cast("binary").alias(x) for x in ARRAYS),
-                "high", "low", "doc_key")
+                "high", "low", *KEYS)
     )
-    schema = pa.schema([("doc_key", pa.int64()), ("hash", pa.binary())])
+    schema = pa.schema([*((name, pa.int64()) for name in KEYS), ("hash", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = None, None
@@ -208,17 +224,17 @@ def probe(hashes: DataFrame, path: str, shards: int) -> DataFrame:
                 if name != here:
                     raise RuntimeError(f"no arrays for shard {here}")
                 part = batch.slice(int(start), int(stop - start))
-                high, low, doc = (part.column(x).to_numpy() for x in ("high", "low", "doc_key"))
+                high, low, doc, row = (part.column(x).to_numpy() for x in ("high", "low", *KEYS))
                 count, first = held.probe(high.view(np.uint64), low.view(np.uint64))
                 lost = np.flatnonzero((count > 1) & (first != doc))
                 if len(lost):
                     pair = np.stack((high[lost], low[lost]), 1).tobytes()
                     yield common.record_batch(schema, [
-                        doc[lost], [pair[i: i + 16] for i in range(0, len(pair), 16)]])
+                        doc[lost], row[lost], [pair[i: i + 16] for i in range(0, len(pair), 16)]])
 
     return (arrays.unionByName(probes).repartition("shard", "copy")
             .sortWithinPartitions("shard", "copy", "kind")
-            .mapInArrow(run, "doc_key long, hash binary"))
+            .mapInArrow(run, "doc_key long, text_key long, hash binary"))
 
 
 def kept_text(text: str, lost: set[bytes]) -> tuple[int, int, str]:
@@ -228,11 +244,11 @@ def kept_text(text: str, lost: set[bytes]) -> tuple[int, int, str]:
 
 
 def losses(docs: DataFrame) -> DataFrame:
-    """``(doc_key, lost array<binary>)``: hashes of the lines that each document loses."""
+    """``(doc_key, text_key, lost array<binary>)``: distinct hashes of the lines that a row loses."""
     path = fresh_dir(docs.sparkSession, "lines")
     hashes = line_hashes(docs)
     shards = build_index(hashes, path)
-    return probe(hashes, path, shards).groupBy("doc_key").agg(F.collect_list("hash").alias("lost"))
+    return probe(hashes, path, shards).groupBy(*KEYS).agg(F.collect_set("hash").alias("lost"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
@@ -244,7 +260,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     without one are one document after all others. Lines of a whole text are compared, however
     long it is. Other columns are not read.
     """
-    rows = common.documents(docs).withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID)))
+    rows = common.documents(docs).select("doc_id", "text", *row_keys())
     schema = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string()),
                         ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
@@ -253,7 +269,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
             out = cleaned(block.column("text"), block.column("lost"))
             yield common.record_batch(schema, [block.column("doc_id"), *map(list, zip(*out, strict=True))])
 
-    return (rows.join(losses(docs), "doc_key", "left").select("doc_id", "text", "lost")
+    return (rows.join(losses(docs), list(KEYS), "left").select("doc_id", "text", "lost")
             .mapInArrow(run, "doc_id long, kept_text string, n_lines long, n_dropped long"))
 
 
@@ -275,10 +291,10 @@ def without_shared_lines(docs: DataFrame) -> DataFrame:
 
     A null text stays null; a text that loses all its lines is empty. ``n_chars`` is optional.
     """
-    key, lost = common.free_names(docs, "doc_key", "lost")
-    found = losses(docs).withColumnsRenamed({"doc_key": key, "lost": lost})
+    *keys, lost = common.free_names(docs, *KEYS, "lost")
+    found = losses(docs).withColumnsRenamed({**dict(zip(KEYS, keys, strict=True)), "lost": lost})
     schema = docs.schema
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    keyed = docs.withColumns(dict(zip(keys, row_keys(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
@@ -293,7 +309,7 @@ def without_shared_lines(docs: DataFrame) -> DataFrame:
                                              arrays["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
-    return keyed.join(found, key, "left").drop(key).mapInArrow(run, schema)
+    return keyed.join(found, keys, "left").drop(*keys).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

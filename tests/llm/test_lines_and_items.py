@@ -44,6 +44,22 @@ def test_a_line_that_all_share_stays_once(spark, monkeypatch):
     assert sorted(found, key=key) == kept_by_hand(rows)
 
 
+def test_rows_without_an_id_or_with_one_id_are_no_one_group(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COPY_PROBES", 16)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    rows = [(1, "the line that all share\nits footer", "en")]
+    rows += [(name, f"the line that all share\nown line number {i}\nits footer", "en")
+             for name in (None, 7) for i in range(150)]
+    rows += [(None, "the line that all share\nits footer", "en")] * 40
+    docs = frame(spark, rows)
+    lost = line_dedup.losses(docs).collect()
+    assert len(lost) == 301 and max(len(r.lost) for r in lost) <= 3
+    found = [tuple(r) for r in line_dedup.drop_lines(docs).collect()]
+    assert sorted(found, key=key) == kept_by_hand(rows)
+    texts = line_dedup.without_shared_lines(docs).select("doc_id", "text").collect()
+    assert sorted((tuple(r) for r in texts), key=key) == [r[:2] for r in kept_by_hand(rows)]
+
+
 def test_texts_are_replaced_and_other_columns_stay(spark):
     docs = frame(spark)
     out = line_dedup.without_shared_lines(docs)
