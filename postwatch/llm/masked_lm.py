@@ -5,15 +5,18 @@ there. A document's score is the sum of the log-probabilities of all its words,
 itself masked.
 
 Word classes come from counts over all documents: the most frequent words have their own, the rest
-share hashed ones. Training reads all documents too: every task trains a copy of the network on the
-masked places of its documents, and the copies are averaged by their number of places. Classes are
+share hashed ones, and there are more of both the more distinct words there are. A word of a shared
+class has the probability of its class times its share of the class's words, from the counts of all
+words. Training reads all documents too: every task trains a copy of the network on all places of its
+documents, each masked once, and the copies are averaged by their number of places. Classes are
 predicted in two steps, a group of classes and the class in it, so no step is wider than a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +26,20 @@ from pyspark.sql import functions as F
 
 from postwatch.llm import common
 from postwatch.llm.words import words
+from postwatch.session import fresh_dir
+
+#: Own classes for each unit of the square root of the number of distinct words.
+OWN_A_ROOT = 4
 
 
 @dataclass(frozen=True)
 class Shape:
-    own: int = 1536  # words with a class of their own
-    shared: int = 511  # classes of other words; class 0 is outside the text
-    group: int = 64  # classes of a group
+    own: int = 1536  # words with a class of their own, at least
+    shared: int = 511  # classes of other words, at least; class 0 is outside the text
+    group: int = 64  # classes of a group, at least
     hidden: int = 24
     offsets: tuple[int, ...] = (-2, -1, 1, 2)
-    masked_every: int = 8  # in training, one place of so many is masked and predicted
+    masked_every: int = 8  # in training, a mask hides one place of so many; all masks take turns
     batch: int = 512
     rate: float = 0.08
     seed: int = 11
@@ -45,6 +52,15 @@ class Shape:
     def groups(self) -> int:
         return -(-self.classes // self.group)
 
+    def following(self, distinct: int) -> Shape:
+        """This shape, or one of more classes, in about as many groups as a group has members."""
+        own = max(self.own, OWN_A_ROOT * math.isqrt(distinct))
+        if own == self.own:
+            return self
+        classes = 1 + own + own * self.shared // self.own
+        group = max(self.group, math.isqrt(classes - 1) + 1)
+        return replace(self, own=own, group=group, shared=-(-classes // group) * group - 1 - own)
+
 
 #: The averaging of copies is cut into this many slices of the network.
 SLICES = 16
@@ -139,10 +155,14 @@ def by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Vocabulary:
-    """Classes of word hashes: 0 outside a text, then frequent words, then hashed classes."""
+    """Classes of word hashes: 0 outside a text, then frequent words, then hashed classes.
 
-    def __init__(self, frequent: list[int], shape: Shape):
-        self.shape = shape
+    ``path`` is where the counts of all words are, and ``totals`` has the sum of a shared class's.
+    """
+
+    def __init__(self, frequent: list[int], shape: Shape, path: str):
+        self.shape, self.path = shape, path
+        self.totals = np.zeros(shape.classes)
         held = np.array(frequent, np.int64).view(np.uint64)
         order = np.argsort(held)
         self.hashes, self.ids = held[order], 1 + order
@@ -155,9 +175,17 @@ class Vocabulary:
             out[found] = self.ids[at[found]]
         return out
 
+    def counts(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("word long, n long").parquet(self.path)
+
 
 def laid_out(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all words, padded around each text, the places of words and their texts."""
+    return hashed(texts, vocabulary)[:3]
+
+
+def hashed(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
+    """What ``laid_out`` gives, and the hashes of the words."""
     data, offsets = common.ragged(texts)
     hashes, starts = words(data, offsets)
     pad = max(map(abs, vocabulary.shape.offsets))
@@ -165,7 +193,7 @@ def laid_out(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     places = np.arange(len(hashes)) + pad * (owner + 1)
     sequence = np.zeros(len(hashes) + pad * len(starts), np.int64)
     sequence[places] = vocabulary.classes(hashes)
-    return sequence, places, owner
+    return sequence, places, owner, hashes
 
 
 def context_of(sequence: np.ndarray, places: np.ndarray, shape: Shape) -> np.ndarray:
@@ -187,8 +215,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(docs: DataFrame, shape: Shape = Shape()) -> Vocabulary:
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(shape.own).select("word")
-    return Vocabulary([row[0] for row in top.collect()], shape)
+    spark = docs.sparkSession
+    path = f"{fresh_dir(spark, 'words')}/counts"
+    word_counts(docs).write.parquet(path)
+    counts = spark.read.schema("word long, n long").parquet(path)
+    shape = shape.following(counts.count())
+    top = counts.orderBy(F.desc("n"), "word").limit(shape.own).select("word")
+    vocabulary = Vocabulary([row[0] for row in top.collect()], shape, path)
+    held = spark.sparkContext.broadcast(vocabulary)
+    schema = pa.schema([("class", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = held.value.classes(batch.column("word").to_numpy().view(np.uint64))
+            found, at = np.unique(classes, return_inverse=True)
+            sums = np.zeros(len(found), np.int64)
+            np.add.at(sums, at, batch.column("n").to_numpy())
+            shared = found > shape.own
+            yield common.record_batch(schema, [found[shared], sums[shared]])
+
+    for row in counts.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n")).collect():
+        vocabulary.totals[row[0]] = row[1]
+    return vocabulary
+
+
+def masks(places: np.ndarray, shape: Shape, seed: int) -> Iterator[np.ndarray]:
+    """Batches of places to mask: every place once, those of one mask in random order."""
+    draw = np.random.default_rng(seed)
+    for first in draw.permutation(shape.masked_every).tolist():
+        masked = draw.permutation(places[first:: shape.masked_every])
+        for start in range(0, len(masked), shape.batch):
+            yield masked[start: start + shape.batch]
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
@@ -203,11 +260,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
         part = TaskContext.get().partitionId()
         for number, block in enumerate(common.blocks(batches)):
             sequence, places, _ = laid_out(block.column("text"), held.value)
-            # Masked places change from block to block; over a corpus all kinds of places are met.
-            places = places[(part + number) % shape.masked_every:: shape.masked_every]
-            places = np.random.default_rng(part * 1_000_003 + number).permutation(places)
-            for start in range(0, len(places), shape.batch):
-                at = places[start: start + shape.batch]
+            for at in masks(places, shape, part * 1_000_003 + number):
                 net.train(context_of(sequence, at, shape), sequence[at], squares)
             seen += len(places)
         if seen:
@@ -239,29 +292,46 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
 
     The sum and the mean of the natural log-probabilities of its words, one row for each row. Null
     texts and texts without words have no words, a sum of 0 and a null mean. Repeated rows and null
-    ids pass through; other columns are not read. Map-only.
+    ids pass through; other columns are not read. A word that was not counted has the share of one
+    that was counted once. Rows are written once, numbered by task and place, and those of their
+    words that share classes meet the counts by a join.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
-                        ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())])
-    held: Broadcast = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat))
+    spark = docs.sparkSession
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+                        ("part", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    held: Broadcast = spark.sparkContext.broadcast((vocabulary, network.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = held.value
-        net = Network(known.shape, flat)
+        net, less = Network(known.shape, flat), np.log(np.maximum(known.totals, 1))
+        row = TaskContext.get().partitionId() << 40
         for block in common.blocks(batches, limit=500_000):
-            sequence, places, owner = laid_out(block.column("text"), known)
+            sequence, places, owner, hashes = hashed(block.column("text"), known)
             each = np.zeros(len(places))
             for start in range(0, len(places), 8192):
                 at = places[start: start + 8192]
                 each[start: start + len(at)] = net.log_probabilities(
                     context_of(sequence, at, known.shape), sequence[at])
-            count = np.bincount(owner, minlength=block.num_rows)
-            total = np.bincount(owner, each, minlength=block.num_rows)
-            mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-            yield common.record_batch(schema, [block.column("doc_id"), count, total, mean])
-
-    return common.documents(docs).mapInArrow(
-        run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+            each -= less[sequence[places]]
+            n = block.num_rows
+            rare = sequence[places] > known.shape.own
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=n))))
+            yield common.record_batch(schema, [
+                np.arange(row, row + n), block.column("doc_id"), np.bincount(owner, minlength=n),
+                np.bincount(owner, each, minlength=n),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), hashes[rare].view(np.int64))])
+            row += n
+
+    columns = "row long, doc_id long, n_words long, part double, rare array<long>"
+    path = f"{fresh_dir(spark, 'scores')}/rows"
+    common.documents(docs).mapInArrow(run, columns).write.parquet(path)
+    rows = spark.read.schema(columns).parquet(path)
+    shares = (rows.select("row", F.explode("rare").alias("word")).join(vocabulary.counts(spark), "word")
+              .groupBy("row").agg(F.sum(F.log("n")).alias("share")))
+    total = F.col("part") + F.coalesce("share", F.lit(0.0))
+    return rows.join(shares, "row", "left").select(
+        "doc_id", "n_words", total.alias("log_likelihood"),
+        F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:

@@ -145,6 +145,35 @@ def test_scores_of_odd_rows(spark):
     assert masked_lm.pseudo_likelihood(frame(spark, []), SMALL).collect() == []
 
 
+def test_words_of_one_class_are_told_apart_by_their_counts(spark):
+    texts = [f"one two w{i} w{i % 40} w{i % 7}" for i in range(900)]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    shape = masked_lm.Shape(own=20, shared=3, group=8, hidden=4, batch=64)
+    vocabulary = masked_lm.vocabulary_of(docs, shape)
+    assert vocabulary.shape.own > 100 and vocabulary.shape.groups > shape.groups
+    net = masked_lm.train(docs, vocabulary)
+    names = [f"w{i}" for i in range(900)]
+    sequence, places, _, hashes = masked_lm.hashed(pa.array(names), vocabulary)
+    counts = {r.word: r.n for r in vocabulary.counts(spark).collect()}
+    rows = masked_lm.score(frame(spark, [(i, t, None) for i, t in enumerate(names)]), vocabulary, net)
+    score = {r.doc_id: r.log_likelihood for r in rows.collect()}
+    classes, shared = sequence[places], 0
+    alone = net.log_probabilities(masked_lm.context_of(sequence, places, vocabulary.shape), classes)
+    for i, word in enumerate(hashes.view(np.int64).tolist()):
+        share = 1
+        if classes[i] > vocabulary.shape.own:
+            shared += 1
+            share = counts[word] / vocabulary.totals[classes[i]]
+        assert score[i] == pytest.approx(alone[i] + np.log(share), abs=1e-3)
+    assert shared > 500
+
+
+def test_every_place_is_masked_once():
+    batches = list(masked_lm.masks(np.arange(5, 1005), SMALL, 3))
+    assert sorted(np.concatenate(batches).tolist()) == list(range(5, 1005))
+    assert all(len(set((b - 5) % SMALL.masked_every)) == 1 and len(b) <= SMALL.batch for b in batches)
+
+
 def test_counts_cover_all_documents(spark):
     rows = masked_lm.word_counts(frame(spark)).agg(F.sum("n")).first()[0]
     from tests.llm.edge import words
