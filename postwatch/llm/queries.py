@@ -9,6 +9,7 @@ from postwatch.llm import (
     line_dedup,
     masked_lm,
     ngram_join,
+    sentence_pieces,
     spot_signatures,
     token_counts,
     training_order,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_masked_lm": masked_lm.query,
     "op9_training_order": training_order.query,
     "op10_url_reputation": url_reputation.query,
+    "op11_sentence_pieces": sentence_pieces.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
