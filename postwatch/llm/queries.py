@@ -14,6 +14,7 @@ from postwatch.llm import (
     token_counts,
     training_order,
     url_reputation,
+    whitening,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_training_order": training_order.query,
     "op10_url_reputation": url_reputation.query,
     "op11_sentence_pieces": sentence_pieces.query,
+    "op12_whitening": whitening.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
