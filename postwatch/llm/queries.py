@@ -5,6 +5,7 @@ from __future__ import annotations
 from postwatch.llm import (
     byte_bpe,
     decontaminate,
+    hard_negatives,
     language,
     line_dedup,
     masked_lm,
@@ -30,9 +31,11 @@ QUERIES = {
     "op10_url_reputation": url_reputation.query,
     "op11_sentence_pieces": sentence_pieces.query,
     "op12_whitening": whitening.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_url_reputation": url_reputation.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
