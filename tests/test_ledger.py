@@ -5,6 +5,7 @@ import re
 from collections import defaultdict, deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,46 @@ def test_two_of_three_at_once(spark):
     df = spark.createDataFrame([("u", AS_OF, n) for n in range(3)], "k string, ts timestamp_ntz, id int")
     rows = admission.admit(df, "k", "ts", "id", 2).orderBy("id").collect()
     assert [r["admitted"] for r in rows] == [True, True, False]
+
+
+@pytest.mark.parametrize(("limit", "window", "steps"), [
+    (1, 60, [0, 1, 2, 9, 40, 61]), (3, 60, [0, 0, 1, 5, 20, 60, 61, 200]), (2, 60, [1]), (5, 10, [0, 1, 7])])
+def test_one_busy_key_is_walked_in_chunks(spark, limit, window, steps):
+    rng = random.Random(limit)
+    at, events = datetime(2025, 12, 31, 23, 58), []
+    for row in range(3000):
+        at += timedelta(seconds=rng.choice(steps))
+        events.append(("busy", at, row))
+    events += [("busy", events[500][1], 10_000 + row) for row in range(40)]  # one crowded moment
+    events += [("calm", AS_OF + timedelta(seconds=9 * n), 20_000 + n) for n in range(60)]
+    df = spark.createDataFrame(events, "k string, ts timestamp_ntz, id int").repartition(5)
+    found = admission.admit(df, "k", "ts", "id", limit, window, chunk_events=250)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {r["id"]: r["admitted"] for r in rows} == walk(events, limit, window)
+    assert len(rows) == len(events)
+
+
+def test_chunks_of_one_key_run_on_many_tasks(spark, tmp_path):
+    rows = [("busy", n, n * 2_000_000 // admission.MICROS, 0, n * 2_000_000) for n in range(4000)]
+    busy = spark.createDataFrame(rows, "k string, id int, _cell long, _stretch long, _at long")
+    chunked, refused = admission._chunked(busy, "k", "id", 2, 60 * admission.MICROS, 300)
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 400 and sum(sizes) == 4000 and refused.isEmpty()
+    none = F.array().cast("array<long>")
+    rings = chunked.select("k", "_stretch", "_chunk").distinct().withColumns({"_old": none, "_new": none})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = admission._with_heads(chunked, rings, "k", "id")
+        assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_skipping_refused_events_changes_nothing():
+    rng = random.Random(9)
+    for limit in (0, 1, 3, 20):
+        times = sorted(rng.randrange(2000) for _ in range(700))
+        one, many = admission.Ring(limit, 60), admission.Ring(limit, 60)
+        wanted = [one.admits(at) for at in times]
+        got = [many.verdicts(np.array(times[a: a + 90])).tolist() for a in range(0, 700, 90)]
+        assert sum(got, []) == wanted and many.times == one.times
