@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postwatch.functions.records import is_stale, ntz
 from postwatch.schema import Settings
+from postwatch.session import fresh_dir
 
 # --- queue (id, source_id, payload, attempts, available_at) --------------------------------------
 
@@ -96,41 +97,81 @@ def usage_on(usage: DataFrame, day: str) -> DataFrame:
     )
 
 
+#: The second of reads without a time, which stand first.
+NO_SECOND = -(2**63)
+#: Reads of the second in which a day's budget ends that are ranked in one task at most, about.
+MOST_RANKED = 500_000
+
+
 def budget_cap(
     reads: DataFrame,
     budget: int,
     day: str = "day",
     order: Sequence[str] = ("ts", "id"),
+    most_ranked: int = MOST_RANKED,
 ) -> DataFrame:
-    """The first ``budget`` reads of every day; ``order`` starts with a time.
+    """The first ``budget`` reads of every day; ``order`` starts with a time. Runs a job.
 
     Reads are counted per second, combined in the map tasks, and running totals over a day's seconds
     (86,400 at most) give the second in which its budget runs out. Earlier reads pass and later ones
-    do not, without being sorted; only the reads of that one second are ranked.
+    do not, without being sorted; only the reads of that one second are ranked. Reads without a time
+    stand before all others and count like them. Where that second has very many reads (bulk loads,
+    times of whole days) it is cut into ranges of ``order`` first, and only the range in which the
+    budget runs out is ranked.
     """
+    spark = reads.sparkSession
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    second = F.timestamp_diff("SECOND", epoch, order[0])
-    counts = reads.groupBy(F.col(day), second.alias("_second")).agg(F.count(F.lit(1)).alias("_n"))
-    so_far = Window.partitionBy(day).orderBy("_second").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        counts.withColumn("_total", F.sum("_n").over(so_far))
-        .filter(F.col("_total") > budget)
-        .groupBy(F.col(day).alias("_day"))
-        .agg(F.min_by(F.struct(F.col("_second"), (budget - F.col("_total") + F.col("_n")).alias("room")),
-                      "_second").alias("_last"))
-    )
+    second = F.coalesce(F.timestamp_diff("SECOND", epoch, order[0]), F.lit(NO_SECOND))
+    counts = reads.groupBy(F.col(day).alias("_day"), second.alias("_second")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    ends = _run_out(counts, "_second", F.lit(budget)).select("_day", "_second", "_room", "_n").toArrow()
+    if not ends.num_rows:
+        return reads
     # One row per calendar day. A missing one means that the whole day fits.
+    last = spark.createDataFrame(ends).select("_day", F.col("_second").alias("_end"), "_room")
     marked = reads.withColumn("_second", second).join(
-        F.broadcast(last), F.col(day).eqNullSafe(F.col("_day")), "left"
-    )
-    end = F.col("_last._second")
-    early = marked.filter(F.col("_last").isNull() | (F.col("_second") < end))
-    at_end = marked.filter(F.col("_second") == end).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(day).orderBy(*order))
-    )
+        F.broadcast(last), F.col(day).eqNullSafe(F.col("_day")), "left")
+    early = marked.filter(F.col("_end").isNull() | (F.col("_second") < F.col("_end")))
+    at_end = marked.filter(F.col("_second") == F.col("_end")).select(*reads.columns, "_room")
+    crowded = max(ends.column("_n").to_pylist())
+    if crowded > most_ranked:
+        parts = 2 * -(-sum(ends.column("_n").to_pylist()) // most_ranked)
+        before, at_end = _sliced(at_end, day, order, parts)
+        early = early.select(*reads.columns).unionByName(before)
+    at_end = at_end.withColumn("_rank", F.row_number().over(Window.partitionBy(day).orderBy(*order)))
     return early.select(*reads.columns).unionByName(
-        at_end.filter(F.col("_rank") <= F.col("_last.room")).select(*reads.columns)
-    )
+        at_end.filter(F.col("_rank") <= F.col("_room")).select(*reads.columns))
+
+
+def _run_out(counts: DataFrame, cell: str, budget: Column) -> DataFrame:
+    """Per ``_day`` the first row of ``counts`` beyond the budget, and the room left before it."""
+    so_far = Window.partitionBy("_day").orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+    total = counts.withColumn("_total", F.sum("_n").over(so_far)).withColumn(
+        "_room", budget - F.col("_total") + F.col("_n"))
+    beyond = total.filter(F.col("_total") > budget)
+    names = [name for name in beyond.columns if name != "_day"]
+    return beyond.groupBy("_day").agg(F.min_by(F.struct(*names), cell).alias("_cut")).select(
+        "_day", "_cut.*")
+
+
+def _sliced(rows: DataFrame, day: str, order: Sequence[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass whole, and those of the range in which each day's ``_room`` runs out.
+
+    The ranges are written, so that reading them again cannot cut them elsewhere.
+    """
+    path = fresh_dir(rows.sparkSession, "budget")
+    (rows.repartitionByRange(parts, day, *order).withColumn("_slice", F.spark_partition_id())
+     .write.parquet(path))
+    held = rows.sparkSession.read.parquet(path)
+    counts = held.groupBy(F.col(day).alias("_day"), "_slice").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_room").alias("_all"))
+    cut = _run_out(counts, "_slice", F.col("_all")).select(
+        "_day", F.col("_slice").alias("_cut"), F.col("_room").alias("_left"))
+    marked = held.join(F.broadcast(cut), F.col(day).eqNullSafe(F.col("_day")), "left")
+    before = marked.filter(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut")))
+    inside = marked.filter(F.col("_slice") == F.col("_cut")).withColumn("_room", F.col("_left"))
+    names = [name for name in rows.columns if name != "_room"]
+    return before.select(*names), inside.select(*names, "_room")
 
 
 def keep_last_per_id(sightings: DataFrame, budget: int, key: str, position: str) -> DataFrame:

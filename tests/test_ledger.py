@@ -187,3 +187,35 @@ def test_skipping_refused_events_changes_nothing():
         wanted = [one.admits(at) for at in times]
         got = [many.verdicts(np.array(times[a: a + 90])).tolist() for a in range(0, 700, 90)]
         assert sum(got, []) == wanted and many.times == one.times
+
+
+def capped(rows, budget):
+    """The first reads of each day, those without a time first."""
+    kept, days = [], defaultdict(int)
+    for day, at, row in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or AS_OF, r[2])):
+        days[day] += 1
+        if days[day] <= budget:
+            kept.append(row)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("most_ranked", [3, 1000])
+@pytest.mark.parametrize("budget", [0, 1, 2, 3, 7, 40, 500])
+def test_reads_without_or_with_one_time_count(spark, budget, most_ranked):
+    noon = datetime(2026, 1, 1, 12)
+    rows = [("a", None if n < 2 else noon + timedelta(seconds=n), n) for n in range(4)]
+    rows += [("b", noon, n) for n in range(100, 160)]  # one time for all
+    rows += [(None, noon + timedelta(microseconds=n % 7), n) for n in range(200, 230)]
+    rows += [("c", None, n) for n in range(300, 350)]
+    df = spark.createDataFrame(rows, "day string, ts timestamp_ntz, id int").repartition(3)
+    got = ledger.budget_cap(df, budget, most_ranked=most_ranked)
+    assert got.columns == ["day", "ts", "id"]
+    assert sorted(r["id"] for r in got.collect()) == capped(rows, budget)
+
+
+def test_a_crowded_second_is_cut_into_ranges(spark):
+    rows = spark.range(10_000).select(F.lit("d").alias("day"), F.lit(AS_OF).alias("ts"), "id",
+                                      F.lit(4_321).cast("long").alias("_room"))
+    before, inside = ledger._sliced(rows, "day", ("ts", "id"), 20)
+    sizes = before.count(), inside.count(), inside.first()["_room"]
+    assert sizes[1] < 1_500 and sizes[0] + sizes[2] == 4_321 and 0 <= sizes[2] <= sizes[1]
