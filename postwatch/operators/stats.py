@@ -40,6 +40,14 @@ def _sizes() -> dict[str, Column]:
     }
 
 
+def measures(settings: Settings | None = None) -> dict[str, Column]:
+    """What one post adds to the counts of the overview besides itself, as 0/1 or a number."""
+    limits = (settings or Settings()).thresholds
+    levels = {"high": limits.high, "critical": limits.critical}
+    return {**{name: (F.col("cti_score") >= limit).cast("long") for name, limit in levels.items()},
+            **_sizes()}
+
+
 def _totals() -> list[Column]:
     return [F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in TOTALS]
 
@@ -107,6 +115,15 @@ def overview(
     }
 
 
+def overview_of_days(days: DataFrame) -> DataFrame:
+    """The summary row of :func:`overview` from one row per day (``streaming.keyed.day_summaries``)."""
+    zero = F.lit(0).cast("bigint")
+    names = ("high", "critical", *TOTALS)
+    sums = [F.coalesce(F.sum(name), zero).cast("bigint").alias(name) for name in names]
+    return days.agg(F.coalesce(F.sum("posts"), zero).cast("bigint").alias("total"), *sums[:2],
+                    F.max("latest").alias("latest"), *sums[2:])
+
+
 def daily_levels(posts: DataFrame, versioned: bool | Settled = False) -> DataFrame:
     """Rows per day and level.
 

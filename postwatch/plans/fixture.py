@@ -6,6 +6,7 @@ an edited version 2; Spanish ones a version 3 on the next day, which is a key of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
@@ -50,15 +51,21 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return landing_stream(spark, f"{sf_dir}/{name}.parquet*", schema)
 
 
-def event_batches(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The events as a stream of several batches, of which the latest events come first."""
+def event_batches(spark: SparkSession, sf_dir: str, latest_first: bool = True,
+                  parts: int = 4) -> list[DataFrame]:
+    """The events in batches by days of the month; those without a time are in the last one."""
     events = table(spark, sf_dir, "events")
-    path = fresh_dir(spark, "events")
     day = F.dayofmonth(F.col("ts").cast("timestamp_ntz"))
-    late_first = F.floor((31 - day) / (32 // parts))
-    for part in range(parts):
-        events.filter(late_first == part).coalesce(1).write.mode("append").parquet(path)
-    return landing_stream(spark, path, events.schema, files_per_trigger=1)
+    place = F.floor(((31 - day) if latest_first else day) / (32 // parts))
+    return [events.filter(F.coalesce(place, F.lit(parts - 1)) == part) for part in range(parts)]
+
+
+def run_landings(spark: SparkSession, batches: list[DataFrame], start: Callable[[DataFrame], None]) -> None:
+    """Land one batch after the other, in as many files as it has, and run a stream after each."""
+    path = fresh_dir(spark, "landing")
+    for number, batch in enumerate(batches):
+        batch.write.parquet(f"{path}/{number}")
+        start(landing_stream(spark, f"{path}/*", batch.schema))
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from postwatch.plans.registry import (
     ADMISSION_LIMIT,
     ADMISSION_SECONDS,
     ANY_TOPIC,
+    IDLE_SECONDS,
     LOW_THRESHOLDS,
     PAGE_KEY,
     SEEN_AS_OF,
@@ -648,6 +649,9 @@ LEVELS = f"SELECT {DAY}, cti_level, count(*) AS posts FROM posts GROUP BY posts.
 ORACLES["daily_levels_raw"] = VERSIONS + LEVELS
 ORACLES["daily_levels_current"] = POSTS + LEVELS
 ORACLES["stream_daily_levels"] = ORACLES["daily_levels_raw"]
+ORACLES["stream_daily_current"] = ORACLES["daily_levels_current"]
+ORACLES["overview_incremental"] = ORACLES["overview"] + """
+WHERE post_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""
 ORACLES["distinct_ids"] = ORACLES["id_export"]
 ORACLES["daily_usage"] = """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS post_reads FROM events GROUP BY 1"""
@@ -897,15 +901,35 @@ walk AS (
 )
 SELECT user_id, event_id, admitted FROM walk"""
 ORACLES["stream_admission"] = ORACLES["admission"]
+# A silence longer than the limit empties the list of accepted times.
+IDLE = "CASE WHEN o.us - w.us > " + str(IDLE_SECONDS * 1_000_000) + " THEN [] ELSE w.times END"
+ORACLES["stream_admission_idle"] = (
+    ORACLES["admission"].replace("list_filter(w.times", f"list_filter({IDLE}")
+    .replace("[us] AS times FROM ordered", "[us] AS times, us FROM ordered")
+    .replace("END AS times\n  FROM walk", "END AS times, o.us\n  FROM walk")
+    .replace("\n    END AS times\n", "\n    END AS times, o.us\n"))
 # Four batches of events, the last days of the month first.
 BATCHES = """
-WITH event AS (SELECT *, CAST(floor((31 - day(ts)) / 8) AS INT) AS batch FROM events)"""
+WITH event AS (
+  SELECT *, CAST(coalesce(floor((31 - day(ts)) / 8), 3) AS INT) AS batch FROM events
+)"""
 ORACLES["stream_dedupe"] = BATCHES + """
 SELECT CAST(user_id AS VARCHAR) AS source_id, min(event_id) AS id FROM event
 GROUP BY user_id, batch QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch) = 1"""
 ORACLES["stream_seen"] = BATCHES + f"""
 SELECT user_id AS post_id, {clock('min(ts)')} AS seen_at FROM event
 GROUP BY user_id, batch QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch) = 1"""
+RETRY_DELAY = SETTINGS.retry_delay_seconds
+ORACLES["stream_retry"] = f"""
+WITH clock AS (
+  SELECT greatest(max(ts), max(ts) FILTER (event_type = 'error') + INTERVAL 1 MINUTE) AS newest FROM events
+)
+SELECT CAST(event_id AS VARCHAR) AS source_id, event_id AS id, CAST(0 AS BIGINT) AS attempts,
+  {clock('ts')} AS available_at FROM events
+UNION ALL
+SELECT CAST(event_id AS VARCHAR), event_id, 1,
+  strftime(ts + INTERVAL {60 + RETRY_DELAY} SECOND, '%Y-%m-%d %H:%M:%S') FROM events, clock
+WHERE event_type = 'error' AND ts + INTERVAL {60 + RETRY_DELAY} SECOND <= newest"""
 # Per user the first arrival of each batch; it is queued if nothing is open or that was a purchase.
 ORACLES["stream_requeue"] = BATCHES + """, arrival AS (
   SELECT user_id, batch, min(event_id) AS id, min_by(event_type, event_id) AS kind

@@ -22,7 +22,7 @@ from postwatch.schema import (
 )
 from postwatch.session import fresh_dir
 from postwatch.sources import deletes, html, pages, store, synthetic, token_index
-from postwatch.streaming import jobs
+from postwatch.streaming import jobs, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -985,7 +985,7 @@ def since_id(spark, sf):
     )
 
 
-ADMISSION_LIMIT, ADMISSION_SECONDS = 2, 86_400
+ADMISSION_LIMIT, ADMISSION_SECONDS, IDLE_SECONDS = 2, 86_400, 21_600
 
 
 @query("admission")
@@ -996,15 +996,8 @@ def admission_batch(spark, sf):
     )
 
 
-def with_rocksdb(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
-    """Run a stream that needs the RocksDB state store, then put the setting back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.ROCKSDB)
-    try:
-        return work()
-    finally:
-        spark.conf.set(key, before)
+def state_tasks(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
 
 
 @query("stream_admission")
@@ -1015,7 +1008,23 @@ def stream_admission(spark, sf):
     stream = jobs.admission_stream(
         events, "user_id", "at", "event_id", ADMISSION_LIMIT, ADMISSION_SECONDS
     )
-    return with_rocksdb(spark, lambda: jobs.collect_stream(stream, "admission"))
+    with keyed.keyed_state(spark, state_tasks(spark)):
+        return jobs.collect_stream(stream, "admission")
+
+
+@query("stream_admission_idle")
+def stream_admission_idle(spark, sf):
+    """The same over several batches; a user who was silent for some hours starts afresh."""
+    out, offsets = fresh_dir(spark, "admission"), fresh_dir(spark, "admission-offsets")
+
+    def start(events):
+        timed = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+        keyed.append_stream(jobs.admission_stream(
+            timed, "user_id", "at", "event_id", ADMISSION_LIMIT, ADMISSION_SECONDS, IDLE_SECONDS,
+        ), out, offsets, state_tasks(spark))
+
+    fixture.run_landings(spark, fixture.event_batches(spark, sf, latest_first=False), start)
+    return spark.read.parquet(out)
 
 
 @query("stream_enrich")
@@ -1032,42 +1041,102 @@ def stream_enrich(spark, sf):
     return plain(store.read_current(spark, posts).select(*PREPARED))
 
 
-@query("stream_dedupe")
-def stream_dedupe(spark, sf):
-    """Each source id is queued once: with the first arrival of the first batch that has it."""
-    return queued_batches(spark, sf, None)
+def arrivals(events: DataFrame, source: str) -> DataFrame:
+    return queue_changes(events, source, keyed.ARRIVED, F.col("ts"))
 
 
-def queued_batches(spark, sf, done) -> DataFrame:
-    arrivals = fixture.event_batches(spark, sf).select(
-        F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("id")
-    )
+def queue_changes(events: DataFrame, source: str, kind: int, at: Column) -> DataFrame:
+    return events.select(
+        F.col(source).cast("string").alias("source_id"), F.col("event_id").alias("id"),
+        F.lit(kind).alias("kind"), at.cast("timestamp").alias("at"), F.col("event_id").alias("place"))
+
+
+def queued_batches(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
     out, offsets = fresh_dir(spark, "stream-queue"), fresh_dir(spark, "stream-queue-offsets")
-    jobs.enqueue_stream(arrivals, out, offsets, "id", arrivals.schema, done)
-    return jobs.read_queued(spark, out, arrivals.schema).select("source_id", "id")
+    fixture.run_landings(spark, batches, lambda changes: jobs.queue_stream(
+        changes, out, offsets, SETTINGS.retry_delay_seconds, state_tasks(spark)))
+    return spark.read.parquet(out)
+
+
+@query("stream_dedupe")
+def stream_dedupe(spark, sf):
+    """Each source id is queued once: with the first arrival of the first batch that has it."""
+    batches = [arrivals(batch, "user_id") for batch in fixture.event_batches(spark, sf)]
+    return queued_batches(spark, batches).select("source_id", "id")
 
 
 @query("stream_requeue")
 def stream_requeue(spark, sf):
-    """Purchases are acknowledged before the next batch, so their users are queued again."""
-    def done(session, batch_id):
-        return table(session, sf, "events").filter(F.col("event_type") == "purchase").select(
-            F.col("event_id").alias("id"))
-
-    return queued_batches(spark, sf, done)
+    """Purchases are acknowledged with the next batch, so their users are queued again."""
+    events = fixture.event_batches(spark, sf)
+    batches = [arrivals(batch, "user_id") for batch in events]
+    for number, batch in enumerate(events[:-1]):
+        done = batch.filter(F.col("event_type") == "purchase")
+        batches[number + 1] = batches[number + 1].unionAll(
+            queue_changes(done, "user_id", keyed.DONE, F.col("ts")))
+    return queued_batches(spark, batches).select("source_id", "id")
+
+
+@query("stream_retry")
+def stream_retry(spark, sf):
+    """Errors fail a minute after they came, which is heard of with the next batch; purchases are
+    done. Failed rows come back after the delay."""
+    events = fixture.event_batches(spark, sf, latest_first=False)
+    batches = [arrivals(batch, "event_id") for batch in events]
+    batches.append(batches[0].limit(0))
+    for number, batch in enumerate(events):
+        failed = queue_changes(batch.filter(F.col("event_type") == "error"), "event_id", keyed.FAILED,
+                               F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+        done = queue_changes(batch.filter(F.col("event_type") == "purchase"), "event_id", keyed.DONE,
+                             F.col("ts"))
+        batches[number + 1] = batches[number + 1].unionAll(failed).unionAll(done)
+    rows = queued_batches(spark, batches)
+    return plain(rows.withColumns({
+        "attempts": F.col("attempts").cast("bigint"),
+        "available_at": records.utc_wall_clock(F.col("available_at"))}))
 
 
 @query("stream_seen")
 def stream_seen(spark, sf):
     """Sightings in several batches, of which the later ones are older."""
-    sightings = fixture.event_batches(spark, sf).select(
-        F.col("user_id").alias("post_id"), F.col("ts").cast("timestamp").alias("seen_at")
-    )
+    batches = [batch.select(F.col("user_id").alias("post_id"), F.col("ts").cast("timestamp").alias("seen_at"))
+               for batch in fixture.event_batches(spark, sf)]
     out, offsets = fresh_dir(spark, "stream-seen"), fresh_dir(spark, "stream-seen-offsets")
-    jobs.seen_stream(sightings, out, offsets, SETTINGS.seen_retention_days)
+    fixture.run_landings(spark, batches, lambda sightings: jobs.seen_stream(
+        sightings, out, offsets, SETTINGS.seen_retention_days, state_tasks(spark)))
     return plain(jobs.read_seen(spark, out).withColumn("seen_at", records.utc_wall_clock(F.col("seen_at"))))
 
 
+def signed_posts(spark, sf, deleted: bool) -> DataFrame:
+    """Signed counts of the stored posts: second and third versions first, then the first versions and
+    some second ones again, at last the deletes."""
+    posts = fixture.posts(spark, sf)
+    later, edited = F.col("content_version") > 1, F.col("content_version") == 2
+    batches = [keyed.post_changes(part, stats.measures(LOW)) for part in (
+        posts.filter(later & (F.col("cti_score") % 2 == 0)), posts.filter(~later | edited),
+        posts.filter(later))]
+    if deleted:
+        toxic = table(spark, sf, "labels").filter(F.col("toxic") == 1)
+        batches.append(keyed.post_deletes(toxic.select(F.col("doc_id").cast("string").alias("post_id"))))
+    out, offsets = fresh_dir(spark, "stream-current"), fresh_dir(spark, "stream-current-offsets")
+    fixture.run_landings(spark, batches, lambda changes: jobs.current_stream(
+        changes, out, offsets, state_tasks(spark)))
+    return spark.read.parquet(out)
+
+
+@query("stream_daily_current")
+def stream_daily_current(spark, sf):
+    """Current posts per day and level, kept as a stream of signed counts."""
+    return plain(keyed.current_levels(signed_posts(spark, sf, False)))
+
+
+@query("overview_incremental")
+def overview_incremental(spark, sf):
+    """The overview after inserts, replacements and deletes, from day summaries alone."""
+    days = keyed.day_summaries(signed_posts(spark, sf, True))
+    return plain(stats.overview_of_days(days))
+
+
 @query("stream_daily_levels")
 def stream_daily_levels(spark, sf):
     rows = to_posts_stream(fixture.stream(spark, sf, "documents"))

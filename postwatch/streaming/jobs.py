@@ -6,31 +6,26 @@ a replayed batch must not count twice, each batch owns a folder that the replay
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import UTC, datetime
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from postwatch.functions.scoring import Scorer, null_scorer
-from postwatch.operators.admission import MICROS, Ring
 from postwatch.operators.ingest import (
     enrich,
     flatten_payloads,
     split_rejects,
     to_stored,
 )
-from postwatch.operators.ledger import acknowledge, enqueue, unseen
 from postwatch.operators.stats import daily_levels
 from postwatch.schema import PAYLOAD_DDL, Settings
 from postwatch.session import fresh_dir
 from postwatch.sources.store import append_posts
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from postwatch.streaming import keyed
+from postwatch.streaming.keyed import ROCKSDB  # noqa: F401 - the store that keyed streams need
 
 
 def landing_stream(
@@ -123,140 +118,59 @@ def read_daily_levels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def enqueue_stream(
-    arrivals: DataFrame,
-    path: str,
-    checkpoint: str,
-    arrival: str,
-    schema: T.StructType,
-    done: Callable[[SparkSession, int], DataFrame] | None = None,
-) -> None:
-    """Queue each source id unless it is queued already.
-
-    ``done`` gives the ``id`` of rows acknowledged before a batch; their source ids may be queued
-    again. New rows go to ``queued/batch=N`` and what is open after batch N to ``open/batch=N``, so a
-    batch reads the open rows of the one before it and never the history. A replay starts from the
-    same open rows and overwrites its own two folders.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            waiting = spark.createDataFrame([], schema)
-        else:
-            waiting = spark.read.schema(schema).parquet(f"{path}/open/batch={batch_id - 1}")
-        if done is not None:
-            waiting = acknowledge(waiting, done(spark, batch_id))
-        added = f"{path}/queued/batch={batch_id}"
-        enqueue(waiting, batch.select(*schema.names), arrival).select(*schema.names).write.mode(
-            "overwrite").parquet(added)
-        waiting.unionByName(spark.read.schema(schema).parquet(added)).write.mode(
-            "overwrite").parquet(f"{path}/open/batch={batch_id}")
-
-    run(arrivals, handle, checkpoint)
-
+def queue_stream(changes: DataFrame, path: str, checkpoint: str, delay_seconds: int = 30,
+                 tasks: int | None = None) -> None:
+    """Append the rows that the work queue hands out; see ``keyed.work_queue``."""
+    keyed.append_stream(keyed.work_queue(changes, delay_seconds), path, checkpoint, tasks)
 
-def read_queued(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/queued/*")
 
+def read_queued(spark: SparkSession, path: str) -> DataFrame:
+    """Rows handed out for the first time; those with attempts came back after a failure."""
+    return spark.read.parquet(path).filter(F.col("attempts") == 0)
 
-SEEN_DDL = "post_id {kind}, seen_at timestamp, marked_at timestamp, day date"
 
-
-def seen_stream(
-    sightings: DataFrame, path: str, checkpoint: str, retention_days: int = 30
-) -> None:
+def seen_stream(sightings: DataFrame, path: str, checkpoint: str, retention_days: int = 30,
+                tasks: int | None = None) -> None:
     """Store the first sighting of each id; an id counts as new again once it is forgotten.
 
-    An id is remembered for the retention time after it was marked, by the newest time the stream
-    has met. No row is left out for being late: a sighting of old is compared with what is
-    remembered like any other. Rows are stored by batch and by day of marking, so a batch reads only
-    the days that are still remembered, and a replay overwrites its own folder.
+    No row is left out for being late: a sighting of old is compared with what is remembered like
+    any other.
     """
-    ddl = SEEN_DDL.format(kind=sightings.schema["post_id"].dataType.simpleString())
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = f"{path}/batch={batch_id}"
-        firsts = batch.groupBy("post_id").agg(F.min("seen_at").alias("seen_at"))
-        clock = batch.agg(F.max("seen_at")).first()[0]
-        if batch_id == 0:
-            before = spark.createDataFrame([], ddl)
-        else:
-            before = spark.read.schema(f"{ddl}, batch int").option("basePath", path).parquet(
-                path).filter(F.col("batch") < batch_id)
-            newest_day = before.agg(F.max("day")).first()[0]
-            known = None if newest_day is None else before.filter(
-                F.col("day") == newest_day).agg(F.max("marked_at")).first()[0]
-            clock = max(filter(None, (clock, known)), default=None)
-        if clock is not None:
-            start = F.lit(clock) - F.expr(f"INTERVAL {int(retention_days)} DAYS")
-            before = before.filter((F.col("day") >= F.to_date(start)) & (F.col("marked_at") >= start))
-        marked = F.lit(clock).cast("timestamp")
-        (
-            unseen(firsts, before)
-            .select("post_id", "seen_at", marked.alias("marked_at"), F.to_date(marked).alias("day"))
-            .write.mode("overwrite").partitionBy("day").parquet(own)
-        )
-
-    run(sightings, handle, checkpoint)
+    keyed.append_stream(keyed.seen_ids(sightings, retention_days), path, checkpoint, tasks)
 
 
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
     """``(post_id, seen_at)`` of every id that was new when it came."""
-    return spark.read.option("basePath", path).parquet(path).select("post_id", "seen_at")
-
-
-class Admission(StatefulProcessor):
-    """Sliding-window admission with at most ``limit`` accepted times of state per key."""
-
-    def __init__(
-        self, key: str, at: str, row_id: str, limit: int, window_seconds: int, idle_seconds: int | None
-    ) -> None:
-        self.key, self.at, self.row_id = key, at, row_id
-        self.limit, self.window = limit, window_seconds * MICROS
-        self.idle_seconds = idle_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        kind = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
-        idle = None if self.idle_seconds is None else self.idle_seconds * 1000
-        self.accepted = handle.getValueState("accepted", kind, idle)
+    return spark.read.parquet(path)
 
-    def handleInputRows(  # noqa: N802 - name given by Spark
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any  # noqa: N803
-    ) -> Iterator[pd.DataFrame]:
-        # One key's share of one micro-batch, which the trigger limits keep small.
-        batch = pd.concat(list(rows)).sort_values([self.at, self.row_id])
-        held = self.accepted.get()[0] if self.accepted.exists() else ()
-        ring = Ring(self.limit, self.window, held)
-        verdicts = [ring.admits(int(at)) for at in batch[self.at]]
-        self.accepted.update((list(ring.times),))
-        yield pd.DataFrame(
-            {self.key: batch[self.key], self.row_id: batch[self.row_id], "admitted": verdicts}
-        )
 
-    def close(self) -> None:
-        pass
+def current_stream(changes: DataFrame, path: str, checkpoint: str, tasks: int | None = None) -> None:
+    """Append signed counts of posts that become current and that cease to be."""
+    keyed.append_stream(keyed.signed_counts(changes), path, checkpoint, tasks)
 
 
 def admission_stream(
     events: DataFrame, key: str, at: str, row_id: str, limit: int, window_seconds: int = 60,
-    idle_seconds: int | None = None,
+    idle_seconds: int | None = None, delay: str = "0 seconds",
 ) -> DataFrame:
     """Streaming admission; ``at`` is a time in microseconds. Needs the RocksDB state store.
 
-    State is ``limit`` times per key. With ``idle_seconds`` a key that has sent nothing for so long is
-    forgotten; choose no less than the window plus the longest delay of an event, since the clock
-    of the machines decides.
+    State is ``limit`` times per key. With ``idle_seconds`` a key that has been silent for longer starts
+    afresh, by the times of its own events, and its state is dropped once the clock, which is the
+    newest time of earlier batches less ``delay``, has passed that moment. Events of any lateness are
+    decided.
     """
     schema = T.StructType(
         [events.schema[key], events.schema[row_id], T.StructField("admitted", T.BooleanType())]
     )
-    return events.select(key, at, row_id).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Admission(key, at, row_id, limit, window_seconds, idle_seconds),
+    rows = events.select(key, at, row_id)
+    if idle_seconds is not None:
+        rows = keyed.on_clock(rows.withColumn("clock", F.timestamp_micros(at)), "clock", delay)
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=keyed.Admission(key, at, row_id, limit, window_seconds, idle_seconds),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None" if idle_seconds is None else "ProcessingTime",
+        timeMode="None" if idle_seconds is None else "EventTime",
     )
 
 

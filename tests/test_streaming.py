@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+import random
+import time
+from collections import Counter
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from postwatch.operators import admission, ingest, stats
 from postwatch.schema import Settings
 from postwatch.sources import store
-from postwatch.streaming import jobs
+from postwatch.streaming import jobs, keyed
 
 AS_OF = datetime(2026, 1, 31)
 
@@ -62,56 +65,126 @@ def test_daily_deltas_sum_to_the_rollup(spark, tmp_path):
     assert got.exceptAll(stats.daily_levels(spark.read.parquet(path))).count() == 0
 
 
-def test_ids_are_queued_once_over_batches(spark, tmp_path):
-    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
-    rows = [(f"s{n % 9}", n) for n in range(60)]
-    schema = land(spark, rows, "source_id string, id bigint", path, 4)
-    stream = jobs.landing_stream(spark, path, schema, files_per_trigger=1)
-    jobs.enqueue_stream(stream, out, checkpoint, "id", schema)
-    queued = jobs.read_queued(spark, out, schema)
-    assert queued.count() == queued.select("source_id").distinct().count() == 9
+QUEUE = "source_id string, id bigint, kind int, at timestamp, place bigint"
 
 
-def test_an_acknowledged_id_is_queued_again(spark, tmp_path):
-    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
-    schema = land(spark, [("s", 1), ("s", 2), ("s", 3), ("s", 4)], "source_id string, id bigint", path, 4)
+def at(seconds):
+    return datetime(2026, 1, 1) + timedelta(seconds=seconds)
 
-    def done(session, batch_id):
-        return session.createDataFrame([(1,)] if batch_id >= 2 else [], "id bigint")
 
-    stream = jobs.landing_stream(spark, path, schema, files_per_trigger=1)
-    jobs.enqueue_stream(stream, out, checkpoint, "id", schema, done)
-    assert sorted(r["id"] for r in jobs.read_queued(spark, out, schema).collect()) == [1, 3]
+def one_by_one(spark, rows, schema, path):
+    """A stream whose batches hold one list of rows each."""
+    for number, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/{number}")
+        time.sleep(0.002)  # files are taken by their times
+    return jobs.landing_stream(spark, f"{path}/*", spark.read.schema(schema).parquet(f"{path}/0").schema,
+                               files_per_trigger=1)
+
+
+def test_the_queue_follows_its_outcomes(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    came, failed, done = keyed.ARRIVED, keyed.FAILED, keyed.DONE
+    batches = [
+        [("s", 2, came, at(0), 2), ("s", 1, came, at(1), 1), ("t", 3, came, at(1), 3), ("u", 4, came, None, 4)],
+        [("s", 5, came, at(2), 5), ("s", 1, failed, at(3), 0), ("t", 9, done, at(3), 0)],  # 9 is not open
+        [("t", 6, came, at(20), 6), ("t", 3, done, at(20), 0)],  # done first, then queued again
+        [("s", 1, failed, at(5), 0), ("v", 7, came, at(40), 7)],  # postponed once more
+        [("v", 8, came, at(41), 8)],
+        [("v", 7, done, at(42), 0), ("s", 1, done, at(42), 0), ("s", 10, came, at(43), 10)],
+    ]
+    stream = one_by_one(spark, batches, QUEUE, path)
+    jobs.queue_stream(stream, out, checkpoint, 30, tasks=2)
+    rows = spark.read.parquet(out).collect()
+    got = sorted((r["source_id"], r["id"], r["attempts"], r["available_at"]) for r in rows)
+    assert got == sorted([
+        ("s", 1, 0, at(1)), ("t", 3, 0, at(1)), ("u", 4, 0, datetime(1970, 1, 1)), ("t", 6, 0, at(20)),
+        ("v", 7, 0, at(40)), ("s", 1, 2, at(35)), ("s", 10, 0, at(43))])
+    assert jobs.read_queued(spark, out).count() == 6
 
 
 def test_late_sightings_are_not_lost(spark, tmp_path):
     path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
     rows = [("a", datetime(2026, 6, 1)), ("b", datetime(2026, 6, 2)), ("old", datetime(2026, 1, 1)),
             ("old", datetime(2026, 1, 1)), ("a", datetime(2026, 6, 20)), ("c", datetime(2026, 8, 1)),
-            ("b", datetime(2026, 8, 1)), ("c", datetime(2026, 8, 2))]
-    schema = land(spark, rows, "post_id string, seen_at timestamp", path, len(rows))
-    stream = jobs.landing_stream(spark, path, schema, files_per_trigger=1)
-    jobs.seen_stream(stream, out, checkpoint, 30)
-    found = sorted((r["post_id"], r["seen_at"]) for r in jobs.read_seen(spark, out).collect())
+            ("b", datetime(2026, 8, 1)), ("c", datetime(2026, 8, 2)), (None, None)]
+    stream = one_by_one(spark, [[row] for row in rows], "post_id string, seen_at timestamp", path)
+    jobs.seen_stream(stream, out, checkpoint, 30, tasks=2)
+    found = [(r["post_id"], r["seen_at"]) for r in jobs.read_seen(spark, out).collect()]
     # "old" is new once though it is late, and "b" is forgotten by August.
-    assert found == sorted([rows[0], rows[1], rows[2], rows[5], rows[6]])
+    assert sorted(found, key=str) == sorted([rows[0], rows[1], rows[2], rows[5], rows[6], rows[8]], key=str)
 
 
-def test_idle_keys_can_be_forgotten(spark, tmp_path):
-    path = str(tmp_path / "in")
-    rows = [(1, datetime(2026, 1, 1, 0, 0, n), n) for n in range(6)]
-    schema = land(spark, rows, "k int, ts timestamp_ntz, id int", path, 1)
-    stream = jobs.landing_stream(spark, path, schema).withColumn(
-        "at", F.unix_micros(F.col("ts").cast("timestamp")))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.ROCKSDB)
-    try:
-        admitted = jobs.admission_stream(stream, "k", "at", "id", 4, idle_seconds=3600)
-        got = jobs.collect_stream(admitted, "adm-idle")
-        assert sorted(r["id"] for r in got.filter("admitted").collect()) == [0, 1, 2, 3]
-    finally:
-        spark.conf.set(key, before)
+def test_keyed_streams_do_not_read_what_they_wrote(spark, tmp_path):
+    stream = one_by_one(spark, [[("a", datetime(2026, 6, 1))]], "post_id string, seen_at timestamp",
+                        str(tmp_path / "in"))
+    plan = keyed.seen_ids(stream, 30)._jdf.queryExecution().logical().toString()
+    assert plan.count("StreamingRelation") == 1 and plan.count("Relation") == 2  # itself and an empty one
+
+
+def test_idle_keys_start_afresh_and_are_forgotten(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+
+    def micros(second):
+        return second * 1_000_000
+
+    batches = [[(1, micros(n), n) for n in range(6)], [(2, micros(100), 10)],
+               [(1, micros(101 + n), 20 + n) for n in range(3)], [(2, micros(50), 30), (2, micros(101), 31)]]
+    stream = one_by_one(spark, batches, "k int, at bigint, id int", path)
+    keyed.append_stream(jobs.admission_stream(stream, "k", "at", "id", 2, 3600, idle_seconds=60), out,
+                        checkpoint, 2)
+    admitted = sorted(r["id"] for r in spark.read.parquet(out).filter("admitted").collect())
+    # Key 1 is decided again after its silence; the late event of key 2 counts and changes nothing else.
+    assert admitted == [0, 1, 10, 20, 21, 30]
+    held = spark.read.format("statestore").option("stateVarName", "accepted").load(checkpoint)
+    assert {r["key"][0] for r in held.collect()} == {1, 2}
+
+
+def test_an_idle_key_leaves_no_state(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    batches = [[(1, n * 1_000_000, n) for n in range(3)], [(2, 10_000_000_000, 10)], [(2, 10_001_000_000, 11)]]
+    stream = one_by_one(spark, batches, "k int, at bigint, id int", path)
+    keyed.append_stream(jobs.admission_stream(stream, "k", "at", "id", 2, 60, idle_seconds=3600), out,
+                        checkpoint, 2)
+    held = spark.read.format("statestore").option("stateVarName", "accepted").load(checkpoint)
+    assert [r["key"][0] for r in held.collect()] == [2]
+
+
+def test_signed_counts_equal_the_current_posts(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    rng = random.Random(5)
+    schema = ("post_id string, deleted boolean, day_number int, version array<long>, cti_level string, "
+              "measures array<long>")
+    batches, current, upto, newest = [], {}, {}, {}
+    for _ in range(5):
+        batch, gone = [], set()
+        for _ in range(40):
+            post, day = f"p{rng.randrange(6)}", rng.randrange(3)
+            version = [rng.randrange(3), rng.randrange(50), 0, 0, 0]
+            row = (post, False, day, version, rng.choice(["low", "high"]), [rng.randrange(2) for _ in range(5)])
+            if any(x[:4] == row[:4] for x in batch) or current.get((post, day), [None])[0] == version:
+                continue
+            batch.append(row)
+        batch += [batch[0], batch[0]]
+        if rng.random() < 0.6:
+            gone.add(f"p{rng.randrange(6)}")
+        batches.append(batch + [(post, True, None, None, None, None) for post in gone])
+        for post, _, day, version, level, numbers in batch:
+            newest[post] = max(newest.get(post, -1), version[1])
+            if version[1] > upto.get(post, -1) and version > current.get((post, day), [[-1]])[0]:
+                current[post, day] = [version, level, numbers]
+        for post in gone:
+            upto[post] = newest.get(post, -1)
+            current = {key: value for key, value in current.items() if key[0] != post}
+    jobs.current_stream(one_by_one(spark, batches, schema, path), out, checkpoint, tasks=2)
+    deltas = spark.read.parquet(out)
+    levels = {(r["day"].day - 1, r["cti_level"]): r["posts"] for r in keyed.current_levels(deltas).collect()}
+    assert levels == Counter((day, value[1]) for (_, day), value in current.items())
+    for row in keyed.day_summaries(deltas).collect():
+        own = [value for (_, day), value in current.items() if day == row["day"].day - 1]
+        assert row["posts"] == len(own)
+        assert [row[name] for name in keyed.MEASURES] == [sum(x[2][i] for x in own) for i in range(5)]
+        assert row["latest"].microsecond == max(x[0][1] for x in own)
+    assert keyed.day_summaries(deltas).count() == len({day for _, day in current})
 
 
 def test_streamed_admission_equals_batch(spark, tmp_path):
@@ -120,15 +193,10 @@ def test_streamed_admission_equals_batch(spark, tmp_path):
     schema = land(spark, sorted(rows, key=lambda r: r[1]), "k int, ts timestamp_ntz, id int", path, 1)
     stream = jobs.landing_stream(spark, path, schema).withColumn(
         "at", F.unix_micros(F.col("ts").cast("timestamp")))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.ROCKSDB)
-    try:
+    with keyed.keyed_state(spark, 2):
         got = jobs.collect_stream(jobs.admission_stream(stream, "k", "at", "id", 4), "adm")
-        wanted = admission.admit(spark.read.parquet(path), "k", "ts", "id", 4)
-        assert got.exceptAll(wanted).count() == 0 and got.count() == 200
-    finally:
-        spark.conf.set(key, before)
+    wanted = admission.admit(spark.read.parquet(path), "k", "ts", "id", 4)
+    assert got.exceptAll(wanted).count() == 0 and got.count() == 200
 
 
 def test_settings_have_the_documented_defaults():
