@@ -2,8 +2,8 @@
 
 Every common word (an anchor) starts a signature: the anchor and the next content words behind it.
 The set of a text's signatures is its fingerprint, and two texts are as alike as the Jaccard
-similarity of their sets. Headers, menus and other fragments without running text have few anchors
-and so weigh little.
+similarity of their sets. Stretches that no such chain reaches (lists, code, languages whose common words
+are not known) have their runs of three words in the fingerprint instead.
 
 Edited texts and neighbours need the next document. Documents are dealt into ranges of ids; each
 range also gets the first document of the range that follows, so a window over a range sees every
@@ -59,33 +59,45 @@ def short(value: Column) -> Column:
 
 
 def chains(hashes: Column) -> Column:
-    """Signatures of all anchors that enough content words follow."""
+    """For each word the signature it starts: anchors that enough content words follow, else null."""
     def signature(word: Column, place: Column) -> Column:
         following = F.filter(F.slice(hashes, place + 2, F.lit(REACH)), lambda x: x >= 0)
         return F.when(word < 0, let(following, lambda f: F.when(
             F.size(f) >= CHAIN,
             short(F.xxhash64(word, *(F.element_at(f, i + 1) for i in range(CHAIN)))))))
 
-    return F.filter(F.transform(hashes, signature), lambda x: x.isNotNull())
+    return F.transform(hashes, signature)
 
 
-def runs(hashes: Column) -> Column:
-    """For texts without such anchors: every run of words as long as a signature, or all words."""
-    width = CHAIN + 1
-    whole = F.array(short(F.xxhash64(hashes)))
-    return F.when(F.size(hashes) < width, whole).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(hashes) - CHAIN, F.lit(1))),
-        lambda i: short(F.xxhash64(F.slice(hashes, i, F.lit(width))))))
+def runs(hashes: Column, found: Column) -> Column:
+    """Runs of words, as long as a signature, from every word that no chain reaches.
+
+    Chains reach as far behind their anchor as their words may stand. At the end of a text, where no
+    whole run is left, the last one stands for its words.
+    """
+    width = F.size(hashes)
+
+    def reached(i: Column) -> Column:
+        near = F.slice(found, F.greatest(i - REACH, F.lit(1)), F.least(i, F.lit(REACH + 1)))
+        return F.exists(near, lambda x: x.isNotNull())
+
+    return F.transform(
+        F.filter(F.sequence(F.lit(1), width), lambda i: ~reached(i)),
+        lambda i: short(F.xxhash64(F.slice(hashes, F.greatest(F.least(i, width - CHAIN), F.lit(1)),
+                                           F.lit(CHAIN + 1)))))
 
 
 def signatures(text: Column) -> Column:
     """The sorted set of a text's 32-bit signatures. Null and empty texts have none.
 
-    A text without words has one, of the text itself.
+    Chains behind anchors, and runs of words wherever no chain reaches: all words of a text have a
+    part in it, also those of languages without anchors. A text without words has one signature,
+    of the text itself.
     """
     def of(hashes: Column) -> Column:
-        return let(chains(hashes), lambda found: F.when(F.size(found) > 0, found).otherwise(
-            F.when(F.size(hashes) > 0, runs(hashes)).otherwise(F.array(short(F.xxhash64(text))))))
+        return F.when(F.size(hashes) > 0, let(chains(hashes), lambda found: F.concat(
+            F.filter(found, lambda x: x.isNotNull()), runs(hashes, found)))
+        ).otherwise(F.array(short(F.xxhash64(text))))
 
     found = F.sort_array(F.array_distinct(let(word_hashes(text), of)))
     return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<bigint>"))
