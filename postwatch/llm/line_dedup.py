@@ -286,10 +286,12 @@ def cleaned(texts: pa.Array, lost: pa.Array) -> list[tuple[str, int, int]]:
     return out
 
 
-def without_shared_lines(docs: DataFrame) -> DataFrame:
+def without_shared_lines(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """``docs`` with its columns, ``text`` and ``n_chars`` being what ``drop_lines`` leaves.
 
-    A null text stays null; a text that loses all its lines is empty. ``n_chars`` is optional.
+    A null text stays null; a text that loses all its lines is empty. ``n_chars`` is optional. Without
+    ``keep_emptied``, rows that lose lines and have only white space left are left out. Repeated rows
+    are changed alike, and rows without an id, which count as one document, are judged by their texts.
     """
     *keys, lost = common.free_names(docs, *KEYS, "lost")
     found = losses(docs).withColumnsRenamed({**dict(zip(KEYS, keys, strict=True)), "lost": lost})
@@ -307,7 +309,12 @@ def without_shared_lines(docs: DataFrame) -> DataFrame:
             if "n_chars" in arrays:
                 arrays["n_chars"] = pa.array([None if x is None else len(x) for x in kept],
                                              arrays["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+            out = pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+            if not keep_emptied:
+                before = [x or "" for x in texts.to_pylist()]
+                out = out.filter(pa.array([bool(x and not x.isspace()) or (x or "") == old
+                                           for x, old in zip(kept, before, strict=True)], pa.bool_()))
+            yield out
 
     return keyed.join(found, keys, "left").drop(*keys).mapInArrow(run, schema)
 

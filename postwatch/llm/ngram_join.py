@@ -237,6 +237,12 @@ def near_duplicates(docs: DataFrame, least: float = shingles.LEAST_SIMILARITY,
     Other columns are not read. Bands are chosen so that a pair at just ``least`` is found with
     probability ``recall``; closer pairs are found more surely.
     """
+    return labelled_rows(docs, least, recall).select("doc_id", "n_shingles", "copy_id", "class_id", "n_links")
+
+
+def labelled_rows(docs: DataFrame, least: float, recall: float = shingles.TARGET_RECALL) -> DataFrame:
+    """The rows of :func:`near_duplicates` with ``doc_key`` and ``text_key``, which find a row again, and
+    ``label``, which is the same in a group and null without words."""
     spark = docs.sparkSession
     path = fresh_dir(spark, "ngrams")
     bands, rows = shingles.bands_for(least, recall)
@@ -271,10 +277,11 @@ def near_duplicates(docs: DataFrame, least: float = shingles.LEAST_SIMILARITY,
     # A class's smallest id: classes of one node need no grouping, but they take part all the same.
     least_id = labelled.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     known = labelled.join(least_id, "label").select(
-        "node", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    everything = spark.read.parquet(f"{path}/sketches").select("doc_id", "node", "size")
+        "node", "label", "copy_id", "class_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    everything = spark.read.parquet(f"{path}/sketches").select("doc_id", "doc_key", "text_key", "node", "size")
     return everything.join(known, "node", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"),
+        "doc_id", "doc_key", "text_key", "label", F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -284,21 +291,30 @@ def near_duplicates(docs: DataFrame, least: float = shingles.LEAST_SIMILARITY,
 def first_of_each(docs: DataFrame, least: float = shingles.LEAST_SIMILARITY) -> DataFrame:
     """Rows of ``docs`` with all their columns, one of each group of near duplicates.
 
-    The row with the group's smallest id stays, and of rows that repeat that id the first by text;
-    rows that repeat an id otherwise stay or go together. Rows without an id or without words
-    always stay.
+    Of a group the row with the smallest id stays, one without an id only where none has any; of rows
+    of one id the one whose text has the smallest hash, and of rows equal in both any one. Rows are
+    judged by id and text together, so a row that repeats an id with another text is judged by its
+    own text. Rows without words always stay.
     """
-    key, order = common.free_names(docs, "doc_key", "row_order")
-    judged = near_duplicates(docs, least).filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # A row with a smaller id in its group goes; so does one that repeats an id that stays.
-    lost = judged.filter("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
-    again = judged.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter(
-        "n > 1").select(F.col("doc_id").alias(key))
-    kept = docs.join(lost, docs["doc_id"] == lost[key], "left_anti")
-    single = kept.join(again, kept["doc_id"] == again[key], "left_anti")
-    several = kept.join(again, kept["doc_id"] == again[key], "left_semi").withColumn(
-        order, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return single.unionByName(several.filter(F.col(order) == 1).drop(order))
+    *keys, order = common.free_names(docs, "doc_key", "text_key", "row_order")
+    path = fresh_dir(docs.sparkSession, "first")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_key", "text_key")
+    (labelled_rows(docs, least).filter("label IS NOT NULL").select("label", place.alias("place"))
+     .groupBy("label", "place").agg(F.count("*").alias("n")).write.parquet(path))
+    rows = docs.sparkSession.read.parquet(path)
+    first = rows.groupBy("label").agg(F.min("place").alias("first"))
+    judged = rows.join(first, "label")
+    found = [F.col(f"place.{name}").alias(key) for name, key in zip(("doc_key", "text_key"), keys, strict=True)]
+    lost = judged.filter("place <> first").select(*found)
+    again = judged.filter("place = first AND n > 1").select(*found)
+    marked = docs.withColumns(dict(zip(keys, (
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)), F.xxhash64(F.col("text").cast("string"))),
+        strict=True)))
+    kept = marked.join(lost, keys, "left_anti")
+    single = kept.join(again, keys, "left_anti")
+    several = kept.join(again, keys, "left_semi").withColumn(
+        order, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    return single.select(*docs.columns).unionByName(several.filter(F.col(order) == 1).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
