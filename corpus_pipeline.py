@@ -22,22 +22,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; lines that another document of smaller id holds are gone from ``text``."""
-    return line_dedup.without_shared_lines(docs)
+    """Rows without the lines that another document of smaller id holds.
+
+    A row that loses lines and has nothing but white space left is a copy, and goes. Null, empty and
+    blank texts that lose nothing stay, repeated rows are judged alike.
+    """
+    return line_dedup.without_shared_lines(docs, keep_emptied=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, the one of the smallest id."""
+    """One row of each group of near duplicates, the one of the smallest id.
+
+    Rows without an id are kept only where no row of their group has one. Rows without words stay.
+    """
     return ngram_join.first_of_each(docs)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share no ten words in a row with a benchmark item."""
+    """Rows that share no ten words in a row with a benchmark item.
+
+    Null and empty texts share nothing and stay, repeated rows are judged alike, and a benchmark
+    without items takes nothing away.
+    """
     return decontaminate.remove_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids binary, ids_sha256)`` of every row that is left."""
+    """``(doc_id, n_tokens, ids binary, ids_sha256)`` of every row that is left.
+
+    Null and empty texts have no tokens; repeated rows and null ids pass through.
+    """
     return byte_bpe.encode(docs).select("doc_id", "n_tokens", "ids",
                                         F.sha2("ids", 256).alias("ids_sha256"))
 
