@@ -5,12 +5,13 @@ Every ledger is append-only; the current state is an aggregate over it, combined
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postwatch.functions.records import is_stale, ntz
@@ -251,6 +252,23 @@ def kv_get(state: DataFrame, key: str, default: str = "") -> DataFrame:
     )
 
 
+def counting(rows: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """The same rows, and what is counted while an action reads them; no second pass is needed.
+
+    ``name`` also tells the counts apart in the query's progress. The counts are those of the first
+    action on the rows.
+    """
+    seen = Observation(name)
+    return rows.observe(seen, *[column.alias(key) for key, column in metrics.items()]), seen
+
+
+def observed_audit(spark: SparkSession, event_type: str, counts: dict, at: str) -> DataFrame:
+    """One audit entry of observed counts."""
+    detail = json.dumps(counts, separators=(",", ":"))
+    return spark.createDataFrame([(event_type, detail, at)],
+                                 "event_type string, detail string, created_at string")
+
+
 def audit_rows(rows: DataFrame, event_type: Column, detail: Sequence[str], at: Column) -> DataFrame:
     """Audit entries with their details as compact JSON."""
     return rows.select(

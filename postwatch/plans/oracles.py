@@ -326,6 +326,11 @@ ORACLES["compacted_store"] = POSTS + f"SELECT post_id, {DAY}, content_version, c
 ORACLES["apply_deletes"] = CURRENT + f"""
 SELECT post_id, {DAY}, content_version FROM ver
 WHERE post_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""
+ORACLES["stream_deletes"] = CURRENT + f"""
+SELECT post_id, {DAY}, content_version FROM ver
+WHERE post_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1 AND doc_id % 2 = 1)
+  AND NOT (content_version = 1
+    AND post_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1 AND doc_id % 2 = 0))"""
 ORACLES["purged_store"] = ORACLES["apply_deletes"]
 ORACLES["synthetic_posts"] = f"""
 WITH numbers AS (SELECT l_orderkey * 8 + l_linenumber AS number FROM lineitem),
@@ -595,6 +600,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS post_id, CAST(c_nationkey AS VARCHAR) AS au
 FROM customer
 LEFT JOIN latest ON latest.id = CAST(c_nationkey AS VARCHAR)
 LEFT JOIN supplier ON s_suppkey = c_custkey"""
+ORACLES["stream_authors"] = ORACLES["author_join"]
 ORACLES["expand_referenced"] = """
 SELECT t.conv_id || '-' || t.turn AS post_id,
   CASE WHEN length(coalesce(q.text, '')) >= length(coalesce(r.text, ''))
@@ -919,6 +925,16 @@ GROUP BY user_id, batch QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY
 ORACLES["stream_seen"] = BATCHES + f"""
 SELECT user_id AS post_id, {clock('min(ts)')} AS seen_at FROM event
 GROUP BY user_id, batch QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch) = 1"""
+ORACLES["cycle_observed"] = BATCHES + """, first AS (
+  SELECT user_id, min(batch) AS batch FROM event GROUP BY user_id
+)
+SELECT 'collector_cycle' AS event_type,
+  '{"fetched":' || count(*) || ',"enqueued":' || (SELECT count(*) FROM first WHERE first.batch = event.batch)
+    || '}' AS detail, CAST(batch AS VARCHAR) AS created_at
+FROM event GROUP BY batch
+UNION ALL
+SELECT 'collector_total', '{"reads":' || count(*) || ',"days":' || count(DISTINCT CAST(ts AS DATE)) || '}', '4'
+FROM event"""
 RETRY_DELAY = SETTINGS.retry_delay_seconds
 ORACLES["stream_retry"] = f"""
 WITH clock AS (

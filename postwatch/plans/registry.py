@@ -149,6 +149,27 @@ def apply_deletes(spark, sf):
     return plain(rows.select(*key_and("content_version")))
 
 
+@query("stream_deletes")
+def stream_deletes(spark, sf):
+    """Posts and delete events in turn: first versions, deletes of even ids, the other versions (which
+    are visible again), deletes of odd ids, and those of the first batch once more as a replay."""
+    posts = fixture.posts(spark, sf)
+    path, lines, offsets = (fresh_dir(spark, name) for name in ("posts", "deletes", "delete-offsets"))
+    first = F.col("content_version") == 1
+    events = table(spark, sf, "labels").select(
+        "doc_id", F.to_json(F.struct(
+            F.when(F.col("toxic") == 1, "delete").otherwise("keep").alias("action"),
+            F.col("doc_id").cast("string").alias("id"))).alias("value"))
+    noise = table(spark, sf, "conversations").select(F.col("text").alias("value"))
+    for part, rows in enumerate((posts.filter(first), posts.filter(~first))):
+        store.append_posts(rows, path)
+        events.filter(F.col("doc_id") % 2 == part).select("value").unionAll(noise).write.text(f"{lines}/{part}")
+        jobs.delete_stream(spark.readStream.text(f"{lines}/*"), path, offsets)
+    again = deletes.delete_events(events.filter(F.col("doc_id") % 2 == 0))
+    store.delete_posts(spark, path, again, "deletes-0")
+    return plain(store.read_versions(spark, path).select(*key_and("content_version")))
+
+
 @query("purged_store")
 def purged_store(spark, sf):
     """The same deletes, with the days of deleted rows rewritten and read without tombstones."""
@@ -985,6 +1006,7 @@ def since_id(spark, sf):
     )
 
 
+AUTHOR_WAIT_SECONDS = 1_000_000
 ADMISSION_LIMIT, ADMISSION_SECONDS, IDLE_SECONDS = 2, 86_400, 21_600
 
 
@@ -1065,6 +1087,29 @@ def stream_dedupe(spark, sf):
     return queued_batches(spark, batches).select("source_id", "id")
 
 
+@query("cycle_observed")
+def cycle_observed(spark, sf):
+    """An audit entry per collector cycle, from what the queue stream counted while it ran; days with
+    reads are counted while the entry of the last cycle is made."""
+    out, offsets = fresh_dir(spark, "stream-queue"), fresh_dir(spark, "stream-queue-offsets")
+    audit = fresh_dir(spark, "audit")
+    cycles = []
+
+    def start(changes):
+        counts = jobs.queue_stream(changes, out, offsets, SETTINGS.retry_delay_seconds, state_tasks(spark))
+        cycles.append({name: counts[name] for name in ("fetched", "enqueued")})
+
+    fixture.run_landings(
+        spark, [arrivals(batch, "user_id") for batch in fixture.event_batches(spark, sf)], start)
+    for number, counts in enumerate(cycles):
+        store.append_audit(ledger.observed_audit(spark, "collector_cycle", counts, str(number)), audit)
+    reads, seen = ledger.counting(fixture.event_reads(spark, sf), "reads", reads=F.count(F.lit(1)))
+    days = ledger.daily_usage(reads, F.col("day"), F.lit(1)).count()
+    store.append_audit(ledger.observed_audit(
+        spark, "collector_total", {"reads": seen.get["reads"], "days": days}, str(len(cycles))), audit)
+    return spark.read.schema("event_type string, detail string, created_at string").json(audit)
+
+
 @query("stream_requeue")
 def stream_requeue(spark, sf):
     """Purchases are acknowledged with the next batch, so their users are queued again."""
@@ -1137,6 +1182,45 @@ def overview_incremental(spark, sf):
     return plain(stats.overview_of_days(days))
 
 
+@query("stream_authors")
+def stream_authors(spark, sf):
+    """The join of ``author_join`` over two streams: posts land before, between and after their authors'
+    records, of which the newest land first."""
+    posts = table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias("author_id"),
+        F.to_json(F.struct(F.col("c_custkey").cast("string").alias("post_id"))).alias("post"),
+        F.timestamp_seconds(F.col("c_custkey")).alias("at"))
+    authors = supplier_authors(spark, sf).select(
+        F.col("id").alias("author_id"), F.col("page_seq").alias("seq"),
+        F.to_json(F.struct("username", "balance")).alias("record"), F.timestamp_seconds("page_seq").alias("at"))
+    half = F.crc32(F.col("post").cast("binary")) % 2 == 0
+    newer = F.col("seq") % 3 == 2
+    # At the end a time beyond all others lets the last posts go.
+    ends = [rows.limit(1).withColumns({"author_id": F.lit(None).cast("string"), name: F.lit(None).cast(kind),
+                                       "at": F.timestamp_seconds(F.lit(4_000_000_000))})
+            for rows, name, kind in ((posts, "post", "string"), (authors, "seq", "long"))]
+    landings = ([posts.filter(half), posts.filter(~half), ends[0]],
+                [authors.filter(newer), authors.filter(~newer), ends[1]])
+    left, right, out, offsets = (
+        fresh_dir(spark, name) for name in ("post-landing", "author-landing", "authors", "author-offsets"))
+    for number, (some, others) in enumerate(zip(*landings, strict=True)):
+        some.write.parquet(f"{left}/{number}")
+        others.write.parquet(f"{right}/{number}")
+        joined_rows = keyed.with_latest_authors(
+            jobs.landing_stream(spark, f"{left}/*", posts.schema),
+            jobs.landing_stream(spark, f"{right}/*", authors.schema), AUTHOR_WAIT_SECONDS, parts=4)
+        keyed.append_stream(joined_rows, out, offsets, state_tasks(spark))
+    found = spark.read.parquet(out).select(
+        F.from_json("post", "post_id string")["post_id"].alias("post_id"), "author_id",
+        F.from_json("author", "username string, balance double").alias("by_author"))
+    by_post = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("post_id"),
+        F.struct(F.col("s_name").alias("username"), F.round("s_acctbal", 2).alias("balance")).alias("by_post"))
+    author = F.coalesce("by_post", "by_author")
+    return found.join(by_post, "post_id", "left").select(
+        "post_id", "author_id", author["username"].alias("username"), author["balance"].alias("balance"))
+
+
 @query("stream_daily_levels")
 def stream_daily_levels(spark, sf):
     rows = to_posts_stream(fixture.stream(spark, sf, "documents"))

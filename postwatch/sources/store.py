@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +52,8 @@ TOMBSTONES_DDL = "post_id string, upto timestamp_ntz"
 def read_tombstones(spark: SparkSession, path: str) -> DataFrame | None:
     """``(_gone, _upto)``: deleted ids and the ingest time up to which their rows are gone."""
     try:
-        rows = spark.read.schema(TOMBSTONES_DDL).parquet(f"{path}/_tombstones")
+        rows = spark.read.schema(TOMBSTONES_DDL).option("recursiveFileLookup", "true").parquet(
+            f"{path}/_tombstones")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -87,16 +90,21 @@ def _replace_days(
     # The overwrite leaves a day alone that lost all its rows, so drop those folders.
     for day in days:
         if day not in left:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _remove(spark, f"{path}/day={day.isoformat()}")
 
 
-def delete_posts(spark: SparkSession, path: str, deleted: DataFrame) -> int:
+def delete_posts(spark: SparkSession, path: str, deleted: DataFrame, label: str | None = None) -> int:
     """Hide all rows of the listed ids that are stored now; the number of ids that had any.
 
     Only a tombstone per id is written, in a folder that scans of the posts pass over. Rows of an id
-    that arrive later are visible again. The rows themselves leave when their days are purged.
+    that arrive later are visible again. The rows themselves leave when their days are purged. A
+    ``label`` names the folder of these tombstones: once it is complete, a call that repeats the label
+    changes nothing, so a delete that is tried again does not reach rows that came after it.
     """
+    folder = f"{path}/_tombstones/{label or uuid.uuid4().hex}"
+    if label and _exists(spark, f"{folder}/_SUCCESS"):
+        return 0
+    _remove(spark, folder)
     stored = read_versions(spark, path).select("post_id", "ingested_at")
     ids = deleted.select("post_id").distinct()
     gone = stored.join(ids, "post_id", "left_semi").groupBy("post_id").agg(
@@ -106,11 +114,26 @@ def delete_posts(spark: SparkSession, path: str, deleted: DataFrame) -> int:
     gone.write.parquet(fresh)
     rows = spark.read.schema(TOMBSTONES_DDL).parquet(fresh)
     found = rows.count()
-    if found:
-        rows.coalesce(1 + found // 1_000_000).write.mode("append").parquet(f"{path}/_tombstones")
+    if found or label:
+        rows.coalesce(1 + found // 1_000_000).write.parquet(folder)
     return found
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _folder(spark, path)
+    return system.exists(folder)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, folder = _folder(spark, path)
+    system.delete(folder, True)
+
+
 def purge_days(spark: SparkSession, path: str, days: list) -> None:
     """Rewrite the given days without the rows that tombstones hide."""
     _replace_days(spark, path, read_versions(spark, path).filter(F.col("day").isin(days)), days)

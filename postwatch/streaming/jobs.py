@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,8 @@ from postwatch.operators.ingest import (
 from postwatch.operators.stats import daily_levels
 from postwatch.schema import PAYLOAD_DDL, Settings
 from postwatch.session import fresh_dir
-from postwatch.sources.store import append_posts
+from postwatch.sources.deletes import delete_events
+from postwatch.sources.store import append_posts, delete_posts
 from postwatch.streaming import keyed
 from postwatch.streaming.keyed import ROCKSDB  # noqa: F401 - the store that keyed streams need
 
@@ -100,6 +101,20 @@ def enrich_stream(
     run(payloads, handle, checkpoint)
 
 
+def delete_stream(lines: DataFrame, posts_path: str, checkpoint: str, name: str = "deletes",
+                  value: str = "value") -> None:
+    """JSON lines of delete events to tombstones of the stored posts.
+
+    A batch hides what is stored when it runs; posts that arrive later are visible again. Each batch
+    has its own folder of tombstones under ``name``, so a replay of a finished batch changes nothing.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        delete_posts(batch.sparkSession, posts_path, delete_events(batch, value), f"{name}-{batch_id}")
+
+    run(lines, handle, checkpoint)
+
+
 def daily_level_stream(posts: DataFrame, path: str, checkpoint: str) -> None:
     """Per batch, the added rows per day and level."""
 
@@ -119,9 +134,20 @@ def read_daily_levels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def queue_stream(changes: DataFrame, path: str, checkpoint: str, delay_seconds: int = 30,
-                 tasks: int | None = None) -> None:
-    """Append the rows that the work queue hands out; see ``keyed.work_queue``."""
-    keyed.append_stream(keyed.work_queue(changes, delay_seconds), path, checkpoint, tasks)
+                 tasks: int | None = None) -> Row:
+    """Append the rows that the work queue hands out (see ``keyed.work_queue``); what this run counted.
+
+    ``fetched`` arrivals, ``enqueued`` source ids and ``retried`` rows are observed while the rows pass,
+    so no table is read for them.
+    """
+    arrived = F.col("kind") == keyed.ARRIVED
+    counted = changes.observe("arrived", F.count_if(arrived).alias("fetched"))
+    handed = keyed.work_queue(counted, delay_seconds).observe(
+        "handed", F.count_if(F.col("attempts") == 0).alias("enqueued"),
+        F.count_if(F.col("attempts") > 0).alias("retried"))
+    batches = keyed.append_stream(handed, path, checkpoint, tasks)
+    names = ("fetched", "enqueued", "retried")
+    return Row(**{name: sum(batch.get(name) or 0 for batch in batches) for name in names})
 
 
 def read_queued(spark: SparkSession, path: str) -> DataFrame:

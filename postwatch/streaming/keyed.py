@@ -1,4 +1,4 @@
-"""Streams with keyed state: seen ids, admission, the work queue, current posts as signed counts.
+"""Streams with keyed state: seen ids, admission, queue, authors, current posts as signed counts.
 
 State is one small row per key in the RocksDB store, so a batch touches the keys that it has and never
 reads what earlier batches wrote. Forgetting is done by event-time timers: the clock is the newest
@@ -25,6 +25,7 @@ from postwatch.operators.admission import MICROS, Ring
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 PARTITIONS = "spark.sql.shuffle.partitions"
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
 DAY_MILLIS = 86_400_000
 
 
@@ -34,8 +35,9 @@ def keyed_state(spark: SparkSession, tasks: int | None = None) -> Iterator[None]
 
     A stream keeps the number of tasks of its first start in its checkpoint.
     """
-    before = {name: spark.conf.get(name) for name in (STORE, PARTITIONS)}
+    before = {name: spark.conf.get(name) for name in (STORE, PARTITIONS, PROGRESS)}
     spark.conf.set(STORE, ROCKSDB)
+    spark.conf.set(PROGRESS, 100_000)  # batches of a run whose metrics are kept
     if tasks:
         spark.conf.set(PARTITIONS, tasks)
     try:
@@ -45,12 +47,17 @@ def keyed_state(spark: SparkSession, tasks: int | None = None) -> Iterator[None]
             spark.conf.set(name, value)
 
 
-def append_stream(stream: DataFrame, path: str, checkpoint: str, tasks: int | None = None) -> None:
-    """Process everything that has landed and append the results as Parquet, each batch once."""
+def append_stream(stream: DataFrame, path: str, checkpoint: str, tasks: int | None = None) -> list[dict]:
+    """Process everything that has landed and append the results as Parquet, each batch once.
+
+    Gives the observed metrics of every batch of this run, by their names.
+    """
     with keyed_state(stream.sparkSession, tasks):
         query = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
+    return [{name: value for row in (progress["observedMetrics"] or {}).values()
+             for name, value in row.asDict().items()} for progress in query.recentProgress]
 
 
 def on_clock(stream: DataFrame, at: str, delay: str = "0 seconds") -> DataFrame:
@@ -246,6 +253,86 @@ def work_queue(changes: DataFrame, delay_seconds: int) -> DataFrame:
     return found.select("source_id", "id", "attempts", F.timestamp_millis("available_ms").alias("available_at"))
 
 
+# --- authors beside posts ----------------------------------------------------------------------------
+
+
+class LatestAuthor(Timed):
+    """The newest record of an author, and the posts that wait for it."""
+
+    def __init__(self, wait: int) -> None:
+        self.wait = wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.author = handle.getValueState("author", "seq long, record string")
+        self.posts = handle.getListState("posts", "post string, due long")
+
+    def joined(self, key: Any, posts: list[str], record: str | None) -> Iterator[pd.DataFrame]:
+        if posts:
+            yield pd.DataFrame({"author_id": [key[0]] * len(posts), "post": posts,
+                                "author": [record] * len(posts)})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        held = tuple(self.author.get()) if self.author.exists() else None
+        newest, ready, waiting = held, [], []
+        for frame in rows:
+            known = frame[frame["seq"].notna()]
+            if len(known):
+                last = known.loc[known["seq"].idxmax()]
+                if newest is None or int(last["seq"]) >= newest[0]:
+                    newest = (int(last["seq"]), last["record"])
+            for post, at in frame.loc[frame["post"].notna(), ["post", "at_ms"]].itertuples(index=False):
+                due = now if pd.isna(at) else int(at) + self.wait
+                if due <= now:
+                    ready.append(post)
+                else:
+                    waiting.append((post, due))
+        if newest != held:
+            self.author.update(newest)
+        if waiting:
+            self.posts.appendList(waiting)
+            soonest = min(due for _, due in waiting)
+            self.set_timer(min([soonest, *self.handle.listTimers()]))
+        yield from self.joined(key, ready, newest[1] if newest else None)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        record = self.author.get()[1] if self.author.exists() else None
+        posts = [tuple(x) for x in self.posts.get()] if self.posts.exists() else []
+        later = [(post, due) for post, due in posts if due > now]
+        if later:
+            self.posts.put(later)
+            self.handle.registerTimer(min(due for _, due in later))
+        else:
+            self.posts.clear()
+        yield from self.joined(key, [post for post, due in posts if due <= now], record)
+
+
+def with_latest_authors(posts: DataFrame, authors: DataFrame, wait_seconds: int, parts: int = 1) -> DataFrame:
+    """``(author_id, post, author)``: every post with the newest record of its author, or none.
+
+    ``posts`` has (author_id, post, at) and ``authors`` (author_id, seq, record, at), with posts and
+    records as JSON. A post waits until the slower of the two streams has passed it by the wait, so
+    records that come after it in that time count, in whatever order things arrive; a later post is
+    joined at once. The records stay as state. ``parts`` deals the posts of each author over so many
+    keys, to each of which the author's records go.
+    """
+    none = F.lit(None).cast("string")
+    salt = F.pmod(F.xxhash64("post"), F.lit(parts)).cast("int")
+    left = on_clock(posts.select("author_id", "post", "at"), "at").select(
+        "author_id", salt.alias("part"), "post", F.lit(None).cast("long").alias("seq"), none.alias("record"), "at_ms")
+    right = on_clock(authors.select("author_id", "seq", "record", "at"), "at").select(
+        "author_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), none.alias("post"),
+        F.col("seq").cast("long").alias("seq"), "record", "at_ms")
+    kind = posts.schema["author_id"].dataType
+    schema = T.StructType([T.StructField("author_id", kind), T.StructField("post", T.StringType()),
+                           T.StructField("author", T.StringType())])
+    return left.unionByName(right).groupBy("author_id", "part").transformWithStateInPandas(
+        statefulProcessor=LatestAuthor(wait_seconds * 1000), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime")
+
+
 # --- current posts as signed counts ------------------------------------------------------------------
 
 #: What a post adds to its day, besides itself, and the order of its versions.

@@ -314,3 +314,22 @@ def test_synthetic_rows_are_checked():
         synthetic.synthetic_posts(None, 0)
     with pytest.raises(ValueError):
         synthetic.synthetic_posts(None, 1_000_000_001)
+
+
+def test_a_repeated_delete_batch_changes_nothing(spark, posts, tmp_path):
+    path = str(tmp_path / "p")
+    store.append_posts(posts, path)
+    gone = posts.filter("cti_level = 'critical'").select("post_id").distinct()
+    found = store.delete_posts(spark, path, gone, "deletes-0")
+    left = store.read_versions(spark, path).count()
+    assert found == gone.count() and left < posts.count()
+    again = posts.join(gone, "post_id", "left_semi").withColumn(
+        "ingested_at", F.expr("timestampadd(DAY, 1, ingested_at)"))
+    store.append_posts(again, path)
+    seen = store.read_versions(spark, path).count()
+    assert seen == left + again.count()
+    # The replay of a finished batch does not reach what came after it; a new batch does.
+    assert store.delete_posts(spark, path, gone, "deletes-0") == 0
+    assert store.read_versions(spark, path).count() == seen
+    assert store.delete_posts(spark, path, gone, "deletes-1") == found
+    assert store.read_versions(spark, path).count() == left

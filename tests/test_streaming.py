@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from postwatch.operators import admission, ingest, stats
+from postwatch.operators import admission, ingest, ledger, stats
 from postwatch.schema import Settings
 from postwatch.sources import store
 from postwatch.streaming import jobs, keyed
@@ -149,6 +149,32 @@ def test_an_idle_key_leaves_no_state(spark, tmp_path):
     assert [r["key"][0] for r in held.collect()] == [2]
 
 
+def test_authors_count_in_any_order(spark, tmp_path):
+    out, checkpoint = (str(tmp_path / name) for name in ("out", "ck"))
+    posts = [[("a", "p1", at(0)), ("b", "p2", at(1)), (None, "p3", None)], [("a", "p4", at(500))],
+             [("a", "p5", at(3)), ("c", "p6", at(2_000))], [(None, None, at(9_000))]]
+    authors = [[("b", 5, "new b", at(2)), ("b", 1, "old b", at(0))], [("a", 1, "old a", at(10)), ("b", 3, "b", at(20))],
+               [("a", 2, "new a", at(1_900))], [("d", 1, "d", at(9_000))]]
+    rows = keyed.with_latest_authors(
+        one_by_one(spark, posts, "author_id string, post string, at timestamp", str(tmp_path / "posts")),
+        one_by_one(spark, authors, "author_id string, seq int, record string, at timestamp", str(tmp_path / "authors")),
+        100, parts=2)
+    keyed.append_stream(rows, out, checkpoint, 2)
+    found = {r["post"]: r["author"] for r in spark.read.parquet(out).collect()}
+    # All but p3 wait for the slower stream and meet records that came later.
+    assert found == {"p1": "new a", "p2": "new b", "p3": None, "p4": "new a", "p5": "new a", "p6": None}
+
+
+def test_counts_are_observed_while_rows_pass(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    batches = [[("s", 1, keyed.ARRIVED, at(0), 1), ("s", 2, keyed.ARRIVED, at(1), 2)],
+               [("s", 1, keyed.FAILED, at(2), 0), ("t", 3, keyed.ARRIVED, at(90), 3)]]
+    counts = jobs.queue_stream(one_by_one(spark, batches, QUEUE, path), out, checkpoint, 30, tasks=2)
+    assert counts.asDict() == {"fetched": 3, "enqueued": 2, "retried": 1}
+    rows, seen = ledger.counting(spark.range(50), "rows", n=F.count(F.lit(1)), most=F.max("id"))
+    assert rows.filter("id > 40").count() == 9 and seen.get == {"n": 50, "most": 49}
+
+
 def test_signed_counts_equal_the_current_posts(spark, tmp_path):
     path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
     rng = random.Random(5)
