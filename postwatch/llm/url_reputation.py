@@ -4,7 +4,8 @@ Outcomes of labelled pages are counted by host. A host's share of bad pages has
 mean is that of its registered domain and whose strength is estimated from how hosts differ; the
 domain is shrunk towards its suffix and the suffix towards all pages in the same way. A url is
 blocked if the lower bound of its host's posterior is above a limit, so a host needs evidence to
-be blocked; one without labelled pages is judged by its domain, suffix or all pages.
+be blocked; one without labelled pages is judged by its domain, suffix or all pages. User, port and a
+final dot are no part of what evidence is counted for, and an address is its own domain.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = ("host", "domain", "suffix")
+#: Labels under which countries' registries register names, before an ending of two letters.
+SECOND_LEVELS = ("ac co com edu go gob gouv gov ltd me mil ne net nhs nom or org plc sch").split()
+#: Four numbers, or anything in brackets, and the suffix that all addresses share.
+ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
+ADDRESSES = "(address)"
 
 
 @dataclass(frozen=True)
@@ -65,20 +71,31 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label. Two-letter country suffixes with a short second level count both labels."""
-    labels = F.split(host, r"\.")
+def site_of(host: Column) -> Column:
+    """The host without user, port and final dot, which is what reputations are kept for."""
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    return F.regexp_replace(bare, r"\.+$", "")
+
+
+def is_address(site: Column) -> Column:
+    return site.rlike(ADDRESS)
+
+
+def suffix_of(site: Column) -> Column:
+    """The last label, or the last two where a country's registry has such second levels."""
+    labels = F.split(site, r"\.")
     last, before = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
-    country = (F.length(last) == 2) & (F.length(before) <= 3) & (F.size(labels) > 2)
-    return F.when(country, F.concat_ws(".", before, last)).otherwise(last)
+    country = (F.length(last) == 2) & before.isin(*SECOND_LEVELS) & (F.size(labels) > 2)
+    return F.when(is_address(site), F.lit(ADDRESSES)).when(
+        country, F.concat_ws(".", before, last)).otherwise(last)
 
 
-def domain_of(host: Column) -> Column:
-    """The suffix and the label before it."""
-    labels, suffix = F.split(host, r"\."), suffix_of(host)
+def domain_of(site: Column) -> Column:
+    """The suffix and the label before it; an address is its own domain."""
+    labels, suffix = F.split(site, r"\."), suffix_of(site)
     wide = F.when(suffix.contains("."), F.lit(3)).otherwise(F.lit(2))
     size = F.size(labels)
-    return F.when(size <= wide, host).otherwise(
+    return F.when(is_address(site) | (size <= wide), site).otherwise(
         F.concat_ws(".", F.slice(labels, size - wide + 1, wide)))
 
 
@@ -93,7 +110,7 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
         .when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"),
     ).filter("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     seen = pages.select(F.col("page_id").cast("bigint").alias("page_id"),
-                        host_of(F.col("url")).alias("host")).filter("host <> ''")
+                        site_of(host_of(F.col("url"))).alias("host")).filter("host <> ''")
     return (seen.join(judged, "page_id").groupBy("host")
             .agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
 
@@ -176,12 +193,13 @@ def judge(pages: DataFrame, labels: DataFrame, limits: Limits = Limits(), rules=
                        F.coalesce("path", F.lit("")).alias("path"))
     levels = reputations(outcomes(pages, labels), limits)
     # One row for each host that any page has; pages are joined with that, not with each level.
+    site = site_of(F.col("host"))
     known = rows.select("host").distinct().withColumns(
-        {"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host")), "all": F.lit("all")})
+        {"site": site, "domain": domain_of(site), "suffix": suffix_of(site), "all": F.lit("all")})
     for level in ("host", "domain", "suffix", "all"):
-        side = levels[level].select(F.col("key").alias(level),
+        side = levels[level].select(F.col("key").alias("site" if level == "host" else level),
                                     F.struct("mean", "bound").alias(f"by_{level}"))
-        known = known.join(F.broadcast(side) if level == "all" else side, level, "left")
+        known = known.join(F.broadcast(side) if level == "all" else side, "site" if level == "host" else level, "left")
     best = F.coalesce(*(F.col(f"by_{x}") for x in ("host", "domain", "suffix", "all")))
     path = fresh_dir(pages.sparkSession, "hosts")
     known.select("host", best.alias("best")).write.parquet(path)
@@ -229,24 +247,31 @@ def oracle(limits: Limits = Limits()) -> str:
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
         names[True].append(f"WHEN {fits} THEN '{host}{path}'")
         names[False].append(f"WHEN {fits} THEN '{verdict}'")
-    labels = "string_split(host, '.')"
-    suffix = f"""CASE WHEN len({labels}) > 2 AND length({labels}[-1]) = 2 AND length({labels}[-2]) <= 3
+    labels = "string_split(site, '.')"
+    address = f"regexp_matches(site, '{ADDRESS}')"
+    seconds = ", ".join(f"'{x}'" for x in SECOND_LEVELS)
+    suffix = f"""CASE WHEN {address} THEN '{ADDRESSES}'
+      WHEN len({labels}) > 2 AND length({labels}[-1]) = 2 AND {labels}[-2] IN ({seconds})
       THEN {labels}[-2] || '.' || {labels}[-1] ELSE {labels}[-1] END"""
-    domain = f"array_to_string({labels}[-(CASE WHEN contains({suffix}, '.') THEN 3 ELSE 2 END):], '.')"
+    domain = f"""CASE WHEN {address} THEN site ELSE
+      array_to_string({labels}[-(CASE WHEN contains({suffix}, '.') THEN 3 ELSE 2 END):], '.') END"""
     return f"""
-WITH page AS (
+WITH split AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN
     translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), '{UPPER}', '{LOWER}')
     ELSE '' END AS host,
     CASE WHEN instr(url, '://') > 0 THEN
     regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages
+), page AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS site
+  FROM split
 ), judged AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS bad
   FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id
 ), hosts AS (
-  SELECT host AS key, {domain} AS domain, {suffix} AS suffix, count(*)::DOUBLE AS n, sum(bad) AS bad
-  FROM page JOIN judged USING (page_id) WHERE host <> '' GROUP BY host
+  SELECT site AS key, {domain} AS domain, {suffix} AS suffix, count(*)::DOUBLE AS n, sum(bad) AS bad
+  FROM page JOIN judged USING (page_id) WHERE site <> '' GROUP BY site
 ), domains AS (
   SELECT domain AS key, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1
 ), suffixes AS (
@@ -260,7 +285,7 @@ WITH page AS (
 ), rated AS (
   SELECT page_id, host, path, coalesce(h.mean, d.mean, s.mean, e.mean) AS mean,
          coalesce(h.weight, d.weight, s.weight, e.weight) AS weight
-  FROM placed LEFT JOIN host_post h ON h.key = host LEFT JOIN domain_post d ON d.key = domain
+  FROM placed LEFT JOIN host_post h ON h.key = site LEFT JOIN domain_post d ON d.key = domain
   LEFT JOIN suffix_post s ON s.key = suffix CROSS JOIN everything e
 )
 SELECT page_id, host, path, CASE {" ".join(names[True])} END AS rule, round(mean, 6) AS bad_share,
