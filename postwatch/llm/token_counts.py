@@ -8,6 +8,7 @@ once; a row without a mergeable pair is done, and the symbols it has left are it
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -133,17 +134,14 @@ def segments(data: bytes, offsets: np.ndarray, special: list[bytes]) -> tuple:
     if not any(mark in data for mark in special):
         return data, offsets, np.arange(count), extra
     parts, owners = [], []
+    marks = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True))))
     for row in range(count):
-        text, at, start = data[offsets[row]: offsets[row + 1]], 0, 0
-        while True:
-            found = [(text.find(mark, at), -len(mark)) for mark in special if mark in text[at:]]
-            if not found:
-                break
-            place, size = min(found)
-            parts.append(text[start:place])
+        text, start = data[offsets[row]: offsets[row + 1]], 0
+        for found in marks.finditer(text):
+            parts.append(text[start: found.start()])
             owners.append(row)
             extra[row] += 1
-            at = start = place - size
+            start = found.end()
         parts.append(text[start:])
         owners.append(row)
     return (b"".join(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts]))),

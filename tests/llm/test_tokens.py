@@ -142,3 +142,17 @@ def test_queries_on_the_test_tables(spark, sf_dir, library):
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
     counted = {r.doc_id: r.n_tokens for r in token_counts.query(spark, sf_dir).collect()}
     assert counted == {row.doc_id: row.n_tokens for row in rows}
+
+
+def test_many_special_strings_are_found_in_one_pass(spark):
+    import time
+
+    merges = token_counts.load(public_tokenizers.path(token_counts.VOCABULARY_FILE))
+    mark = merges.special[0].decode()
+    texts = [f"a {mark} b" * 3, mark * 5, mark[:-1] + mark, "x " * 100_000 + f"{mark} y" * 200_000, None]
+    start = time.monotonic()
+    _, counts = token_counts.count_texts(pa.array(texts), merges)
+    assert time.monotonic() - start < 20
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY_FILE))
+    wanted = [len(library.encode(text or "", add_special_tokens=False).ids) for text in texts]
+    assert counts.tolist() == wanted
