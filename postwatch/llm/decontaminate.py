@@ -284,6 +284,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     ``(doc_id, doc_word, item_id, item_word, n_words)``: positions count words from 0; a match is
     at least a window long and cannot be extended to either side. One row for each id of an item.
+    Null and empty texts have no matches, repeated documents each have theirs, a null ``doc_id`` passes
+    through, and a benchmark without words matches nothing. Other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("doc_word", pa.int64()), ("item_id", pa.string()),
                         ("item_word", pa.int64()), ("n_words", pa.int64())])
@@ -310,7 +312,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                         group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Rows of ``docs`` without any hit word, with all the columns they had. Map-only."""
+    """Rows of ``docs`` without any hit word, with all the columns they had. Map-only.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; a benchmark that is
+    empty or has no words takes nothing away.
+    """
     def run(batches, held) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
             found = Found(block.column("text").cast(pa.string()), held.value)

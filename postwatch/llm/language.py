@@ -225,7 +225,11 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame, net: ByteNet | None, least: float = 0.0) -> DataFrame:
-    """Rows whose text has a language with a score of at least ``least``, with all their columns."""
+    """Rows whose text has a language with a score of at least ``least``, with all their columns.
+
+    Null texts and texts without letters have none and go, as does everything without a network.
+    Repeated rows stay or go together.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, limit=500_000):
             names, score = judge(block.column("text"), net)

@@ -164,7 +164,7 @@ def count_tokens(docs: DataFrame, name: str = VOCABULARY_FILE,
     """``(doc_id, n_bytes, n_tokens, over_limit)`` of every whole text, one row per row.
 
     A null or empty text has no bytes and no tokens. A special string inside a text counts as one
-    token. Repeated rows and a null ``doc_id`` pass through; other columns are not read. Map-only.
+    token; a text of nothing else is passed over once. Repeated rows and a null ``doc_id`` pass through; other columns are not read. Map-only.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                         ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
