@@ -292,8 +292,8 @@ class Model:
             cut[:-1] |= mark & ~again
         return np.flatnonzero(cut[:-1])
 
-    def merge_many(self, found: list[bytes]) -> list[np.ndarray]:
-        """Symbols of many short cut pieces. In a round each one merges its best, leftmost pair."""
+    def merge_many(self, found: list[bytes]) -> list[bytes]:
+        """Ids of many short cut pieces. In a round each one merges its best, leftmost pair."""
         texts = [piece.decode("utf-8") for piece in found]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
@@ -320,13 +320,16 @@ class Model:
             keep[at + 1] = False
             symbols, rows, ranks, made = (x[keep] for x in (symbols, rows, ranks, made))
             at = at - np.arange(len(at))
-            touched = np.union1d(at, at[at > 0] - 1)
+            touched = np.concatenate((at, at[at > 0] - 1))
             ranks[touched], made[touched] = self.look(symbols, rows, touched)
         if not done:
-            return [np.zeros(0, np.int64)] * len(found)
+            return [b""] * len(found)
         order = np.argsort(np.concatenate(done_rows), kind="stable")
-        flat, owners = np.concatenate(done)[order], np.concatenate(done_rows)[order]
-        return np.split(flat, np.searchsorted(owners, np.arange(1, len(found))))
+        owners = np.concatenate(done_rows)[order]
+        ids, ends = self.ids_of(np.concatenate(done)[order])
+        bounds = np.concatenate(([0], ends))[np.searchsorted(owners, np.arange(len(found) + 1))]
+        flat, bounds = ids.tobytes(), (4 * bounds).tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def look(self, symbols, rows, at) -> tuple[np.ndarray, np.ndarray]:
         following = np.minimum(at + 1, len(symbols) - 1)
@@ -334,12 +337,12 @@ class Model:
         found = np.where((following == at) | (rows[following] != rows[at]), -1, found)
         return self.made_rank[found], self.made[found]
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """Symbols of one long cut piece, cut again between characters that no piece holds together."""
+    def merge_long(self, piece: bytes) -> bytes:
+        """Ids of one long cut piece, cut again between characters that no piece holds together."""
         points = np.frombuffer(piece.decode("utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
         dead = self.inner.find(points[:-1] << 32 | points[1:]) < 0
         parts = np.split(self.symbol_of[points], np.flatnonzero(dead) + 1)
-        return np.concatenate([self.merge_heap(part.tolist()) for part in parts])
+        return self.ids_of(np.concatenate([self.merge_heap(part.tolist()) for part in parts]))[0].tobytes()
 
     def merge_heap(self, symbols: list[int]) -> np.ndarray:
         size, pair = len(symbols), self.pair
@@ -373,20 +376,23 @@ class Model:
                         heapq.heappush(heap, heap.pop())
         return np.array([x for x in symbols if x >= 0], np.int64)
 
-    def ids_of(self, symbols: np.ndarray) -> bytes:
-        """Ids of symbols; characters that are no piece become bytes or the unknown id."""
+    def ids_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, and where each symbol's ids end.
+
+        Characters that are no piece become the ids of their bytes, or the unknown id.
+        """
         strange = symbols >= self.count
-        if not strange.any():
-            return symbols.astype("<u4").tobytes()
-        out = []
-        for symbol in symbols.tolist():
-            if symbol < self.count:
-                out.append(symbol)
-            elif self.fallback:
-                out += self.byte_ids[list(chr(symbol - self.count).encode())].tolist()
-            else:
-                out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+        sizes = np.ones(len(symbols), np.int64)
+        points = symbols[strange] - self.count
+        if self.fallback:
+            sizes[strange] += (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        ends = np.cumsum(sizes)
+        out = np.full(ends[-1] if len(ends) else 0, self.unknown, "<u4")
+        out[(ends - sizes)[~strange]] = symbols[~strange]
+        if self.fallback and len(points):
+            data = points.astype("<u4").tobytes().decode("utf-32-le").encode()
+            out[ranges((ends - sizes)[strange], sizes[strange])] = self.byte_ids[np.frombuffer(data, np.uint8)]
+        return out, ends
 
     def encode_chunks(self, found: list[bytes]) -> list[bytes]:
         known = self.known
@@ -394,10 +400,10 @@ class Model:
         if None in held:
             fresh = list({piece for piece, ids in zip(found, held, strict=True) if ids is None})
             short = sorted((x for x in fresh if len(x) <= LONG_CHUNK), key=len)
-            made = {x: self.ids_of(self.merge_long(x)) for x in fresh if len(x) > LONG_CHUNK}
+            made = {x: self.merge_long(x) for x in fresh if len(x) > LONG_CHUNK}
             for start in range(0, len(short), CHUNKS_AT_ONCE):
                 part = short[start: start + CHUNKS_AT_ONCE]
-                made.update(zip(part, map(self.ids_of, self.merge_many(part)), strict=True))
+                made.update(zip(part, self.merge_many(part), strict=True))
             held = [made[piece] if ids is None else ids for piece, ids in zip(found, held, strict=True)]
             if len(known) + len(made) > KEPT_CHUNKS:
                 known.clear()
