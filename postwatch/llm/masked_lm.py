@@ -40,8 +40,8 @@ class Shape:
     hidden: int = 24
     offsets: tuple[int, ...] = (-2, -1, 1, 2)
     masked_every: int = 8  # in training, a mask hides one place of so many; all masks take turns
-    batch: int = 512
-    rate: float = 0.08
+    batch: int = 16_384
+    rate: float = 0.1
     seed: int = 11
 
     @property
@@ -65,6 +65,11 @@ class Shape:
 #: The averaging of copies is cut into this many slices of the network.
 SLICES = 16
 FAN_IN = 64
+#: Groups of places that are padded to one size, and the places of one product, at most.
+ALIKE = 1.5
+PADDED_PLACES = 8_192
+#: Words that are scored together.
+SCORED_AT_ONCE = 32_768
 
 
 class Network:
@@ -84,10 +89,18 @@ class Network:
             at += int(np.prod(size))
 
     @classmethod
-    def drawn(cls, shape: Shape) -> Network:
+    def drawn(cls, shape: Shape, frequency: np.ndarray | None = None) -> Network:
+        """A network at the start of training, which gives classes the shares that they have in
+        ``frequency``, so that no steps are spent on learning these."""
         net, draw = cls(shape), np.random.default_rng(shape.seed)
         for name in ("embedding", "groups", "members"):
             net.parts[name][...] = draw.normal(0, 0.1, net.parts[name].shape)
+        if frequency is not None:
+            counts = np.ones(shape.groups * shape.group)
+            counts[: len(frequency)] += frequency
+            counts = counts.reshape(shape.groups, shape.group)
+            net.parts["groups_bias"][...] = np.log(counts.sum(1) / counts.sum())
+            net.parts["members_bias"][...] = np.log(counts / counts.sum(1, keepdims=True))
         return net
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
@@ -99,70 +112,128 @@ class Network:
         return np.tanh(total, out=total)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        p, hidden = self.parts, self.hidden(context)
-        group, member = np.divmod(target, self.shape.group)
-        out = chosen(log_softmax(hidden @ p["groups"] + p["groups_bias"]), group)
-        for number, rows in by_group(group):
-            inside = hidden[rows] @ p["members"][number] + p["members_bias"][number]
-            out[rows] += chosen(log_softmax(inside), member[rows])
+        p = self.parts
+        order = sorted_places(target, self.shape.classes)
+        hidden = self.hidden(context[order])
+        group, member = np.divmod(target[order], self.shape.group)
+        found = chosen_log(hidden @ p["groups"] + p["groups_bias"], group)
+        for numbers, rows, filled in padded(group):
+            inside = np.matmul(hidden[rows], p["members"][numbers]) + p["members_bias"][numbers][:, None]
+            logs = chosen_log(inside.reshape(-1, self.shape.group), member[rows].ravel())
+            found[rows[filled]] += logs.reshape(rows.shape)[filled]
+        out = np.empty(len(target), found.dtype)
+        out[order] = found
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: Network) -> None:
-        """One step of AdaGrad on a batch."""
+        """One step of AdaGrad on a batch.
+
+        Places are sorted by class, so those of a group are a slice, and each part of the network is
+        moved once for all of its rows that the batch touches.
+        """
         p, shape = self.parts, self.shape
+        order = sorted_places(target, shape.classes)
+        context = context[order]
         n, hidden = len(target), self.hidden(context)
-        group, member = np.divmod(target, shape.group)
-        error = np.exp(log_softmax(hidden @ p["groups"] + p["groups_bias"]))
-        error[np.arange(n), group] -= 1
+        group, member = np.divmod(target[order], shape.group)
+        error = surplus(hidden @ p["groups"] + p["groups_bias"], group)
         back = error @ p["groups"].T
         slopes = {"groups": hidden.T @ error, "groups_bias": error.sum(0)}
-        for number, rows in by_group(group):
-            inside = np.exp(log_softmax(hidden[rows] @ p["members"][number] + p["members_bias"][number]))
-            inside[np.arange(len(rows)), member[rows]] -= 1
-            back[rows] += inside @ p["members"][number].T
-            self.move("members", number, hidden[rows].T @ inside / n, squares)
-            self.move("members_bias", number, inside.sum(0) / n, squares)
+        for numbers, rows, filled in padded(group):
+            # (groups, places of a group, hidden or member); places that only pad have no error.
+            own = hidden[rows]
+            inside = np.matmul(own, p["members"][numbers]) + p["members_bias"][numbers][:, None]
+            flat = inside.reshape(-1, shape.group)
+            inside = surplus(flat, member[rows].ravel()).reshape(inside.shape)
+            inside *= filled[:, :, None]
+            back[rows[filled]] += np.matmul(inside, p["members"][numbers].transpose(0, 2, 1))[filled]
+            self.move("members", numbers, np.matmul(own.transpose(0, 2, 1), inside) / n, squares)
+            self.move("members_bias", numbers, inside.sum(1) / n, squares)
         back *= 1 - hidden**2
         slopes["bias"] = back.sum(0)
         for name, slope in slopes.items():
             self.move(name, slice(None), slope / n, squares)
         for i in range(context.shape[1]):
-            order = np.argsort(context[:, i], kind="stable")
+            order = sorted_places(context[:, i], shape.classes)
             ids = context[order, i]
             heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             self.move("embedding", (i, ids[heads]), np.add.reduceat(back[order], heads) / n, squares)
 
     def move(self, name: str, at, slope: np.ndarray, squares: Network) -> None:
-        squares.parts[name][at] += slope**2
-        self.parts[name][at] -= self.shape.rate * slope / (np.sqrt(squares.parts[name][at]) + 1e-6)
+        held = squares.parts[name][at] + slope**2
+        squares.parts[name][at] = held
+        self.parts[name][at] -= self.shape.rate * slope / (np.sqrt(held) + 1e-8)
+
+
+def sorted_places(classes: np.ndarray, most: int) -> np.ndarray:
+    """Places in the order of their classes; narrow integers are sorted by radix."""
+    return np.argsort(classes.astype(np.uint16) if most < 1 << 16 else classes, kind="stable")
+
 
+def exponentials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` less the greatest of all, their exponentials and the sums of rows.
 
-def log_softmax(values: np.ndarray) -> np.ndarray:
-    values = values - values.max(1, keepdims=True)
-    return values - np.log(np.exp(values).sum(1, keepdims=True))
+    A row so far below the others that its sum would vanish is taken from its own greatest value.
+    """
+    values -= values.max() if values.size else 0
+    found = np.exp(values)
+    total = found @ np.ones(values.shape[1], values.dtype)
+    low = np.flatnonzero(total < 1e-25)
+    if len(low):
+        values[low] -= values[low].max(1, keepdims=True)
+        found[low] = np.exp(values[low])
+        total[low] = found[low].sum(1)
+    return found, total
+
+
+def surplus(values: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The softmax of each row, less one in its column: the slope of the loss by ``values``."""
+    found, total = exponentials(values)
+    found /= total[:, None]
+    found[np.arange(len(columns)), columns] -= 1
+    return found
 
 
-def chosen(values: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    return values[np.arange(len(columns)), columns]
+def chosen_log(values: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row in its column."""
+    _, total = exponentials(values)
+    return values[np.arange(len(columns)), columns] - np.log(total)
 
 
-def by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    ordered = group[order]
-    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(group) else []
-    for start, stop in zip(heads, [*heads[1:], len(group)], strict=True):
-        yield int(ordered[start]), order[start:stop]
+def padded(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of a sorted array in sets of about equal size: ``(numbers, rows, filled)``.
+
+    ``rows`` has a line of places for each group, padded with its first place where ``filled`` is not
+    set. Sizes of a set differ by less than a factor of ``ALIKE``, so padding costs little, and one
+    product serves all groups of a set.
+    """
+    if not len(group):
+        return
+    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sizes = np.diff(np.append(heads, len(group)))
+    kinds = np.ceil(np.log(sizes) / np.log(ALIKE)).astype(np.int64)
+    for kind in np.unique(kinds).tolist():
+        of = np.flatnonzero(kinds == kind)
+        step = max(1, PADDED_PLACES // int(sizes[of].max()))
+        for start in range(0, len(of), step):
+            some = of[start: start + step]
+            place = np.arange(int(sizes[some].max()))
+            filled = place < sizes[some, None]
+            yield group[heads[some]], heads[some, None] + np.where(filled, place, 0), filled
 
 
 class Vocabulary:
     """Classes of word hashes: 0 outside a text, then frequent words, then hashed classes.
 
     ``path`` is where the counts of all words are, and ``totals`` has the sum of a shared class's.
+    ``numbers`` are the counts of the frequent words.
     """
 
-    def __init__(self, frequent: list[int], shape: Shape, path: str):
+    def __init__(self, frequent: list[int], shape: Shape, path: str, numbers: list[int] | None = None):
         self.shape, self.path = shape, path
         self.totals = np.zeros(shape.classes)
+        self.frequency = np.zeros(shape.classes)
+        self.frequency[1: 1 + len(numbers or ())] = numbers or ()
         held = np.array(frequent, np.int64).view(np.uint64)
         order = np.argsort(held)
         self.hashes, self.ids = held[order], 1 + order
@@ -220,8 +291,8 @@ def vocabulary_of(docs: DataFrame, shape: Shape = Shape()) -> Vocabulary:
     word_counts(docs).write.parquet(path)
     counts = spark.read.schema("word long, n long").parquet(path)
     shape = shape.following(counts.count())
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.own).select("word")
-    vocabulary = Vocabulary([row[0] for row in top.collect()], shape, path)
+    top = counts.orderBy(F.desc("n"), "word").limit(shape.own).select("word", "n").collect()
+    vocabulary = Vocabulary([row[0] for row in top], shape, path, [row[1] for row in top])
     held = spark.sparkContext.broadcast(vocabulary)
     schema = pa.schema([("class", pa.int64()), ("n", pa.int64())])
 
@@ -235,7 +306,7 @@ def vocabulary_of(docs: DataFrame, shape: Shape = Shape()) -> Vocabulary:
             yield common.record_batch(schema, [found[shared], sums[shared]])
 
     for row in counts.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n")).collect():
-        vocabulary.totals[row[0]] = row[1]
+        vocabulary.totals[row[0]] = vocabulary.frequency[row[0]] = row[1]
     return vocabulary
 
 
@@ -256,7 +327,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     held = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, squares, seen = Network.drawn(shape), Network(shape), 0
+        net, squares, seen = Network.drawn(shape, held.value.frequency), Network(shape), 0
         part = TaskContext.get().partitionId()
         for number, block in enumerate(common.blocks(batches)):
             sequence, places, _ = laid_out(block.column("text"), held.value)
@@ -267,24 +338,27 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
             slices = np.array_split(net.flat, SLICES)
             yield common.record_batch(schema, [
                 np.full(SLICES, part, np.int32), np.arange(SLICES, dtype=np.int32),
-                np.full(SLICES, float(seen)), [(x.astype(np.float64) * seen).tobytes() for x in slices]])
+                np.full(SLICES, float(seen)), [x.tobytes() for x in slices]])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in group.column("weights").to_pylist())
+        places = group.column("places").to_pylist()
+        total = 0.0
+        for share, weights in zip(places, group.column("weights"), strict=True):
+            total = total + share * np.frombuffer(weights.as_py(), np.float32).astype(np.float64)
+        mean = (total / sum(places)).astype(np.float32)
         return pa.table({
             "part": pa.array([0], pa.int32()), "slice": group.column("slice").slice(0, 1),
-            "places": pa.array([sum(group.column("places").to_pylist())], pa.float64()),
-            "weights": pa.array([total.tobytes()], pa.binary())}, schema=schema)
+            "places": pa.array([sum(places)], pa.float64()),
+            "weights": pa.array([mean.tobytes()], pa.binary())}, schema=schema)
 
     columns = "part int, slice int, places double, weights binary"
     copies = common.documents(docs).mapInArrow(run, columns)
-    # Sums of at most FAN_IN copies at first, then of those sums.
+    # Averages of at most FAN_IN copies at first, then of those averages.
     partial = copies.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("some")).applyInArrow(add, columns)
     rows = partial.groupBy("slice").applyInArrow(add, columns).orderBy("slice").collect()
     if not rows:
-        return Network.drawn(shape)
-    flat = np.concatenate([np.frombuffer(row.weights, np.float64) / row.places for row in rows])
-    return Network(shape, flat.astype(np.float32))
+        return Network.drawn(shape, vocabulary.frequency)
+    return Network(shape, np.concatenate([np.frombuffer(row.weights, np.float32) for row in rows]))
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
@@ -308,8 +382,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
         for block in common.blocks(batches, limit=500_000):
             sequence, places, owner, hashes = hashed(block.column("text"), known)
             each = np.zeros(len(places))
-            for start in range(0, len(places), 8192):
-                at = places[start: start + 8192]
+            for start in range(0, len(places), SCORED_AT_ONCE):
+                at = places[start: start + SCORED_AT_ONCE]
                 each[start: start + len(at)] = net.log_probabilities(
                     context_of(sequence, at, known.shape), sequence[at])
             each -= less[sequence[places]]

@@ -121,6 +121,27 @@ def test_probabilities_add_up_to_one():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_training_starts_from_the_shares_of_the_classes():
+    frequency = np.arange(SMALL.classes) ** 2.0
+    net = masked_lm.Network.drawn(SMALL, frequency)
+    net.parts["embedding"][...] = 0  # nothing is known about the context
+    context, target = np.zeros((SMALL.classes, 4), int), np.arange(SMALL.classes)
+    wanted = (frequency + 1) / (frequency.sum() + SMALL.groups * SMALL.group)
+    assert np.exp(net.log_probabilities(context, target)) == pytest.approx(wanted, rel=1e-4)
+
+
+def test_groups_are_padded_to_alike_sizes():
+    draw = np.random.default_rng(0)
+    group = np.sort(draw.geometric(0.05, 5000))
+    seen = []
+    for numbers, rows, filled in masked_lm.padded(group):
+        assert rows.shape == filled.shape == (len(numbers), rows.shape[1])
+        assert (group[rows] == numbers[:, None]).all()
+        assert filled.sum() * masked_lm.ALIKE + len(numbers) >= filled.size
+        seen += rows[filled].tolist()
+    assert sorted(seen) == list(range(5000)) and not list(masked_lm.padded(group[:0]))
+
+
 def test_training_lowers_the_loss_of_a_batch():
     net, squares = masked_lm.Network.drawn(SMALL), masked_lm.Network(SMALL)
     draw = np.random.default_rng(2)
@@ -189,3 +210,95 @@ def test_copies_are_averaged_by_places(spark):
     sequence, places, owner = masked_lm.laid_out(pa.array(["a b", "", None, "c"]), vocabulary)
     assert owner.tolist() == [0, 0, 3] and (sequence[places] > 0).all()
     assert (masked_lm.context_of(sequence, places, SMALL)[-1] == 0).all()
+
+
+def plain_network(shape, frequency=None):
+    net = masked_lm.Network.drawn(shape, frequency)
+    return {name: part.astype(np.float64) for name, part in net.parts.items()}
+
+
+def plain_softmax(values):
+    held = np.exp(values - values.max(1, keepdims=True))
+    return held / held.sum(1, keepdims=True)
+
+
+def plain_parts(p, context, target, shape):
+    """Hidden values and the probabilities of both steps, each place with its own group's matrix."""
+    hidden = np.tanh(p["bias"] + sum(p["embedding"][i, context[:, i]] for i in range(context.shape[1])))
+    group = target // shape.group
+    first = plain_softmax(hidden @ p["groups"] + p["groups_bias"])
+    second = plain_softmax(np.einsum("nh,nhm->nm", hidden, p["members"][group]) + p["members_bias"][group])
+    return hidden, group, target % shape.group, first, second
+
+
+def plain_step(p, squares, context, target, shape):
+    n, at = len(target), np.arange(len(target))
+    hidden, group, member, first, second = plain_parts(p, context, target, shape)
+    first[at, group] -= 1
+    second[at, member] -= 1
+    slopes = {name: np.zeros_like(part) for name, part in p.items()}
+    slopes["groups"], slopes["groups_bias"] = hidden.T @ first, first.sum(0)
+    np.add.at(slopes["members"], group, np.einsum("nh,nm->nhm", hidden, second))
+    np.add.at(slopes["members_bias"], group, second)
+    back = first @ p["groups"].T + np.einsum("nm,nhm->nh", second, p["members"][group])
+    back *= 1 - hidden**2
+    slopes["bias"] = back.sum(0)
+    for i in range(context.shape[1]):
+        np.add.at(slopes["embedding"][i], context[:, i], back)
+    for name, slope in slopes.items():
+        squares[name] += (slope / n) ** 2
+        p[name] -= shape.rate * (slope / n) / (np.sqrt(squares[name]) + 1e-8)
+
+
+def test_the_whole_query_against_a_plain_version(spark, tmp_path):
+    """Counts, classes, training of one copy and scores, written down place by place in doubles."""
+    from tests.llm.edge import words
+
+    rows = [(i, t, lang) for i, t, lang in ROWS if t is None or len(t) < 10_000] * 3
+    shape = masked_lm.Shape(own=30, shared=9, group=8, hidden=6, batch=50, rate=0.1)
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/docs")  # one order of rows for both
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = masked_lm.pseudo_likelihood(docs, shape).collect()
+
+    vocabulary = masked_lm.vocabulary_of(docs, shape)
+    shape, pad = vocabulary.shape, 2
+    texts = [r.text for r in docs.collect()]
+    hashes = {w: int(masked_lm.words(*masked_lm.common.ragged(pa.array([w])))[0][0]) for t in texts for w in words(t)}
+    counts = {}
+    for text in texts:
+        for w in words(text):
+            counts[w] = counts.get(w, 0) + 1
+    signed = {w: int(np.uint64(x).view(np.int64)) for w, x in hashes.items()}
+    own = sorted(counts, key=lambda w: (-counts[w], signed[w]))[: shape.own]
+    classes = {w: int(vocabulary.classes(np.array([x], np.uint64))[0]) for w, x in hashes.items()}
+    assert [classes[w] for w in own] == list(range(1, len(own) + 1))
+    totals = {}
+    for w, c in classes.items():
+        assert (w in own) == (c <= shape.own)
+        totals[c] = totals.get(c, 0) + counts[w]
+
+    sequence = [0] * pad
+    spans = []
+    for text in texts:
+        spans.append((len(sequence), len(words(text))))
+        sequence += [classes[w] for w in words(text)] + [0] * pad
+    sequence = np.array(sequence)
+    places = np.concatenate([np.arange(a, a + n) for a, n in spans])
+    frequency = np.zeros(shape.classes)
+    for c, n in totals.items():
+        frequency[c] = n
+    p = plain_network(shape, frequency)
+    squares = {name: np.zeros_like(part) for name, part in p.items()}
+    for at in masked_lm.masks(places, shape, 0):
+        plain_step(p, squares, masked_lm.context_of(sequence, at, shape), sequence[at], shape)
+    wanted = []
+    for text, (a, n) in zip(texts, spans, strict=True):
+        at = np.arange(a, a + n)
+        _, group, member, first, second = plain_parts(
+            p, masked_lm.context_of(sequence, at, shape), sequence[at], shape)
+        each = np.log(first[np.arange(n), group]) + np.log(second[np.arange(n), member])
+        share = sum(np.log(counts[w] / totals[classes[w]]) for w in words(text) if w not in own)
+        wanted.append((n, each.sum() + share))
+    assert len(got) == len(wanted)
+    for (n, total), row in zip(sorted(wanted), sorted((r.n_words, r.log_likelihood) for r in got), strict=True):
+        assert row[0] == n and row[1] == pytest.approx(total, rel=2e-3, abs=2e-2)
