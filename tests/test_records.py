@@ -213,3 +213,13 @@ def test_markup_becomes_scraped_rows(spark):
     assert second["text"] == "second" and second["lang"] == "und" and second["post_id"] == ""
     payloads = pages.scraped_payloads(html.html_to_raw(df)).collect()
     assert [row["post"]["id"] for row in payloads] == ["123"]
+
+
+def test_a_cut_reference_of_a_web_page_is_text(spark):
+    body = "<html lang='de'><article>one &amp two &am<b> &lt;x&gt; &amp;lt; R&D</b> <a href='/a?b=1&amp=2'>l</a></article></html>"
+    row = html.html_to_raw(spark.createDataFrame([(1, body)], "page_id int, html string"),
+                           markup=html.WEB_PAGE).collect()[0]
+    assert row["text"] == "one &amp two &am <x> &lt; R&D l"
+    assert row["urls"][0]["url"] == "/a?b=1&amp=2"
+    assert html.read_records(body.replace("html", "article").replace("'de'", "'' data-testid='tweet'")
+                             .replace("<article>", "<div data-testid='tweetText'>"))[0]["text"].startswith("one & two")
