@@ -151,3 +151,12 @@ def test_leaving_out_plain_words_changes_nothing(spark):
     finally:
         ind.PLAIN_WORD = kept
     assert sorted(short) == sorted(whole)
+
+
+def test_runs_of_plain_words_leave_one_blank(spark):
+    text = "plain words " * 100_000 + "CVE-2031-10001 and\x1cthen a.example\n\n" + "more  words " * 5
+    df = spark.createDataFrame([(text,), ("word",), (" x  y ",), ("",)], "text string")
+    kept = [r[0] for r in df.select(ind.telling_words(F.col("text"))).collect()]
+    assert kept == [" CVE-2031-10001  a.example\n\n ", " ", "  ", ""]
+    found = ind.with_indicators(df).first()
+    assert (found["ioc_cves"], found["ioc_domains"]) == (["CVE-2031-10001"], ["a.example"])
