@@ -228,3 +228,27 @@ def test_streamed_admission_equals_batch(spark, tmp_path):
 def test_settings_have_the_documented_defaults():
     settings = Settings()
     assert settings.daily_read_budget == 10_000 and settings.seen_retention_days == 30
+
+
+def test_a_stream_with_many_keys_makes_few_calls(spark, tmp_path):
+    """Half of the keys wait for one moment; keys beside null stay exact."""
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    count, big = 20_000, 2**60
+    came = [(str(n), big + n, keyed.ARRIVED, at(0), n) for n in range(count)]
+    failed = [(str(n), big + n, keyed.FAILED, at(1), n) for n in range(0, count, 2)]
+    late = [(None, 5, keyed.ARRIVED, at(60), 0)]
+    stream = one_by_one(spark, [came, failed, late], QUEUE, path)
+    counts = jobs.queue_stream(stream, out, checkpoint, 30, tasks=8)
+    assert counts.asDict() == {"fetched": count + 1, "enqueued": count + 1, "retried": count // 2}
+    retried = spark.read.parquet(out).filter("attempts = 1").collect()
+    assert {(r["source_id"], r["id"]) for r in retried} == {(x[0], x[1]) for x in failed}
+    held = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint)
+    assert held.count() <= keyed.BUCKETS + 1
+
+
+def test_seen_numbers_stay_exact_beside_null(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    rows = [[(2**60 + 1, at(0)), (None, at(1)), (2**60 + 2, None)], [(2**60 + 1, at(2)), (None, at(3)), (7, at(4))]]
+    jobs.seen_stream(one_by_one(spark, rows, "post_id bigint, seen_at timestamp", path), out, checkpoint, 30, tasks=2)
+    found = {(r["post_id"], r["seen_at"]) for r in jobs.read_seen(spark, out).collect()}
+    assert found == {(2**60 + 1, at(0)), (None, at(1)), (2**60 + 2, None), (7, at(4))}
