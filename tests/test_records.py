@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,22 @@ def test_a_cut_reference_of_a_web_page_is_text(spark):
     assert row["urls"][0]["url"] == "/a?b=1&amp=2"
     assert html.read_records(body.replace("html", "article").replace("'de'", "'' data-testid='tweet'")
                              .replace("<article>", "<div data-testid='tweetText'>"))[0]["text"].startswith("one & two")
+
+
+def test_records_leave_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(html, "PIECE", len(MARKUP))
+    given = {}
+
+    class Pages:
+        schema = spark.createDataFrame([], "page_id int, html string").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, parse, kind):  # noqa: N802
+            given["parse"] = parse
+
+    html.html_to_raw(Pages())
+    batch = pd.DataFrame({"page_id": range(5), "html": [MARKUP, MARKUP, None, MARKUP, ""]})
+    pieces = list(given["parse"](iter([batch])))
+    assert [set(piece["page_id"]) for piece in pieces] == [{0}, {1}, {3}]
