@@ -6,6 +6,7 @@ import time
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from postwatch.operators import admission, ingest, ledger, stats
@@ -252,3 +253,52 @@ def test_seen_numbers_stay_exact_beside_null(spark, tmp_path):
     jobs.seen_stream(one_by_one(spark, rows, "post_id bigint, seen_at timestamp", path), out, checkpoint, 30, tasks=2)
     found = {(r["post_id"], r["seen_at"]) for r in jobs.read_seen(spark, out).collect()}
     assert found == {(2**60 + 1, at(0)), (None, at(1)), (2**60 + 2, None), (7, at(4))}
+
+
+def test_admission_lists_no_timers():
+    """A key that comes again moves its timer, and is forgotten once it is silent."""
+    class Handle:
+        state, timers = None, set()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.state is not None
+
+        def get(self):
+            return self.state
+
+        def update(self, row):
+            self.state = row
+
+        def clear(self):
+            self.state = None
+
+        def listTimers(self):  # noqa: N802
+            raise AssertionError("a call per key")
+
+        def registerTimer(self, moment):  # noqa: N802
+            self.timers.add(moment)
+
+        def deleteTimer(self, moment):  # noqa: N802
+            self.timers.remove(moment)
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    handle, second = Handle(), 1_000_000
+    processor = keyed.Admission("k", "at", "id", 9, 3600, 60)
+    processor.init(handle)
+    for times in ([5, 0], [40], [30]):
+        frame = pd.DataFrame({"k": 1, "at": [n * second for n in times], "id": times})
+        list(processor.handleInputRows((1,), iter([frame]), Clock(0)))
+    assert handle.timers == {100_001} and handle.state == (40 * second, [n * second for n in (0, 5, 40, 30)])
+    list(processor.handleExpiredTimer((1,), Clock(100_000), None))
+    assert handle.exists()
+    list(processor.handleExpiredTimer((1,), Clock(100_001), None))
+    assert not handle.exists()
