@@ -68,18 +68,26 @@ FAN_IN = 64
 #: Groups of places that are padded to one size, and the places of one product, at most.
 ALIKE = 1.5
 PADDED_PLACES = 8_192
+#: Places of one product, at most, so that its rows stay in the cache.
+CACHED_PLACES = 2_048
+#: Runs of at most so many rows are summed row by row, all at once.
+SHORT_RUN = 6
 #: Words that are scored together.
 SCORED_AT_ONCE = 32_768
 
 
 class Network:
-    """Embeddings for each offset, their tanh'd sum, and a two-step softmax, in one flat array."""
+    """Embeddings for each offset, their tanh'd sum, and a two-step softmax, in one flat array.
+
+    The biases of a softmax lie behind its weights as one more row, ``steps`` has both together: a
+    hidden value that is always one adds them in the product and gets their slopes from it.
+    """
 
     def __init__(self, shape: Shape, flat: np.ndarray | None = None):
         self.shape = shape
         v, h, g, m = shape.classes, shape.hidden, shape.groups, shape.group
-        sizes = {"embedding": (len(shape.offsets), v, h), "bias": (h,), "groups": (h, g),
-                 "groups_bias": (g,), "members": (g, h, m), "members_bias": (g, m)}
+        sizes = {"embedding": (len(shape.offsets), v, h), "bias": (h,), "groups": (h + 1, g),
+                 "members": (g, h + 1, m)}
         total = sum(int(np.prod(x)) for x in sizes.values())
         if flat is None:
             flat = np.zeros(total, np.float32)
@@ -87,6 +95,9 @@ class Network:
         for name, size in sizes.items():
             self.parts[name] = flat[at: at + int(np.prod(size))].reshape(size)
             at += int(np.prod(size))
+        self.steps = {name: self.parts[name] for name in ("groups", "members")}
+        for name, held in self.steps.items():
+            self.parts[name], self.parts[f"{name}_bias"] = held[..., :h, :], held[..., h, :]
 
     @classmethod
     def drawn(cls, shape: Shape, frequency: np.ndarray | None = None) -> Network:
@@ -104,24 +115,31 @@ class Network:
         return net
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        """Of (n, offsets) classes."""
+        """Of (n, offsets) classes; the last value is one."""
         p = self.parts
-        total = p["bias"] + p["embedding"][0][context[:, 0]]
+        total = p["embedding"][0].take(context[:, 0], 0)
         for i in range(1, context.shape[1]):
-            total += p["embedding"][i][context[:, i]]
-        return np.tanh(total, out=total)
+            total += p["embedding"][i].take(context[:, i], 0)
+        total += p["bias"]
+        out = np.ones((len(total), self.shape.hidden + 1), total.dtype)
+        np.tanh(total, out=out[:, :-1])
+        return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        p = self.parts
         order = sorted_places(target, self.shape.classes)
-        hidden = self.hidden(context[order])
+        hidden = self.hidden(context.take(order, 0))
         group, member = np.divmod(target[order], self.shape.group)
-        found = chosen_log(hidden @ p["groups"] + p["groups_bias"], group)
+        found = np.empty(len(target), hidden.dtype)
+        for at in pieces(len(target)):
+            found[at] = chosen_log(hidden[at] @ self.steps["groups"], group[at])
         for numbers, rows, filled in padded(group):
-            inside = np.matmul(hidden[rows], p["members"][numbers]) + p["members_bias"][numbers][:, None]
-            logs = chosen_log(inside.reshape(-1, self.shape.group), member[rows].ravel())
-            found[rows[filled]] += logs.reshape(rows.shape)[filled]
-        out = np.empty(len(target), found.dtype)
+            weights = self.steps["members"][numbers]
+            for at in pieces(rows.shape[1], len(rows)):
+                inside = np.matmul(hidden.take(rows[:, at], 0), weights)
+                logs = chosen_log(inside.reshape(-1, self.shape.group), member[rows[:, at]].ravel())
+                kept = np.flatnonzero(filled[:, at])
+                found[rows[:, at].ravel()[kept]] += logs[kept]
+        out = np.empty_like(found)
         out[order] = found
         return out
 
@@ -129,40 +147,84 @@ class Network:
         """One step of AdaGrad on a batch.
 
         Places are sorted by class, so those of a group are a slice, and each part of the network is
-        moved once for all of its rows that the batch touches.
+        moved once for all of its rows that the batch touches. Products are over pieces of the batch
+        that stay in the processor's cache.
         """
-        p, shape = self.parts, self.shape
+        p, shape, rate = self.parts, self.shape, self.shape.rate
         order = sorted_places(target, shape.classes)
-        context = context[order]
+        context = context.take(order, 0)
         n, hidden = len(target), self.hidden(context)
         group, member = np.divmod(target[order], shape.group)
-        error = surplus(hidden @ p["groups"] + p["groups_bias"], group)
-        back = error @ p["groups"].T
-        slopes = {"groups": hidden.T @ error, "groups_bias": error.sum(0)}
+        back = np.empty((n, shape.hidden), hidden.dtype)
+        slope = np.zeros_like(self.steps["groups"])
+        for at in pieces(n):
+            error = surplus(hidden[at] @ self.steps["groups"], group[at])
+            np.matmul(error, p["groups"].T, out=back[at])
+            slope += hidden[at].T @ error
+        descend(self.steps["groups"], squares.steps["groups"], slice(None), slope / n, rate)
         for numbers, rows, filled in padded(group):
             # (groups, places of a group, hidden or member); places that only pad have no error.
-            own = hidden[rows]
-            inside = np.matmul(own, p["members"][numbers]) + p["members_bias"][numbers][:, None]
-            flat = inside.reshape(-1, shape.group)
-            inside = surplus(flat, member[rows].ravel()).reshape(inside.shape)
-            inside *= filled[:, :, None]
-            back[rows[filled]] += np.matmul(inside, p["members"][numbers].transpose(0, 2, 1))[filled]
-            self.move("members", numbers, np.matmul(own.transpose(0, 2, 1), inside) / n, squares)
-            self.move("members_bias", numbers, inside.sum(1) / n, squares)
-        back *= 1 - hidden**2
-        slopes["bias"] = back.sum(0)
-        for name, slope in slopes.items():
-            self.move(name, slice(None), slope / n, squares)
+            weights = self.steps["members"][numbers]
+            slope = np.zeros_like(weights)
+            for at in pieces(rows.shape[1], len(rows)):
+                some = rows[:, at].ravel()
+                own = hidden.take(rows[:, at], 0)
+                inside = np.matmul(own, weights)
+                flat = surplus(inside.reshape(-1, shape.group), member[some])
+                flat[np.flatnonzero(~filled[:, at])] = 0
+                inside = flat.reshape(inside.shape)
+                slope += np.matmul(own.transpose(0, 2, 1), inside)
+                kept = np.flatnonzero(filled[:, at])
+                found = np.matmul(inside, weights[:, :-1].transpose(0, 2, 1)).reshape(-1, shape.hidden)
+                back[some[kept]] += found.take(kept, 0)
+            descend(self.steps["members"], squares.steps["members"], numbers, slope / n, rate)
+        values = hidden[:, :-1]
+        back *= 1 - values * values
+        back /= n
+        descend(p["bias"], squares.parts["bias"], slice(None), back.sum(0), rate)
         for i in range(context.shape[1]):
             order = sorted_places(context[:, i], shape.classes)
             ids = context[order, i]
             heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            self.move("embedding", (i, ids[heads]), np.add.reduceat(back[order], heads) / n, squares)
+            descend(p["embedding"][i], squares.parts["embedding"][i], ids[heads],
+                    sums_of_runs(back, order, heads), rate)
+
+
+def descend(part: np.ndarray, squares: np.ndarray, at, slope: np.ndarray, rate: float) -> None:
+    """Move the rows ``at``, each once, against their slope."""
+    held = squares[at] if isinstance(at, slice) else squares.take(at, 0)
+    held = held + slope * slope
+    squares[at] = held
+    np.sqrt(held, out=held)
+    held += 1e-8
+    slope = slope / held
+    slope *= rate
+    part[at] -= slope
+
 
-    def move(self, name: str, at, slope: np.ndarray, squares: Network) -> None:
-        held = squares.parts[name][at] + slope**2
-        squares.parts[name][at] = held
-        self.parts[name][at] -= self.shape.rate * slope / (np.sqrt(held) + 1e-8)
+def pieces(places: int, each: int = 1) -> Iterator[slice]:
+    """Slices of ``each`` times as many places, of at most about ``CACHED_PLACES``."""
+    step = max(1, CACHED_PLACES // each)
+    for start in range(0, places, step):
+        yield slice(start, start + step)
+
+
+def sums_of_runs(values: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of ``values[order]`` over the runs that start at ``heads``.
+
+    Most runs are short: their first, second, ... rows are added for all of them at once.
+    """
+    sizes = np.diff(np.append(heads, len(order)))
+    out = values.take(order[heads], 0)
+    short = sizes <= SHORT_RUN
+    for place in range(1, SHORT_RUN):
+        runs = np.flatnonzero(short & (sizes > place))
+        out[runs] += values.take(order[heads[runs] + place], 0)
+    runs = np.flatnonzero(~short)
+    if len(runs):
+        starts = np.cumsum(sizes[runs]) - sizes[runs]
+        out[runs] = np.add.reduceat(values.take(order[np.repeat(~short, sizes)], 0), starts)
+    return out
 
 
 def sorted_places(classes: np.ndarray, most: int) -> np.ndarray:
@@ -171,11 +233,13 @@ def sorted_places(classes: np.ndarray, most: int) -> np.ndarray:
 
 
 def exponentials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``values`` less the greatest of all, their exponentials and the sums of rows.
+    """``values``, less the greatest of all if that is large, their exponentials and the sums of rows.
 
     A row so far below the others that its sum would vanish is taken from its own greatest value.
     """
-    values -= values.max() if values.size else 0
+    most = values.max() if values.size else 0
+    if abs(most) > 40:  # exponentials of less neither overflow nor vanish
+        values -= most
     found = np.exp(values)
     total = found @ np.ones(values.shape[1], values.dtype)
     low = np.flatnonzero(total < 1e-25)
@@ -189,7 +253,7 @@ def exponentials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def surplus(values: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """The softmax of each row, less one in its column: the slope of the loss by ``values``."""
     found, total = exponentials(values)
-    found /= total[:, None]
+    found *= (1 / total)[:, None]
     found[np.arange(len(columns)), columns] -= 1
     return found
 
@@ -235,21 +299,24 @@ class Vocabulary:
         self.frequency = np.zeros(shape.classes)
         self.frequency[1: 1 + len(numbers or ())] = numbers or ()
         held = np.array(frequent, np.int64).view(np.uint64)
-        order = np.argsort(held)
-        self.hashes, self.ids = held[order], 1 + order
+        self.own = common.Lookup(halved(held), 1 + np.arange(len(held)), missing=0)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
-        out = 1 + self.shape.own + (common.mix(hashes) % np.uint64(self.shape.shared)).astype(np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            found = self.hashes[at] == hashes
-            out[found] = self.ids[at[found]]
+        out = self.own.find(halved(hashes))
+        rest = np.flatnonzero(out == 0)
+        out[rest] = 1 + self.shape.own + (
+            common.mix(hashes[rest]) % np.uint64(self.shape.shared)).astype(np.int64)
         return out
 
     def counts(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("word long, n long").parquet(self.path)
 
 
+def halved(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of words, which are odd, as non-negative keys."""
+    return (hashes >> np.uint64(1)).view(np.int64)
+
+
 def laid_out(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all words, padded around each text, the places of words and their texts."""
     return hashed(texts, vocabulary)[:3]

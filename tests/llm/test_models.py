@@ -152,6 +152,37 @@ def test_training_lowers_the_loss_of_a_batch():
     assert net.log_probabilities(context, target).mean() > before + 1
 
 
+def test_a_batch_is_worked_on_in_pieces(monkeypatch):
+    """No product takes in more places than stay in the cache; pieces change nothing."""
+    shape = masked_lm.Shape()
+    draw = np.random.default_rng(4)
+    target = np.minimum(draw.geometric(0.01, shape.batch), shape.classes) - 1
+    context = draw.integers(0, shape.classes, (shape.batch, 4))
+    exponentials, sizes, seen = masked_lm.exponentials, [], []
+    monkeypatch.setattr(masked_lm, "exponentials", lambda x: (sizes.append(len(x)), exponentials(x))[1])
+    for most in (masked_lm.CACHED_PLACES, 1 << 20):
+        monkeypatch.setattr(masked_lm, "CACHED_PLACES", most)
+        net, squares = masked_lm.Network.drawn(shape), masked_lm.Network(shape)
+        for _ in range(2):
+            net.train(context, target, squares)
+        seen.append((net.flat, net.log_probabilities(context, target), max(sizes)))
+    (flat, logs, largest), (whole_flat, whole_logs, whole) = seen
+    assert largest <= 2_048 < whole
+    assert np.abs(flat - whole_flat).max() < 1e-3 and np.abs(logs - whole_logs).max() < 1e-3
+
+
+def test_rows_of_runs_are_added_up():
+    draw = np.random.default_rng(5)
+    classes = np.minimum(draw.zipf(1.3, 3000), 500)
+    values, order = draw.normal(size=(3000, 3)), masked_lm.sorted_places(classes, 501)
+    held = classes[order]
+    heads = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    wanted = np.zeros((501, 3))
+    np.add.at(wanted, classes, values)
+    assert {1, 2, masked_lm.SHORT_RUN + 1} & set(np.bincount(classes).tolist())
+    assert masked_lm.sums_of_runs(values, order, heads) == pytest.approx(wanted[held[heads]])
+
+
 def test_scores_of_odd_rows(spark):
     docs = frame(spark)
     rows = masked_lm.pseudo_likelihood(docs, SMALL).collect()
