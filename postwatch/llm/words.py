@@ -22,34 +22,44 @@ def lowered() -> np.ndarray:
     return out
 
 
-LOWERED = lowered()
+LOWERED = lowered().tobytes()
+#: Words that are hashed together, so that they stay in the cache.
+HASHED_AT_ONCE = 16_384
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and the n + 1 positions at which texts start among the words.
 
-    Bytes at the same place of all words are hashed together; the few words of more than
+    Bytes at the same place of many words are hashed together; the few words of more than
     ``LONG_WORD`` bytes are digested one by one.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    letters = LOWERED[data]
+    letters = np.frombuffer(data.tobytes().translate(LOWERED), np.uint8)
     inside = letters != 0
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    start = inside & (first | ~np.concatenate(([False], inside[:-1])))
-    stop = inside & np.concatenate((first[1:] | ~inside[1:], [True]))
+    start, stop = inside.copy(), inside.copy()
+    start[1:] &= first[1:] | ~inside[:-1]
+    stop[:-1] &= first[1:] | ~inside[1:]
     begins, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
     if not len(begins):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     sizes = ends - begins
-    order = np.argsort(-np.minimum(sizes, LONG_WORD + 1).astype(np.int16), kind="stable")
-    begin, size = begins[order], sizes[order]
+    limited = np.minimum(sizes, LONG_WORD + 1).astype(np.uint8)
+    order = np.argsort(limited, kind="stable")[::-1]
+    size, begin = limited[order], begins[order]
     held = np.full(len(order), SEED, np.uint64)
-    deepest = min(int(size[0]), LONG_WORD) if size[0] <= LONG_WORD else LONG_WORD
-    for place in range(deepest):
-        count = int(np.searchsorted(-np.minimum(size, LONG_WORD + 1), -place, "left"))
-        byte = letters[begin[:count] + place].astype(np.uint64)
-        held[:count] = (held[:count] ^ byte) * np.uint64(BASE)
-        held[:count] ^= held[:count] >> np.uint64(29)
+    for at in range(0, len(order), HASHED_AT_ONCE):
+        some, where = held[at: at + HASHED_AT_ONCE], begin[at: at + HASHED_AT_ONCE]
+        of_size = np.bincount(size[at: at + HASHED_AT_ONCE], minlength=LONG_WORD + 2)
+        longer = len(some) - np.cumsum(of_size)  # than 0, 1, ... bytes; the longest come first
+        for count in longer[:LONG_WORD][longer[:LONG_WORD] > 0].tolist():
+            part, where = some[:count], where[:count]
+            part ^= letters.take(where)
+            part *= np.uint64(BASE)
+            part ^= part >> np.uint64(29)
+            where = where + 1
     hashes = np.empty(len(order), np.uint64)
     hashes[order] = held
     for at in np.flatnonzero(sizes > LONG_WORD).tolist():

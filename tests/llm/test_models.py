@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -226,6 +227,29 @@ def test_every_place_is_masked_once():
     assert all(len(set((b - 5) % SMALL.masked_every)) == 1 and len(b) <= SMALL.batch for b in batches)
 
 
+def test_words_are_hashed_byte_by_byte(monkeypatch):
+    """The hash of a word does not depend on the words that are hashed together with it."""
+    from postwatch.llm import words as module
+
+    draw = random.Random(6)
+    texts = [None, "", "one", *(" ".join("é" + "xY9"[i % 3] * draw.randrange(63) for i in range(40))
+                                for _ in range(30)), "a" * 64 + "\n" + "b" * 65]
+    wanted = []
+    for text in texts:
+        for word in (text or "").lower().encode().split():
+            held = module.SEED
+            for byte in word:
+                held = (held ^ byte) * module.BASE % 2**64
+                held ^= held >> 29
+            long = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            wanted.append((held if len(word) <= module.LONG_WORD else long) | 1)
+    for most in (7, module.HASHED_AT_ONCE):
+        monkeypatch.setattr(module, "HASHED_AT_ONCE", most)
+        hashes, starts = module.words(*masked_lm.common.ragged(pa.array(texts)))
+        assert hashes.tolist() == wanted
+        assert np.diff(starts).tolist() == [len((t or "").split()) for t in texts]
+
+
 def test_counts_cover_all_documents(spark):
     rows = masked_lm.word_counts(frame(spark)).agg(F.sum("n")).first()[0]
     from tests.llm.edge import words
